@@ -92,6 +92,23 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 <<
             start = end
 
 
+def runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, pa.Table]]:
+    """(value, rows) for each run of equal values in a sorted column."""
+    held: list[pa.RecordBatch] = []
+    value = None
+    for batch in batches:
+        keys = np.asarray(batch.column(by))
+        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
+        for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
+            if held and keys[a] != value:
+                yield value, pa.Table.from_batches(held)
+                held = []
+            value = int(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield value, pa.Table.from_batches(held)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of each of many ranges, one range after another."""
     total = int(lengths.sum())

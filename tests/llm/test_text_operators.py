@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import pytest
 import xxhash
@@ -102,10 +103,15 @@ def test_proximity(spark):
     assert not any(r.spans for r in decontaminate.find_items(edge(spark), items, slack=1).collect())
 
 
-def reference_ids(text):
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(queries.tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def reference_ids(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def check_packing(rows, docs, most=2048):
