@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, blocks, durable, framed
 
 #: Hash buckets of n-grams: 2 to this power.
-WIDTH = 18
+WIDTH = 20
 #: Bytes in an n-gram.
-SIZES = (4, 5, 6)
+SIZES = (4, 6, 8)
 #: Labelled rows that the classifier is fitted on at most: those with the least hash of their id.
 MAX_ROWS = 40_000
-#: Buckets that the regression weighs: those with the largest ratios either way.
-FEATURES = 8_192
+#: Buckets that the regression weighs at most, and the log-likelihood ratio from which a bucket is more than chance.
+FEATURES, CHANCE = 8_192, 15.0
 #: Characters between letters become one blank, so that n-grams know where words begin and end.
 GRAM_BYTES = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in LOWER_BYTES)
 
@@ -53,20 +54,27 @@ def gram_codes(texts: list[bytes], sizes: tuple[int, ...] = SIZES, width: int =
 
 @dataclass
 class Model:
-    """``weights`` over buckets, already multiplied by the ratios, and a bias."""
+    """``weights`` of some ``buckets``, already multiplied by the ratios, and a bias."""
 
+    buckets: np.ndarray
     weights: np.ndarray
     bias: float
     sizes: tuple[int, ...] = SIZES
     width: int = WIDTH
 
+    @cached_property
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << self.width, np.float32)
+        out[self.buckets] = self.weights
+        return out
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
         codes, owners = gram_codes(texts, self.sizes, self.width)
-        used = self.weights[codes] != 0
+        used = self.dense[codes] != 0
         # presence, not frequency: each bucket counts once a text
         pairs = np.unique(owners[used].astype(np.int64) << self.width | codes[used])
-        total += np.bincount(pairs >> self.width, self.weights[pairs & ((1 << self.width) - 1)], len(texts))
+        total += np.bincount(pairs >> self.width, self.dense[pairs & ((1 << self.width) - 1)], len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
@@ -83,11 +91,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     return durable(rows.select("text", "label").repartition(16), "labelled")
 
 
-def ratios(sample: DataFrame, sizes: tuple[int, ...], width: int, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Log-count ratio of each bucket, and in how many sampled texts it is present."""
+def counts(sample: DataFrame, sizes: tuple[int, ...], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many clean and in how many toxic texts each bucket is present."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << width), np.int64)
+        total = np.zeros((2, 1 << width), np.int32)
         for batch in blocks(batches, "text", 2 << 20):
             label = np.asarray(batch.column("label"))
             codes, owners = gram_codes(batch.column("text").cast(pa.binary()).to_pylist(), sizes, width)
@@ -99,13 +107,27 @@ def ratios(sample: DataFrame, sizes: tuple[int, ...], width: int, smooth: float
 
     clean, toxic = np.zeros(1 << width, np.int64), np.zeros(1 << width, np.int64)
     for row in sample.mapInArrow(count, "clean binary, toxic binary").toLocalIterator():  # one row for each of the 16 partitions
-        clean += np.frombuffer(row.clean, np.int64)
-        toxic += np.frombuffer(row.toxic, np.int64)
+        clean += np.frombuffer(row.clean, np.int32)
+        toxic += np.frombuffer(row.toxic, np.int32)
+    return clean, toxic
+
+
+def log_count_ratio(clean: np.ndarray, toxic: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     p, q = toxic + smooth, clean + smooth
-    return np.log(p / p.sum()) - np.log(q / q.sum()), clean + toxic
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
+def evidence(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Log-likelihood ratio of each bucket's presence against the same rate in both classes."""
+    out, rate = np.zeros(len(clean)), (clean + toxic) / (n_clean + n_toxic)
+    for seen, n in ((clean, n_clean), (toxic, n_toxic)):
+        for x, r in ((seen, rate), (n - seen, 1 - rate)):
+            some = x > 0
+            out[some] += 2 * x[some] * np.log(x[some] / (n * r[some]))
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES, sizes: tuple[int, ...] = SIZES, width: int = WIDTH, rounds: int = 300, decay: float = 1e-4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES, sizes: tuple[int, ...] = SIZES, width: int = WIDTH, rounds: int = 300, decay: float = 1e-3, chance: float = CHANCE) -> Model:
     """Fit on ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label``).
 
     Without both classes in the sample every text scores the share of toxic rows. What reaches the driver is bounded by
@@ -115,11 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
     n = {int(r.label): int(r["count"]) for r in sample.groupBy("label").count().toLocalIterator()}
     rate = n.get(1, 0) / max(1, sum(n.values()))
     if not n.get(0) or not n.get(1):
-        return Model(np.zeros(1 << width, np.float32), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), sizes, width)
-    ratio, present = ratios(sample, sizes, width)
-    strength = np.abs(ratio) * np.sqrt(present) * (present >= 3)
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), sizes, width)
+    clean, toxic = counts(sample, sizes, width)
+    ratio, strength = log_count_ratio(clean, toxic), evidence(clean, toxic, n[0], n[1])
     top = np.sort(np.argsort(-strength, kind="stable")[:features])
-    top = top[strength[top] > 0]
+    # with so few rows that nothing is sure, the likeliest buckets serve
+    top = top[strength[top] >= min(chance, np.sort(strength)[-64])]
     place = np.full(1 << width, -1, np.int32)
     place[top] = np.arange(len(top))
 
@@ -138,9 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
     column = np.concatenate(used).astype(np.int64) if used else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(used)), list(map(len, used)))
     weight = logistic(row, column, ratio[top], y, rounds, decay)
-    weights = np.zeros(1 << width, np.float32)
-    weights[top] = weight[:-1] * ratio[top]
-    return Model(weights, float(weight[-1]), sizes, width)
+    return Model(top, (weight[:-1] * ratio[top]).astype(np.float32), float(weight[-1]), sizes, width)
 
 
 def logistic(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarray, rounds: int, decay: float) -> np.ndarray:
