@@ -29,27 +29,32 @@ FEATURES, CHANCE = 8_192, 15.0
 GRAM_BYTES = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in LOWER_BYTES)
 
 
-def gram_codes(texts: list[bytes], sizes: tuple[int, ...] = SIZES, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, owners): the bucket of every n-gram of every text, and the place of its text."""
+def gram_codes(texts: list[bytes], sizes: tuple[int, ...] = SIZES, width: int = WIDTH, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, owners): the bucket of every n-gram of every text, and the place of its text.
+
+    ``wanted`` marks the buckets that matter; others are left out early.
+    """
     cleaned = [b" " + t.translate(GRAM_BYTES) + b" " for t in texts]
     raw = np.frombuffer(b"".join(cleaned), np.uint8)
-    lengths = np.fromiter(map(len, cleaned), np.int64, len(cleaned))
-    ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    left = np.repeat(ends, lengths) - np.arange(len(raw))
-    codes, owners = [], []
+    ends = np.cumsum(np.fromiter(map(len, cleaned), np.int64, len(cleaned)))
+    codes, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     h = np.zeros(len(raw), np.uint32)
     for k in range(max(sizes)):
         m = len(raw) - k
         if m <= 0:
             break
-        h = h[:m] * np.uint32(0x01000193) + raw[k:] + np.uint32(1)
+        h = h[:m]
+        h *= np.uint32(0x01000193)
+        h += raw[k:]
+        h += np.uint32(1)
         if k + 1 in sizes:
-            mixed = (h ^ np.uint32(k)) * np.uint32(0x9E3779B1)
-            ok = left[:m] > k
-            codes.append((mixed >> np.uint32(32 - width))[ok].astype(np.int32))
-            owners.append(owner[:m][ok])
-    return np.concatenate(codes or [np.zeros(0, np.int32)]), np.concatenate(owners or [np.zeros(0, np.int32)])
+            code = ((h ^ np.uint32(k)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - width)
+            at = np.arange(m) if wanted is None else np.flatnonzero(wanted[code])
+            owner = np.searchsorted(ends, at, side="right")
+            inside = at + k < ends[owner]  # an n-gram doesn't run on into the next text
+            codes.append(code[at[inside]].astype(np.int32))
+            owners.append(owner[inside])
+    return np.concatenate(codes), np.concatenate(owners)
 
 
 @dataclass
@@ -70,10 +75,9 @@ class Model:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
-        codes, owners = gram_codes(texts, self.sizes, self.width)
-        used = self.dense[codes] != 0
+        codes, owners = gram_codes(texts, self.sizes, self.width, self.dense != 0)
         # presence, not frequency: each bucket counts once a text
-        pairs = np.unique(owners[used].astype(np.int64) << self.width | codes[used])
+        pairs = np.unique(owners << self.width | codes)
         total += np.bincount(pairs >> self.width, self.dense[pairs & ((1 << self.width) - 1)], len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
@@ -95,13 +99,14 @@ def counts(sample: DataFrame, sizes: tuple[int, ...], width: int) -> tuple[np.nd
     """In how many clean and in how many toxic texts each bucket is present."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << width), np.int32)
+        total, last = np.zeros((2, 1 << width), np.int32), np.zeros(1 << width, np.int64)
         for batch in blocks(batches, "text", 2 << 20):
-            label = np.asarray(batch.column("label"))
-            codes, owners = gram_codes(batch.column("text").cast(pa.binary()).to_pylist(), sizes, width)
-            pairs = np.unique(owners.astype(np.int64) << width | codes)
-            for k in (0, 1):
-                total[k] += np.bincount((pairs & ((1 << width) - 1))[label[pairs >> width] == k], minlength=1 << width)
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                codes, _ = gram_codes([text], sizes, width)
+                # of the places with one bucket, the last one written counts
+                place = np.arange(len(codes))
+                last[codes] = place
+                total[label][codes[last[codes] == place]] += 1
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array([total[0].tobytes()], pa.binary()), pa.array([total[1].tobytes()], pa.binary())], ["clean", "toxic"])
 
@@ -148,9 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 2 << 20):
-            codes, owners = gram_codes(batch.column("text").cast(pa.binary()).to_pylist(), sizes, width)
-            own = place[codes] >= 0
-            pairs = np.unique(owners[own].astype(np.int64) << width | place[codes[own]])
+            codes, owners = gram_codes(batch.column("text").cast(pa.binary()).to_pylist(), sizes, width, place >= 0)
+            pairs = np.unique(owners << width | place[codes])
             cut = np.searchsorted(pairs, np.arange(batch.num_rows + 1, dtype=np.int64) << width)
             used = [(pairs[a:b] & ((1 << width) - 1)).astype(np.int16).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(used, pa.binary())], ["label", "used"])
