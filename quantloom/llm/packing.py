@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import blocks, durable, framed, ragged
 
 #: Distinct chunks of text whose ids a worker keeps at hand; beyond, it starts afresh.
-CACHE = 400_000
+CACHE = 800_000
+#: Marks that may follow a word within a chunk.
+MARKS = frozenset(",.;:!?")
 
 
 class ChunkEncoder:
@@ -33,27 +35,44 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _encode_new(self, new: set[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(chunks, their ids one after another, how many each has)."""
+        # a chunk of letters is one word, with one mark after it two; such chunks are encoded in one call
+        plain = [c for c in new if c.isalpha()]
+        marked = [c for c in new if c[-1:] in MARKS and c[:-1].isalpha()]
+        rest = list(new.difference(plain, marked))
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain + marked)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        words = np.repeat([1, 2], [len(plain), len(marked)])
+        if len(ends) != words.sum() or (len(ends) and ends[-1] != len(ids)):  # some letters became others: one by one
+            plain, marked, rest, ids, n = [], [], list(new), ids[:0], ids[:0]
+        else:
+            n = np.diff(np.append(0, ends[np.cumsum(words) - 1]))
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        return plain + marked + rest, np.concatenate([ids, *found]), np.append(n, list(map(len, found))).astype(np.int64)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         if len(self.code) > CACHE:
             self.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         chunks = [c for s in split for c in s]
-        new = [c for c in dict.fromkeys(chunks) if c not in self.code]
+        new = set(chunks).difference(self.code)
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for f in found for i in f), np.uint32, int(n.sum()))
+            new, flat, n = self._encode_new(new)
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(n) - n)
             self.lengths, self.ids = np.append(self.lengths, n), np.append(self.ids, flat)
-        codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
+        codes = np.array(list(map(self.code.__getitem__, chunks)), np.int64)
         lengths = self.lengths[codes]
         per_chunk = np.append(0, np.cumsum(lengths))
         ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
