@@ -10,6 +10,7 @@ their first ``length`` bytes. Neighbours with that much in common are a repeated
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ GRAM = 20
 #: Ends a stretch within a shard; no UTF-8 text has this byte.
 END = 0xFF
 #: Bytes of stretches in a shard, in a bucket, and of text in a block.
-SHARD, BUCKET, BLOCK = 1 << 20, 4 << 20, 4 << 20
+SHARD, BUCKET, BLOCK = 1 << 18, 1 << 20, 4 << 20
 
 
 def names(raw: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
@@ -103,32 +104,40 @@ def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order, Burrows-Wheeler transform) of one shard."""
+    """(suffix order, Burrows-Wheeler transform) of one shard; a symbol of the transform is the two bytes before a suffix."""
     order = suffix_order(text, depth)
-    return order, text[order - 1]
+    return order, text[order - 2].astype(np.uint16) << np.uint16(8) | text[order - 1]
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each suffix in the merged order, block of equal ``depth``-symbol prefixes it lies in).
+    """(row of the transforms, laid end to end, of each suffix in the merged order; block of equal ``depth``-byte prefixes).
 
-    The interleave starts as shard after shard, right for prefixes of no symbol. A pass reads the shards'
-    transforms in its order and deals them out by symbol, stably, which makes it right for one symbol more. Two suffixes stay
-    in one block if their symbols agree and what followed was in one block: where a pass first parts two
-    neighbours is their common prefix. No suffix is sorted again.
+    The interleave starts as shard after shard, right for prefixes of no byte. A pass reads the shards'
+    transforms in its order and deals their rows out by symbol, stably, each to the row that its shard's own last-to-first
+    mapping names, which makes it right for one symbol, two bytes, more (an odd depth begins with one byte). Two suffixes
+    stay in one block if their symbols agree and what followed was in one block: where a pass first parts two neighbours
+    is their common prefix. No suffix is sorted again.
     """
     total = sum(map(len, transforms))
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), list(map(len, transforms)))
-    block = np.zeros(total, np.int32)
-    symbols = np.empty(total, np.uint8)
-    for _ in range(depth):
-        for k, own in enumerate(transforms):
-            symbols[shard == k] = own
-        dealt = np.argsort(symbols, kind="stable")
-        shard = shard[dealt]
-        before, ordered = block[dealt], symbols[dealt]
-        block = np.zeros(total, np.int32)
-        np.cumsum((before[1:] != before[:-1]) | (ordered[1:] != ordered[:-1]), out=block[1:])
-    return shard, block
+    row = np.arange(total)
+    block, parted = np.zeros(total, np.int32), np.zeros(total, bool)
+    take = partial(np.take, mode="clip")
+    for width, passes in ((1, depth % 2), (2, depth // 2)):
+        if not passes:
+            continue
+        own = [t if width == 2 else t & np.uint16(255) for t in transforms]
+        symbols, first, base = np.concatenate(own), np.empty(total, np.int64), 0
+        for t in own:
+            first[base + np.argsort(t, kind="stable")] = np.arange(base, base + len(t))
+            base += len(t)
+        for _ in range(passes):
+            seen = take(symbols, row)
+            dealt = np.argsort(seen, kind="stable")
+            row, before, ordered = take(first, take(row, dealt)), take(block, dealt), take(seen, dealt)
+            np.not_equal(before[1:], before[:-1], out=parted[1:])
+            parted[1:] |= ordered[1:] != ordered[:-1]
+            np.cumsum(parted, out=block)
+    return row, block
 
 
 def smallest(contents: list[bytes], docs: np.ndarray, length: int, shard_bytes: int = SHARD) -> list[np.ndarray]:
@@ -145,20 +154,18 @@ def smallest(contents: list[bytes], docs: np.ndarray, length: int, shard_bytes:
     texts += [held] if held else []
     raws = [np.frombuffer(b"".join(c + bytes([END]) for c in part), np.uint8) for part in texts]
     pairs = [transform(raw, length) for raw in raws]
-    shard, block = merge([bwt for _, bwt in pairs], length)
+    row, block = merge([bwt for _, bwt in pairs], length)
     base = np.append(0, np.cumsum(list(map(len, raws))))
-    place = np.empty(len(shard), np.int64)
-    for k, (order, _) in enumerate(pairs):
-        place[shard == k] = order + base[k]
+    place = np.concatenate([order + b for (order, _), b in zip(pairs, base[:-1], strict=True)])[row]
     sizes = np.fromiter(map(len, contents), np.int64, len(contents)) + 1
     starts = np.cumsum(sizes) - sizes
     count = np.maximum(sizes - length, 0)
     inside = ragged(starts, count)
-    own = np.full(len(shard), np.iinfo(np.int64).max)
+    own = np.full(len(place), np.iinfo(np.int64).max)
     own[inside] = np.repeat(docs, count)
     first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
     least = np.minimum.reduceat(own[place], first)
-    out = np.empty(len(shard), np.int64)
+    out = np.empty(len(place), np.int64)
     out[place] = least[block]
     return np.split(out[inside], np.cumsum(count)[:-1])
 
@@ -346,7 +353,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = framed(docs, id_col, text_col).select("doc_id", "text")
     table = durable(rows.mapInArrow(_to_blocks, "block bigint, n bigint, docs binary, lengths binary, raw binary"), "blocks")
     total = table.agg(F.sum("n")).first()[0] or 0
-    few, many = max(1, total // (32 << 20)), max(1, total // (2 * BUCKET))
+    few, many = max(1, total // (8 << 20)), max(1, total // (2 * BUCKET))
     named = table.mapInArrow(_name_rows(length, few), "bucket int, block bigint, names binary, low binary, high binary")
     shared = durable(named.repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_names, "block bigint, names binary"), "shared")
     by_block = shared.groupBy("block").agg(F.collect_list("names").alias("shared"))

@@ -49,12 +49,9 @@ def test_merge_equals_sorting():
     for depth in (1, 5, 12):
         texts = [np.append(rng.integers(97, 100, n), 255).astype(np.uint8) for n in (300, 7, 120)]
         pairs = [suffix_dedup.transform(t, depth) for t in texts]
-        shard, block = suffix_dedup.merge([b for _, b in pairs], depth)
-        seen = [iter(order) for order, _ in pairs]
-        prefixes = []
-        for s in shard:
-            i = int(next(seen[s]))
-            prefixes.append(bytes(np.resize(np.roll(texts[s], -i), depth)))
+        row, block = suffix_dedup.merge([b for _, b in pairs], depth)
+        rows = [bytes(np.resize(np.roll(t, -i), depth)) for t, (order, _) in zip(texts, pairs) for i in order]
+        prefixes = [rows[i] for i in row]
         assert prefixes == sorted(prefixes)
         assert [a == b for a, b in zip(prefixes, prefixes[1:])] == (block[1:] == block[:-1]).tolist()
 
