@@ -105,7 +105,7 @@ def profiles(texts: list[str | None], dim: int, n: int = 3, by: np.ndarray | Non
 _known: dict[tuple[int, ...], int] = {}
 _matrix = np.zeros((0, 0), np.float32)
 #: N-gram vectors that a worker keeps at hand.
-KEPT = 16_384
+KEPT = 8_192
 
 
 def _vectors(letters: np.ndarray, dim: int) -> np.ndarray:

@@ -19,11 +19,22 @@ from pyspark.sql import functions as F
 from .common import blocks, durable, framed, ragged
 
 #: Distinct chunks of text whose ids a worker keeps at hand; beyond, it starts afresh.
-CACHE = 800_000
+CACHE = 400_000
 #: Marks that may follow a word within a chunk.
 MARKS = frozenset(",.;:!?")
 
 
+def folded(text: str) -> str:
+    """Lower case, as the vocabulary has it anyway, where no letter can meet a combining mark: then fewer chunks differ."""
+    if "<|" in text:  # may be a special token's name, which minds case
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class ChunkEncoder:
     """Ids of whole texts from ids of their chunks between blanks.
 
@@ -64,8 +75,9 @@ class ChunkEncoder:
         """All ids one after another, and how many each text has."""
         if len(self.code) > CACHE:
             self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        chunks = [c for s in split for c in s]
+        texts = [folded(t).replace("\n", " ") for t in texts]
+        counts = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
+        chunks = " ".join(texts).split(" ") if texts else []
         new = set(chunks).difference(self.code)
         if new:
             new, flat, n = self._encode_new(new)
@@ -75,7 +87,7 @@ class ChunkEncoder:
         codes = np.array(list(map(self.code.__getitem__, chunks)), np.int64)
         lengths = self.lengths[codes]
         per_chunk = np.append(0, np.cumsum(lengths))
-        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        ends = np.cumsum(counts)
         return self.ids[ragged(self.starts[codes], lengths)], np.diff(np.append(0, per_chunk[ends]))
 
 
@@ -98,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in blocks(batches, "text", 2 << 20):
+        for batch in blocks(batches, "text", 4 << 20):
             ids, n = own.encode([t or "" for t in batch.column("text").to_pylist()])
             docs = np.asarray(batch.column("doc_id"))
             if end_id is not None:
@@ -114,6 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
             column = pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
             arrays = [pa.array(docs[of], pa.int64()), pa.array(piece, pa.int32()), pa.array(piece * most, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), column]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        own.clear()  # other tasks of this worker need the memory
 
     rows = framed(docs, id_col, text_col).select("doc_id", "text")
     return durable(rows.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"), tag)
