@@ -1 +1,3 @@
-"""See the module docstrings."""
+"""Column helpers that keep one notion of a missing value: NULL, never NaN."""
+
+from .columns import *  # noqa: F403

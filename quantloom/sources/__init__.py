@@ -1 +1,3 @@
-"""See the module docstrings."""
+"""Readers with canonical names, and sinks."""
+
+from .tables import *  # noqa: F403
