@@ -81,7 +81,7 @@ def performance(spark, folder):
 RUN = "SELECT {k} AS k, count(*) AS length FROM (SELECT *, sum(CASE WHEN f AND NOT coalesce(pf, false) THEN 1 ELSE 0 END) OVER ({by} ORDER BY d ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(f) OVER ({by} ORDER BY d) AS pf FROM ({src}))) WHERE f GROUP BY {k}, run"
 
 
-@register("portfolio_streaks", f"""WITH {PATH}, s1 AS ({RUN.format(k="0", by="", src="SELECT d, r > 0 AS f FROM path")}), s2 AS ({RUN.format(k="0", by="", src="SELECT d, r < 0 AS f FROM path")}), s3 AS ({RUN.format(k="0", by="", src="SELECT d, drawdown < 0 AS f FROM path")})
+@register("portfolio_streaks", f"""WITH {PATH}, s1 AS ({RUN.format(k="CAST(0 AS INT)", by="", src="SELECT d, r > 0 AS f FROM path")}), s2 AS ({RUN.format(k="CAST(0 AS INT)", by="", src="SELECT d, r < 0 AS f FROM path")}), s3 AS ({RUN.format(k="CAST(0 AS INT)", by="", src="SELECT d, drawdown < 0 AS f FROM path")})
 SELECT (SELECT coalesce(max(length), 0) FROM s1) AS maximum_consecutive_wins, (SELECT coalesce(max(length), 0) FROM s2) AS maximum_consecutive_losses, {r('(SELECT coalesce(avg(length), 0) FROM s3)', 'average_drawdown_duration')}, (SELECT coalesce(max(length), 0) FROM s3) AS longest_drawdown""")
 def streaks(spark, folder):
     return shown(pf.streaks(daily(spark, folder), "d"))

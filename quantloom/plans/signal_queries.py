@@ -95,7 +95,7 @@ P_VALUES = f"{GRID}, p AS (SELECT e, CASE WHEN e % 11 <> 0 THEN avg(v) / 200 END
 
 def p_values(spark, folder):
     p = grid(spark, folder).where("v is not null").groupBy("e").agg(F.avg("v").alias("m")).where("m < 200")
-    return p.select("e", F.when(F.col("e") % 11 != 0, (F.col("m") - 100) / 400).alias("p_value"))
+    return p.select("e", F.when(F.col("e") % 11 != 0, F.col("m") / 200).alias("p_value"))
 
 
 @register("inference_holm", f"WITH {P_VALUES} SELECT e, {r('CASE WHEN p_value IS NOT NULL THEN least(max(p_value * (n - k + 1)) OVER (PARTITION BY p_value IS NOT NULL ORDER BY k ROWS UNBOUNDED PRECEDING), 1) END', 'adjusted')}, CASE WHEN p_value IS NULL THEN '' WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '(ns)' END AS stars FROM n")
