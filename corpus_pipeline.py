@@ -21,9 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the text; ``n_chars`` follows. A document that loses all its lines goes with them."""
-    kept = line_dedup.line_dedup(docs).where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
-    return unframed(kept, docs, text=F.col("kept"), n_chars=F.char_length("kept"))
+    """Repeated lines go from the text; ``n_chars`` follows. Every document stays, if only with an empty text."""
+    return unframed(line_dedup.line_dedup(docs), docs, text=F.col("kept"), n_chars=F.char_length("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
