@@ -136,9 +136,9 @@ def roc_points(df: DataFrame, decision: str, target: str, threshold: float = 0.0
     return d.select("score", F.try_divide(F.sum("n").over(w), F.sum("n").over(all_)).alias("fpr"), F.try_divide(F.sum("p").over(w), F.sum("p").over(all_)).alias("tpr"))
 
 
-def headline(df: DataFrame, time: str, score: str, target: str, k: int = 5) -> DataFrame:
+def headline(df: DataFrame, time: str, score: str, target: str, k: int = 5, order: Sequence[str] = ()) -> DataFrame:
     """Score moments, pooled correlation, coverage, directional accuracy (dates weigh the same), top minus bottom bucket."""
-    b = rank_buckets(df, score, k, [time], [time])
+    b = rank_buckets(df, score, k, [*order, time], [time])
     per = date_diagnostics(df, time, score, target).agg(F.avg("hit_rate").alias("directional_accuracy"))
     ends = b.agg((F.avg(F.when(F.col("bucket") == k, F.col(target))) - F.avg(F.when(F.col("bucket") == 1, F.col(target)))).alias("top_minus_bottom"))
     flat = df.agg(F.avg(score).alias("score_mean"), F.stddev_samp(score).alias("score_std"), pearson(F.col(score), F.col(target)).alias("pooled"), F.avg(F.col(score).isNotNull().cast("double")).alias("coverage"))

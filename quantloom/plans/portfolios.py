@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import compare
 from ..operators import portfolio as pf
 from .registry import GRID, grid, r, register, shown
 
@@ -130,3 +131,15 @@ def autocorrelation(spark, folder):
 @register("portfolio_drawdown_window", f"WITH {PATH.replace('net_return AS r, product(1 + net_return)', 'gross_return AS r, product(1 + gross_return)')}, tr AS (SELECT d AS trough FROM path ORDER BY drawdown, d LIMIT 1) SELECT trough, max(d) FILTER (abs(drawdown) <= 1e-12 AND d < trough) AS peak FROM path, tr GROUP BY trough")
 def drawdown_window(spark, folder):
     return pf.drawdown_window(daily(spark, folder), "d").select("trough", "peak")
+
+
+@register("portfolio_period_summary", f"WITH {DAILY}, " + ", ".join(f"y_{p}_{k} AS (SELECT date_trunc('{p}', d) AS period, product(1 + {k}_return) - 1 AS r FROM daily GROUP BY 1)" for p in ("month", "year") for k in ("gross", "net")) + " " + " UNION ALL ".join(f"SELECT '{p}' AS period, '{k}' AS kind, {r('avg(CAST(r > 0 AS DOUBLE))', 'positive_rate')}, {r('max(r)', 'best')}, {r('min(r)', 'worst')} FROM y_{p}_{k}" for p in ("month", "year") for k in ("gross", "net")))
+def period_summary(spark, folder):
+    return shown(compare.period_summary(daily(spark, folder), "d"))
+
+
+@register("portfolio_contribution_concentration", f"""WITH {WEIGHTS}, y AS (SELECT e AS asset, abs(sum(weight * x)) AS v FROM w GROUP BY e), k AS (SELECT v, row_number() OVER (ORDER BY v DESC, CAST(asset AS VARCHAR)) AS k FROM y)
+SELECT 'return' AS kind, {r('sum(v * v) / (sum(v) * sum(v))', 'hhi')}, {r('sum(v) FILTER (k <= 1) / sum(v)', 'top1_share')}, {r('sum(v) FILTER (k <= 5) / sum(v)', 'top5_share')}, {r('sum(v) FILTER (k <= 10) / sum(v)', 'top10_share')} FROM k""")
+def contribution_concentration(spark, folder):
+    assets = pf.attribute_assets(weighted(spark, folder), daily(spark, folder), "d", "e").where("asset <> 'Cash'")
+    return shown(compare.contribution_concentration(assets).where("kind = 'return'"))

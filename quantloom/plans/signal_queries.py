@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import compare
 from ..operators import signals as sg
 from .registry import GRID, grid, r, register, shown
 
@@ -126,3 +127,14 @@ def return_correlation(spark, folder):
 SELECT p.model AS a, q.model AS b, {r('avg(coalesce(dot, 0) / (p.n * q.n))', 'overlap')} FROM n p JOIN n q ON p.d = q.d AND p.model < q.model LEFT JOIN t ON t.a = p.model AND t.b = q.model AND t.d = p.d GROUP BY 1, 2""")
 def position_overlap(spark, folder):
     return shown(sg.position_overlap(models(spark, folder), "model", "d", "e"))
+
+
+@register("compare_signal_correlation", f"WITH {MODELS}, j AS (SELECT a.model AS a, b.model AS b, a.weight AS x, b.weight AS y FROM m a JOIN m b ON a.d = b.d AND a.e = b.e AND a.model < b.model), k AS (SELECT a, b, {ranked('x', 'a, b')} AS rx, {ranked('y', 'a, b')} AS ry FROM j) SELECT a, b, count(*) AS items, {r('corr(rx, ry)', 'correlation')} FROM k GROUP BY 1, 2")
+def signal_correlation(spark, folder):
+    return shown(compare.signal_correlation(models(spark, folder), "model", "d", "e", "weight"))
+
+
+@register("signal_headline", f"""WITH {BUCKET}, h AS (SELECT d, avg(CASE WHEN score IS NOT NULL AND target IS NOT NULL AND abs(score) > 1e-12 THEN CAST((score > 0) = (target > 0) AS DOUBLE) END) AS hit FROM b GROUP BY d)
+SELECT {r('avg(score)', 'score_mean')}, {r('stddev_samp(score)', 'score_std')}, {r('corr(score, target)', 'pooled')}, {r('avg(CAST(score IS NOT NULL AS DOUBLE))', 'coverage')}, {r('(SELECT avg(hit) FROM h)', 'directional_accuracy')}, {r('avg(target) FILTER (bucket = 5) - avg(target) FILTER (bucket = 1)', 'top_minus_bottom')} FROM b""")
+def headline(spark, folder):
+    return shown(sg.headline(panel(spark, folder), "d", "score", "target", order=["e"]))

@@ -248,3 +248,49 @@ def test_risk_free_is_causal(spark):
         align.align_risk_free(dates, rates.where(F.col("d") > D[1]), "d")
     with pytest.raises(ValueError):
         align.align_risk_free(dates, rates.unionByName(rates), "d")
+
+
+def test_plan_reports_every_mistake_then_runs(spark, tmp_path):
+    from quantloom.plans.spec import Plan, cache_key, required_history, run, validate
+
+    for name, header, lines in (("p", "date,id,close", [f"2020-01-{i + 1:02d},{e},{100 + i * e}" for i in range(6) for e in (1, 2)]), ("c", "date,vix", ["2019-12-31,10", "2020-01-03,12"])):
+        with open(f"{tmp_path}/{name}.csv", "w") as f:
+            f.write("\n".join([header, *lines]) + "\n")
+    time, entity = ("d", ColumnSpec("date", "date", "yyyy-MM-dd")), ("e", ColumnSpec("id", "bigint"))
+    sources = {"p": View(f"{tmp_path}/p.csv", time, entity, {"close": ColumnSpec("close")}), "c": View(f"{tmp_path}/c.csv", time, columns={"vix": ColumnSpec("vix")}), "unused": View("/nowhere.csv", time)}
+    specs = {"p": [{"op": "simple_change", "column": "close", "as": "r"}], "c": [{"op": "passthrough", "column": "vix", "as": "vix"}]}
+    plan = Plan(sources, "p", {"p": [("deduplicate", {})]}, specs)
+    assert validate(plan) == []
+    got = run(spark, plan).df.where("e = 2").orderBy("d").toPandas()
+    assert got.vix.isna().sum() == 2 and (got.vix__age.tolist() == [-1, -1, 0, 1, 2, 3]) and math.isclose(got.r[1], 0.02)
+    bad = Plan(sources, "gone", {"p": [("nope", {}), ("missing_threshold_filter", {"threshold": 1.0})]}, {"p": [{"op": "x"}, {"op": "ratio", "as": "a"}, {"op": "ratio", "as": "a"}]}, split=temporal.Splitter(3, 1, 1), label_shift=-2, realised={"p": ["a"]}, realisation_lag=1, kinds={"p": "odd"})
+    assert len(validate(bad)) == 8
+    with pytest.raises(ValueError):
+        run(spark, bad)
+    assert required_history([{"window": 21, "shift": 1}, {"horizon": 5}]) == 22
+    assert cache_key(plan, {"a": "1"}) != cache_key(plan, {"a": "2"})
+
+
+def test_comparison(spark):
+    from quantloom.operators import compare
+
+    rng = np.random.default_rng(8)
+    rows = [(m, D[i], float(rng.normal(mu, 0.01)), 0.0) for m, mu in (("a", 0.01), ("b", 0.011), ("c", -0.02)) for i in range(30)]
+    daily = spark.createDataFrame(rows, "model string, d date, net_return double, excess_return double").withColumn("excess_return", F.col("net_return"))
+    dm = {(a, b): q for a, b, _, q in compare.diebold_mariano_pairs(daily, "model", "d")}
+    assert dm["a", "c"] < 0.05 < dm["a", "b"] and len(compare.sharpe_pairs(daily, "model", "d", times=50)) == 3
+    kept = {m: k for m, _, k in compare.confidence_set(daily, "model", "d", times=200)}
+    assert not kept["c"] and kept["b"]
+    assert np.allclose(compare.adjusted(np.array([0.01, np.nan, 0.04, 0.03])), [0.03, np.nan, 0.06, 0.06], equal_nan=True)
+    tests = spark.createDataFrame([("a", D[0], D[9]), ("b", D[3], D[12])], "model string, start date, end date")
+    assert compare.comparison_window(tests) == (D[3], D[9]) and compare.comparison_window(tests, D[5]) == (D[3], D[5])
+    with pytest.raises(ValueError):
+        compare.comparison_window(tests, D[1])
+    base = {k: 0.0 for k in compare.ACCOUNTING}
+    compare.check_accounting({"a": base | {"leverage": 1}, "b": base | {"leverage": 2}})
+    with pytest.raises(ValueError):
+        compare.check_accounting({"a": base, "b": base | {"fee": 0.1}})
+    with pytest.raises(ValueError):
+        compare.check_realisation_lag({"a": 1, "b": 2}, 1)
+    long = compare.long_metrics(daily.agg(F.avg("net_return").alias("mean_return")), "a")
+    assert compare.metric_table(long).columns == ["model", "mean_return"] and compare.publication_table(long, ["mean_return"]).first().title == "Mean Return"
