@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import latent, models, temporal
+from ..operators import latent, models, predictions, temporal
 from ..operators.align import dense_grid
 from ..panel import Panel
 from .registry import SUP, USR, grid, r, register, shown, sup, table, usr
@@ -83,3 +83,26 @@ def ipca(spark, folder):
     g = grid(spark, folder).withColumn("size", F.col("e").cast("double")).withColumn("noise", F.pmod(F.col("e") * 7919, F.lit(101)).cast("double"))
     f = latent.estimate(g, "d", "e", "ret", ["score", "size", "noise"], 1)
     return spark.createDataFrame([(d, round(float(x[0]), 6)) for d, x in zip(f.dates, f.factors, strict=True)], "d date, factor double")
+
+
+@register("prediction_aligned_target", f"WITH {USR} SELECT a.d, a.e, {r('b.v', 'v')} FROM usr a LEFT JOIN (SELECT * FROM usr WHERE k >= 2) b ON a.d = b.d AND a.e = b.e")
+def aligned_target(spark, folder):
+    u = usr(spark, folder).withColumn("observed", F.col("k") >= 2)
+    return shown(predictions.aligned_target(u.select("d", "e"), u, ["d", "e"], "v", "observed"))
+
+
+@register("prediction_errors", f"WITH {USR} SELECT CAST(count(*) - count(DISTINCT e) AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS bad_probabilities, CAST(0 AS BIGINT) AS bad_quantiles FROM usr")
+def prediction_errors(spark, folder):
+    return predictions.prediction_errors(usr(spark, folder), ["e"], "regression", "v")
+
+
+@register("prediction_metrics", f"WITH {USR} SELECT count(*) AS n, {r('avg((v - 10 * k) * (v - 10 * k))', 'mse')}, {r('avg(abs(v - 10 * k))', 'mae')}, {r('1 - sum((v - 10 * k) * (v - 10 * k)) / (var_pop(10 * k) * count(*))', 'r_squared')} FROM usr")
+def prediction_metrics(spark, folder):
+    return shown(predictions.prediction_metrics(usr(spark, folder).withColumn("t", 10.0 * F.col("k")), "v", "t", "regression"))
+
+
+@register("prediction_objective_panel", f"WITH {USR} SELECT d, count(*) AS n, count(*) FILTER (k >= 2) AS valid, {r('sum(CASE WHEN k >= 2 THEN v ELSE 0 END)', 'total')} FROM usr GROUP BY d HAVING count(*) FILTER (k >= 2) > 0")
+def objective_panel(spark, folder):
+    u = usr(spark, folder).withColumn("ret", F.when(F.col("k") >= 2, 0.01))
+    p = predictions.objective_panel(u, "d", "v", "ret")
+    return shown(p.groupBy("d").agg(F.count("*").alias("n"), F.count_if("valid").alias("valid"), F.sum("v").alias("total")))

@@ -294,3 +294,17 @@ def test_comparison(spark):
         compare.check_realisation_lag({"a": 1, "b": 2}, 1)
     long = compare.long_metrics(daily.agg(F.avg("net_return").alias("mean_return")), "a")
     assert compare.metric_table(long).columns == ["model", "mean_return"] and compare.publication_table(long, ["mean_return"]).first().title == "Mean Return"
+
+
+def test_prediction_contract(spark):
+    from quantloom.operators import predictions
+
+    rows = [(D[0], 1, 0.5, {"a": 0.4, "b": 0.6}, {0.1: 1.0, 0.9: 2.0}), (D[0], 1, float("nan"), {"a": 0.7, "b": 0.6}, {0.1: 3.0, 0.9: 2.0}), (D[1], 1, 0.1, {"a": 1.0}, {0.5: 1.0})]
+    df = spark.createDataFrame(rows, "d date, e long, score double, p map<string,double>, q map<double,double>")
+    assert tuple(predictions.prediction_errors(df, ["d", "e"], "multiclass", probabilities="p", quantiles="q").first()) == (1, 1, 1, 1)
+    a = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.2)], "e long, t double")
+    b = spark.createDataFrame([(1, 0.5), (3, 0.2), (4, 0.1)], "e long, t double")
+    assert sorted(r.e for r in predictions.common_sample([a, b], ["e"], "t").collect()) == [1, 3]
+    with pytest.raises(ValueError):
+        predictions.common_sample([a, b.withColumn("t", F.col("t") + 1)], ["e"], "t")
+    assert predictions.same_observations(a, a, ["e"]) and not predictions.same_observations(a, b, ["e"])
