@@ -13,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, durable, framed, ragged
 
 #: Distinct chunks of text whose ids a worker keeps at hand; beyond, it starts afresh.
-CACHE = 400_000
+CACHE = 800_000
 #: Marks that may follow a word within a chunk.
 MARKS = frozenset(",.;:!?")
 
@@ -77,14 +78,16 @@ class ChunkEncoder:
             self.clear()
         texts = [folded(t).replace("\n", " ") for t in texts]
         counts = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
-        chunks = " ".join(texts).split(" ") if texts else []
+        # chunks become Python strings once each, however often they stand in these texts
+        found = pa.compute.split_pattern(pa.array([" ".join(texts)]), " ").flatten().dictionary_encode() if texts else pa.array([], pa.string()).dictionary_encode()
+        chunks, at = found.dictionary.to_pylist(), np.asarray(found.indices)
         new = set(chunks).difference(self.code)
         if new:
             new, flat, n = self._encode_new(new)
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(n) - n)
             self.lengths, self.ids = np.append(self.lengths, n), np.append(self.ids, flat)
-        codes = np.array(list(map(self.code.__getitem__, chunks)), np.int64)
+        codes = np.array([self.code[c] for c in chunks], np.int64)[at]
         lengths = self.lengths[codes]
         per_chunk = np.append(0, np.cumsum(lengths))
         ends = np.cumsum(counts)
@@ -224,18 +227,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     lookup = {k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in table.items()}
     shared = spark.sparkContext.broadcast(lookup)
 
-    @F.pandas_udf("sequence_id bigint, offset bigint")
-    def place(length, rank):
-        import pandas as pd
-
+    @F.arrow_udf("sequence_id bigint, offset bigint")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        length, rank = np.asarray(length), np.asarray(rank)
         seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-        length, rank = length.to_numpy(), rank.to_numpy()
         for k in np.unique(length):
             low, sequence, offset = shared.value[int(k)]
             own = length == k
             at = np.searchsorted(low, rank[own], side="right") - 1
             seq[own], off[own] = sequence[at] + rank[own] - low[at], offset[at]
-        return pd.DataFrame({"sequence_id": seq, "offset": off})
+        return pa.StructArray.from_arrays([pa.array(seq), pa.array(off)], ["sequence_id", "offset"])
 
     placed = ranked.withColumn("_at", place("_n", "_rank"))
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
