@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, runs
 
-BOOKS, WORDS, BEAM = 8, 256, 6
+BOOKS, WORDS, BEAM = 24, 256, 4
 #: Vectors that the codebooks are fitted on at most: those with the least hash of their id. All rows are indexed.
-SAMPLE = 8_192
+SAMPLE = 16_384
 #: Codes in a block, and queries that meet a block at a time.
 BLOCK, QUERIES = 65_536, 512
 
@@ -62,30 +62,30 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(book[codes[:, i]] for i, book in enumerate(books))
 
 
-def fit(x: np.ndarray, m: int = BOOKS, k: int = WORDS, rounds: int = 3, seed: int = 7) -> np.ndarray:
-    """Codebooks: residual k-means to begin with, then beam encoding and least squares over all books in turn."""
+def _means(rows: np.ndarray, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Mean of the rows of each word; words without rows stay."""
+    n, sums = np.bincount(word, minlength=len(before)), np.zeros_like(before)
+    np.add.at(sums, word, rows)
+    return np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], before)
+
+
+def fit(x: np.ndarray, m: int = BOOKS, k: int = WORDS, rounds: int = 2, seed: int = 7) -> np.ndarray:
+    """Codebooks: residual k-means to begin with, then beam encoding and least squares, one book at a time given the others."""
     rng = np.random.default_rng(seed)
     books, rest = np.zeros((m, k, x.shape[1]), np.float32), x.copy()
     for i in range(m):
         book = rest[rng.choice(len(rest), k, replace=len(rest) < k)].copy()
         for _ in range(6):
-            near = ((book * book).sum(axis=1) - 2 * rest @ book.T).argmin(axis=1)
-            n = np.bincount(near, minlength=k)
-            sums = np.zeros_like(book)
-            np.add.at(sums, near, rest)
-            book = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], book)
+            book = _means(rest, ((book * book).sum(axis=1) - 2 * rest @ book.T).argmin(axis=1), book)
         near = ((book * book).sum(axis=1) - 2 * rest @ book.T).argmin(axis=1)
         books[i], rest = book, rest - book[near]
     for _ in range(rounds):
-        codes = encode(x, books).astype(np.int64) + np.arange(m) * k
-        gram, right = np.zeros((m * k, m * k)), np.zeros((m * k, x.shape[1]))
+        codes = encode(x, books)
+        rest = x - decode(codes, books)
         for i in range(m):
-            np.add.at(right, codes[:, i], x)
-            for j in range(m):
-                np.add.at(gram, (codes[:, i], codes[:, j]), 1)
-        flat = books.reshape(m * k, -1).astype(np.float64)
-        # a little pull toward the books so far keeps words that are seldom used
-        books = np.linalg.solve(gram + 0.1 * np.eye(m * k), right + 0.1 * flat).reshape(m, k, -1).astype(np.float32)
+            own = rest + books[i][codes[:, i]]
+            books[i] = _means(own, codes[:, i], books[i])
+            rest = own - books[i][codes[:, i]]
     return books
 
 
@@ -168,7 +168,7 @@ def exact(metric: str, a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, each), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 200, metric: str = "ip", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 300, metric: str = "ip", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Return ``query_id, rank, vec_id, score``: each query's ``k`` nearest other rows, nearest first, ties to the smaller id.
 
     ``metric`` is ``ip`` (largest inner product) or ``l2`` (score: minus the squared distance). Queries are the usable rows for
