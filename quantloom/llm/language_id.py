@@ -160,21 +160,18 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     matrix = np.stack([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]) if names else np.zeros((0, DIM))
     dim = matrix.shape[1]
 
-    @F.pandas_udf("lang_pred string, score double")
-    def nearest(text):
-        import pandas as pd
-
+    @F.arrow_udf("lang_pred string, score double")
+    def nearest(text: pa.Array) -> pa.Array:
         lang, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
-        for part in blocks([pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), pa.array(text, pa.string())], ["at", "text"])], "text", 1 << 20):
-            if not names:
-                break
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text], ["at", "text"])
+        for part in blocks([batch], "text", 1 << 20) if names else ():
             at = np.asarray(part.column("at"))
             v = profiles(part.column("text").to_pylist(), dim, n)
             norm = np.sqrt((v * v).sum(axis=1))
             cos = v @ matrix.T / np.maximum(norm, 1e-300)[:, None]
             lang[at] = np.where(norm > 0, np.array(names, object)[cos.argmax(axis=1)], UNKNOWN)
             score[at] = np.where(norm > 0, np.clip(cos.max(axis=1), 0, 1), 0)
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     rows = framed(docs, id_col, text_col).withColumn("_found", nearest("text"))
     return rows.select("doc_id", "_found.lang_pred", "_found.score", "row")

@@ -190,13 +190,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     * rows are judged one by one; an empty table gives an empty result; input columns live in ``row`` only
     """
 
-    @F.pandas_udf("double")
-    def judged(text):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def judged(text: pa.Array) -> pa.Array:
         out = np.zeros(len(text))
-        for part in blocks([pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), pa.array(text, pa.string())], ["at", "text"])], "text", 2 << 20):
+        for part in blocks([pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text], ["at", "text"])], "text", 2 << 20):
             out[np.asarray(part.column("at"))] = model.scores([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
-        return pd.Series(out)
+        return pa.array(out)
 
     return framed(docs, id_col, text_col).select("doc_id", judged("text").alias("score"), "row")
