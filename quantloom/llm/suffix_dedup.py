@@ -29,11 +29,18 @@ END = 0xFF
 SHARD, BUCKET, BLOCK = 1 << 18, 1 << 20, 4 << 20
 
 
-def names(raw: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
-    """For each start of ``length`` bytes, the least mixed hash of the grams inside."""
+def names(raw: np.ndarray, length: int, gram: int = GRAM, at_once: int = 1 << 15) -> np.ndarray:
+    """For each start of ``length`` bytes, the least mixed hash of the grams inside; piece by piece, so that arrays stay in the cache."""
+    n = max(0, len(raw) - length + 1)
+    out = np.empty(n, np.uint64)
+    for low in range(0, n, at_once):
+        high = min(n, low + at_once)
+        out[low:high] = _names(raw[low : high + length - 1], length, gram)
+    return out
+
+
+def _names(raw: np.ndarray, length: int, gram: int) -> np.ndarray:
     n = len(raw) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
     gram = min(gram, length)
     base = 0x9E3779B97F4A7C15
     power = lambda k: np.uint64(pow(base, k, 1 << 64))
@@ -79,19 +86,22 @@ def stretches(raw: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.nd
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the text, taken as a circle, in the order of the ``depth`` symbols that follow; ties by place."""
+    """Places of the text, taken as a circle, in the order of the ``depth`` bytes that follow.
+
+    Ties may come in any order: suffixes that agree so far stand for each other in every later step.
+    """
     n = len(text)
     wide = np.append(text, np.resize(text, 8)).astype(np.uint64)
     key, known = wide[:n].copy(), 1
     for k in range(1, 8):
         key = key << np.uint64(8) | wide[k : k + n]
     known = 8
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = _ranks(key, order)
     while known < depth:
         step = min(known, depth - known)
         key = rank.astype(np.uint64) << np.uint64(32) | np.roll(rank, -step).astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank, known = _ranks(key, order), known + step
     return order
 
@@ -249,16 +259,17 @@ def _send_stretches(length: int, buckets: int) -> callable:
                 offset, text = np.empty(len(at), np.int64), bytes(row["raw"])
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
                 for low, high in zip(cut, [*cut[1:], len(at)], strict=True):
-                    seen: dict[bytes, list] = {}
-                    done = 0
-                    for i, (a, n, d, f) in enumerate(zip(at[low:high].tolist(), size[low:high].tolist(), doc[low:high].tolist(), name[low:high].tolist(), strict=True), low):
-                        known = seen.setdefault(text[a : a + n + length - 1], [done, d, f])
-                        if known[0] == done:
-                            done += n
-                        offset[i] = known[0]
-                        known[1] = min(known[1], d)
-                    sizes, least, named = np.fromiter(map(len, seen), np.int64, len(seen)), [v[1] for v in seen.values()], [v[2] for v in seen.values()]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[low])], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(b"".join(seen), sizes, np.array(least, np.int64), np.array(named, np.uint64))], ["bucket", "block", "raw", "sizes", "docs", "names"])
+                    a, n = at[low:high], size[low:high]
+                    stops = (a + n + (length - 1)).tolist()
+                    seen: dict[bytes, int] = {}
+                    of = np.array([seen.setdefault(text[x:y], len(seen)) for x, y in zip(a.tolist(), stops, strict=True)])
+                    first = np.full(len(seen), high - low)
+                    np.minimum.at(first, of, np.arange(high - low))
+                    least = np.full(len(seen), np.iinfo(np.int64).max)
+                    np.minimum.at(least, of, doc[low:high])
+                    counts = n[first]
+                    offset[low:high] = (np.cumsum(counts) - counts)[of]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[low])], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(b"".join(seen), counts + (length - 1), least, name[low:high][first])], ["bucket", "block", "raw", "sizes", "docs", "names"])
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(at, size, offset, bucket)], ["bucket", "block", "raw", "sizes", "docs", "names"])
 
     return send
@@ -267,28 +278,26 @@ def _send_stretches(length: int, buckets: int) -> callable:
 def _judge(length: int) -> callable:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, part in runs(batches, "bucket"):
-            contents, sources = {}, []
-            for raw, sizes, docs, names_ in zip(*(part.column(c).to_pylist() for c in ("raw", "sizes", "docs", "names")), strict=True):
-                ends = np.cumsum(np.frombuffer(sizes, np.int64))
-                own = []
-                for a, b, d, f in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), np.frombuffer(docs, np.int64).tolist(), np.frombuffer(names_, np.uint64).tolist(), strict=True):
-                    known = contents.setdefault(raw[a:b], [len(contents), d, f])
-                    known[1] = min(known[1], d)
-                    own.append(known[0])
-                sources.append(own)
-            unique, least = list(contents), np.array([v[1] for v in contents.values()], np.int64)
+            seen: dict[bytes, int] = {}
+            sources = []
+            for raw, sizes in zip(part.column("raw").to_pylist(), part.column("sizes").to_pylist(), strict=True):
+                ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+                sources.append(np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]))
+            unique, of = list(seen), np.concatenate(sources)
+            docs, named = (np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in (("docs", np.int64), ("names", np.uint64)))
+            least, name = np.full(len(unique), np.iinfo(np.int64).max), np.empty(len(unique), np.uint64)
+            np.minimum.at(least, of, docs)
+            name[of] = named
             # stretches that are the only one of their name are equal throughout: one interval, nothing to interleave
-            name = np.array([v[2] for v in contents.values()], np.uint64)
             _, back, times = np.unique(name, return_inverse=True, return_counts=True)
             several = np.flatnonzero(times[back] > 1)
-            found = [None] * len(unique)
+            sizes = np.fromiter(map(len, unique), np.int64, len(unique)) - (length - 1)
+            starts = np.cumsum(sizes) - sizes
+            found = np.repeat(least, sizes)
             if len(several):
-                for i, m in zip(several.tolist(), smallest([unique[i] for i in several], least[several], length), strict=True):
-                    found[i] = m
-            for i in np.flatnonzero(times[back] == 1).tolist():
-                found[i] = np.full(len(unique[i]) - length + 1, least[i])
+                found[ragged(starts[several], sizes[several])] = np.concatenate(smallest([unique[i] for i in several.tolist()], least[several], length))
             for block, own in zip(part.column("block").to_pylist(), sources, strict=True):
-                all_ = np.concatenate([found[i] for i in own])
+                all_ = found[ragged(starts[own], sizes[own])]
                 at = np.flatnonzero(np.append(True, all_[1:] != all_[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), *_arrays(np.diff(np.append(at, len(all_))), all_[at])], ["bucket", "block", "times", "least"])
 
