@@ -95,7 +95,7 @@ def sequences(docs: DataFrame, ranks: str, most: int, end_id: int, id_col: str =
             ids = pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw)])
             idx = done + np.arange(len(length))
             done += len(length)
-            arrays = [pa.array(np.full(len(length), part), pa.int32()), pa.array(idx, pa.int64()), pa.array(np.asarray(batch.column("doc_id"))[of] if batch.column("doc_id").null_count == 0 else batch.column("doc_id").take(pa.array(of)), pa.int64())]
+            arrays = [pa.array(np.full(len(length), part), pa.int32()), pa.array(idx, pa.int64()), pa.array(np.asarray(batch.column("doc_id"))[of], pa.int64())]
             arrays += [pa.array(piece, pa.int32()), pa.array(piece * most, pa.int64()), pa.array(length, pa.int32()), ids]
             yield pa.RecordBatch.from_arrays(arrays, ["part", "idx", "doc_id", "piece", "start", "length", "ids"])
 
@@ -109,7 +109,7 @@ def first_numbers(table: DataFrame) -> DataFrame:
     return sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
 
 
-def materialise(docs: DataFrame, ranks: str, path: str | None = None, key: int = 0, most: int = 256, end_id: int = 50256, per_shard: int = 65536, waves: int = 8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def materialise(docs: DataFrame, ranks: str, path: str | None = None, key: int = 0, most: int = 256, end_id: int = 50256, per_shard: int = 65536, waves: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Write all sequences to ``path`` and return (``slot, shard, record, doc_id, piece, start, length, ids_crc32``, path).
 
     A record is a little-endian 32-bit length and ``most`` unsigned 16-bit ids, padded with ``end_id``; shard ``s`` holds
