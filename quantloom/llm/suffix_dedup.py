@@ -198,28 +198,36 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, np.cumsum(lengths), np.frombuffer(row["raw"], np.uint8)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time: a block's bytes are the only copy."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _of_doc(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(ends, at, side="right")
 
 
 def _name_rows(length: int, buckets: int) -> callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                docs, ends, raw = _opened(row)
-                name, at, _ = stretches(raw, ends, length)
-                if not len(name):
-                    continue
-                doc = docs[_of_doc(ends, at)]
-                order = np.lexsort((doc, name))
-                name, doc = name[order], doc[order]
-                first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-                name, low, high = name[first], doc[first], doc[np.append(first[1:], len(doc)) - 1]
-                # names are sorted, and a bucket is a range of them
-                cut = np.searchsorted(name >> np.uint64(32), np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 32) // buckets))
-                for k, (n, a, b) in enumerate(zip(*(np.split(x, cut) for x in (name, low, high)), strict=True)):
-                    if len(n):
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(n, a, b)], ["bucket", "block", "names", "low", "high"])
+        for row in _rows(batches):
+            docs, ends, raw = _opened(row)
+            name, at, _ = stretches(raw, ends, length)
+            if not len(name):
+                continue
+            doc = docs[_of_doc(ends, at)]
+            order = np.lexsort((doc, name))
+            name, doc = name[order], doc[order]
+            first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            name, low, high = name[first], doc[first], doc[np.append(first[1:], len(doc)) - 1]
+            # least hashes crowd near zero, so a bucket comes from a hash of its own
+            bucket = (name * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(1, buckets, dtype=np.uint64))
+            for k, (n, a, b) in enumerate(zip(*(np.split(x[order], cut) for x in (name, low, high)), strict=True)):
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(n, a, b)], ["bucket", "block", "names", "low", "high"])
 
     return send
 
@@ -244,33 +252,32 @@ def _send_stretches(length: int, buckets: int) -> callable:
     """Rows of two kinds: what a bucket gets from a block, and (bucket -1) where the block's stretches stand and lie there."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                docs, ends, raw = _opened(row)
-                shared = np.sort(np.frombuffer(b"".join(row["shared"]), np.uint64))
-                name, at, size = stretches(raw, ends, length)
-                hit = np.minimum(np.searchsorted(shared, name), len(shared) - 1)
-                keep = shared[hit] == name
-                name, at, size = name[keep], at[keep], size[keep]
-                doc = docs[_of_doc(ends, at)]
-                bucket = (name % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                name, at, size, doc, bucket = (x[order] for x in (name, at, size, doc, bucket))
-                offset, text = np.empty(len(at), np.int64), bytes(row["raw"])
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
-                for low, high in zip(cut, [*cut[1:], len(at)], strict=True):
-                    a, n = at[low:high], size[low:high]
-                    stops = (a + n + (length - 1)).tolist()
-                    seen: dict[bytes, int] = {}
-                    of = np.array([seen.setdefault(text[x:y], len(seen)) for x, y in zip(a.tolist(), stops, strict=True)])
-                    first = np.full(len(seen), high - low)
-                    np.minimum.at(first, of, np.arange(high - low))
-                    least = np.full(len(seen), np.iinfo(np.int64).max)
-                    np.minimum.at(least, of, doc[low:high])
-                    counts = n[first]
-                    offset[low:high] = (np.cumsum(counts) - counts)[of]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[low])], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(b"".join(seen), counts + (length - 1), least, name[low:high][first])], ["bucket", "block", "raw", "sizes", "docs", "names"])
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(at, size, offset, bucket)], ["bucket", "block", "raw", "sizes", "docs", "names"])
+        for row in _rows(batches):
+            docs, ends, raw = _opened(row)
+            shared = np.sort(np.frombuffer(b"".join(row["shared"]), np.uint64))
+            name, at, size = stretches(raw, ends, length)
+            hit = np.minimum(np.searchsorted(shared, name), len(shared) - 1)
+            keep = shared[hit] == name
+            name, at, size = name[keep], at[keep], size[keep]
+            doc = docs[_of_doc(ends, at)]
+            bucket = (name % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            name, at, size, doc, bucket = (x[order] for x in (name, at, size, doc, bucket))
+            offset, text = np.empty(len(at), np.int64), bytes(row["raw"])
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+            for low, high in zip(cut, [*cut[1:], len(at)], strict=True):
+                a, n = at[low:high], size[low:high]
+                stops = (a + n + (length - 1)).tolist()
+                seen: dict[bytes, int] = {}
+                of = np.array([seen.setdefault(text[x:y], len(seen)) for x, y in zip(a.tolist(), stops, strict=True)])
+                first = np.full(len(seen), high - low)
+                np.minimum.at(first, of, np.arange(high - low))
+                least = np.full(len(seen), np.iinfo(np.int64).max)
+                np.minimum.at(least, of, doc[low:high])
+                counts = n[first]
+                offset[low:high] = (np.cumsum(counts) - counts)[of]
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[low])], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(b"".join(seen), counts + (length - 1), least, name[low:high][first])], ["bucket", "block", "raw", "sizes", "docs", "names"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(at, size, offset, bucket)], ["bucket", "block", "raw", "sizes", "docs", "names"])
 
     return send
 
@@ -306,40 +313,39 @@ def _judge(length: int) -> callable:
 
 def _cut(length: int) -> callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                docs, ends, raw = _opened(row)
-                edge = np.zeros(len(raw) + length + 1, np.int32)
-                if row["found"]:
-                    found = sorted(row["found"], key=lambda x: x["bucket"])
-                    least = [np.repeat(np.frombuffer(x["least"], np.int64), np.frombuffer(x["times"], np.int64)) for x in found]
-                    base = np.cumsum([0, *map(len, least)])[:-1]
-                    at, size, offset, bucket = (np.frombuffer(row["sent"][0][c], np.int64) for c in ("raw", "sizes", "docs", "names"))
-                    offset = offset + base[np.searchsorted([x["bucket"] for x in found], bucket)]
-                    place = ragged(at, size)
-                    own = np.repeat(docs[_of_doc(ends, at)], size)
-                    place = place[np.concatenate(least)[ragged(offset, size)] < own]
-                    edge[:-1] += np.bincount(place, minlength=len(edge) - 1).astype(np.int32)
-                    edge -= np.bincount(place + length, minlength=len(edge)).astype(np.int32)
-                gone = np.cumsum(edge)[: len(raw)] > 0
-                kept = raw[~gone].tobytes()
-                starts = ends - np.diff(np.append(0, ends))
-                left = np.append(0, np.cumsum(~gone))
-                step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                begins = np.zeros(len(raw) + 1, bool)
-                begins[: len(step)] = step == 1
-                begins[starts[starts < len(raw)]] |= gone[starts[starts < len(raw)]]
-                first = np.flatnonzero(begins)
-                closes = np.zeros(len(raw) + 1, bool)
-                closes[: len(step)] = step == -1
-                closes[ends[ends > 0]] |= gone[ends[ends > 0] - 1]
-                last = np.flatnonzero(closes)
-                of = _of_doc(ends, first)
-                spans = np.stack([first - starts[of], last - starts[of]], axis=1)
-                at = np.searchsorted(of, np.arange(len(docs) + 1))
-                values = [spans[a:b].tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                texts = [kept[a:b] for a, b in zip(left[starts].tolist(), left[ends].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(ends - starts), pa.array(values, pa.list_(pa.list_(pa.int64()))), pa.array(texts, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+        for row in _rows(batches):
+            docs, ends, raw = _opened(row)
+            edge = np.zeros(len(raw) + length + 1, np.int32)
+            if row["found"]:
+                found = sorted(row["found"], key=lambda x: x["bucket"])
+                least = [np.repeat(np.frombuffer(x["least"], np.int64), np.frombuffer(x["times"], np.int64)) for x in found]
+                base = np.cumsum([0, *map(len, least)])[:-1]
+                at, size, offset, bucket = (np.frombuffer(row["sent"][0][c], np.int64) for c in ("raw", "sizes", "docs", "names"))
+                offset = offset + base[np.searchsorted([x["bucket"] for x in found], bucket)]
+                place = ragged(at, size)
+                own = np.repeat(docs[_of_doc(ends, at)], size)
+                place = place[np.concatenate(least)[ragged(offset, size)] < own]
+                edge[:-1] += np.bincount(place, minlength=len(edge) - 1).astype(np.int32)
+                edge -= np.bincount(place + length, minlength=len(edge)).astype(np.int32)
+            gone = np.cumsum(edge)[: len(raw)] > 0
+            kept = raw[~gone].tobytes()
+            starts = ends - np.diff(np.append(0, ends))
+            left = np.append(0, np.cumsum(~gone))
+            step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+            begins = np.zeros(len(raw) + 1, bool)
+            begins[: len(step)] = step == 1
+            begins[starts[starts < len(raw)]] |= gone[starts[starts < len(raw)]]
+            first = np.flatnonzero(begins)
+            closes = np.zeros(len(raw) + 1, bool)
+            closes[: len(step)] = step == -1
+            closes[ends[ends > 0]] |= gone[ends[ends > 0] - 1]
+            last = np.flatnonzero(closes)
+            of = _of_doc(ends, first)
+            spans = np.stack([first - starts[of], last - starts[of]], axis=1)
+            at = np.searchsorted(of, np.arange(len(docs) + 1))
+            values = [spans[a:b].tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            texts = [kept[a:b] for a, b in zip(left[starts].tolist(), left[ends].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(ends - starts), pa.array(values, pa.list_(pa.list_(pa.int64()))), pa.array(texts, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return cut
 
