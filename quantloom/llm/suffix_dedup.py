@@ -26,6 +26,8 @@ GRAM = 20
 #: Ends a stretch within a shard; no UTF-8 text has this byte.
 END = 0xFF
 #: Bytes of stretches in a shard, in a bucket, and of text in a block.
+#: Passes of the merge after which suffixes that stand alone are left out.
+PRUNE = 4
 SHARD, BUCKET, BLOCK = 1 << 18, 1 << 20, 4 << 20
 
 
@@ -127,10 +129,12 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     mapping names, which makes it right for one symbol, two bytes, more (an odd depth begins with one byte). Two suffixes
     stay in one block if their symbols agree and what followed was in one block: where a pass first parts two neighbours
     is their common prefix. No suffix is sorted again.
+
+    A suffix alone in its block stays alone however far it is extended, so every few passes such rows are left out: what comes
+    back are the rows that share their first ``depth`` bytes with another, or nearly so.
     """
     total = sum(map(len, transforms))
-    row = np.arange(total)
-    block, parted = np.zeros(total, np.int32), np.zeros(total, bool)
+    row, block = np.arange(total), np.zeros(total, np.int32)
     take = partial(np.take, mode="clip")
     for width, passes in ((1, depth % 2), (2, depth // 2)):
         if not passes:
@@ -140,13 +144,16 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         for t in own:
             first[base + np.argsort(t, kind="stable")] = np.arange(base, base + len(t))
             base += len(t)
-        for _ in range(passes):
+        for done in range(1, passes + 1):
             seen = take(symbols, row)
             dealt = np.argsort(seen, kind="stable")
             row, before, ordered = take(first, take(row, dealt)), take(block, dealt), take(seen, dealt)
-            np.not_equal(before[1:], before[:-1], out=parted[1:])
-            parted[1:] |= ordered[1:] != ordered[:-1]
-            np.cumsum(parted, out=block)
+            parted = np.append((before[1:] != before[:-1]) | (ordered[1:] != ordered[:-1]), True)
+            if done % PRUNE == 0 and len(row):
+                several = ~(parted & np.append(True, parted[:-1]))
+                row, parted = row[several], parted[several]
+            block = np.zeros(len(row), np.int32)
+            np.cumsum(parted[:-1], out=block[1:])
     return row, block
 
 
@@ -166,17 +173,18 @@ def smallest(contents: list[bytes], docs: np.ndarray, length: int, shard_bytes:
     pairs = [transform(raw, length) for raw in raws]
     row, block = merge([bwt for _, bwt in pairs], length)
     base = np.append(0, np.cumsum(list(map(len, raws))))
-    place = np.concatenate([order + b for (order, _), b in zip(pairs, base[:-1], strict=True)])[row]
+    suffixes = np.concatenate([order + b for (order, _), b in zip(pairs, base[:-1], strict=True)])
+    place = suffixes[row]
     sizes = np.fromiter(map(len, contents), np.int64, len(contents)) + 1
     starts = np.cumsum(sizes) - sizes
     count = np.maximum(sizes - length, 0)
     inside = ragged(starts, count)
-    own = np.full(len(place), np.iinfo(np.int64).max)
+    own = np.full(len(suffixes), np.iinfo(np.int64).max)
     own[inside] = np.repeat(docs, count)
-    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    least = np.minimum.reduceat(own[place], first)
-    out = np.empty(len(place), np.int64)
-    out[place] = least[block]
+    out = own.copy()  # a string that stands once keeps its own document
+    if len(place):
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        out[place] = np.minimum.reduceat(own[place], first)[block]
     return np.split(out[inside], np.cumsum(count)[:-1])
 
 

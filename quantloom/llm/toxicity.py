@@ -22,9 +22,9 @@ WIDTH = 20
 #: Bytes in an n-gram.
 SIZES = (4, 6, 8)
 #: Labelled rows that the classifier is fitted on at most: those with the least hash of their id.
-MAX_ROWS = 40_000
+MAX_ROWS = 20_000
 #: Buckets that the regression weighs at most, and the log-likelihood ratio from which a bucket is more than chance.
-FEATURES, CHANCE = 8_192, 15.0
+FEATURES, CHANCE = 4_096, 15.0
 #: Characters between letters become one blank, so that n-grams know where words begin and end.
 GRAM_BYTES = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in LOWER_BYTES)
 
@@ -111,7 +111,7 @@ def counts(sample: DataFrame, sizes: tuple[int, ...], width: int) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array([total[0].tobytes()], pa.binary()), pa.array([total[1].tobytes()], pa.binary())], ["clean", "toxic"])
 
     clean, toxic = np.zeros(1 << width, np.int64), np.zeros(1 << width, np.int64)
-    for row in sample.mapInArrow(count, "clean binary, toxic binary").toLocalIterator():  # one row for each of the 16 partitions
+    for row in sample.mapInArrow(count, "clean binary, toxic binary").toLocalIterator(prefetchPartitions=True):  # one row for each of the 16 partitions
         clean += np.frombuffer(row.clean, np.int32)
         toxic += np.frombuffer(row.toxic, np.int32)
     return clean, toxic
@@ -132,7 +132,7 @@ def evidence(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES, sizes: tuple[int, ...] = SIZES, width: int = WIDTH, rounds: int = 300, decay: float = 1e-3, chance: float = CHANCE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES, sizes: tuple[int, ...] = SIZES, width: int = WIDTH, rounds: int = 150, decay: float = 1e-3, chance: float = CHANCE) -> Model:
     """Fit on ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label``).
 
     Without both classes in the sample every text scores the share of toxic rows. What reaches the driver is bounded by

@@ -44,9 +44,10 @@ def test_suffix_dedup_edges(spark, length):
     assert suffix_dedup.suffix_dedup(edge(spark, [])).count() == 0
 
 
-def test_merge_equals_sorting():
+def test_merge_equals_sorting(monkeypatch):
     rng = np.random.default_rng(3)
-    for depth in (1, 5, 12):
+    for depth, prune in ((1, 100), (5, 100), (12, 100), (12, 1), (30, 2)):
+        monkeypatch.setattr(suffix_dedup, "PRUNE", prune)
         texts = [np.append(rng.integers(97, 100, n), 255).astype(np.uint8) for n in (300, 7, 120)]
         pairs = [suffix_dedup.transform(t, depth) for t in texts]
         row, block = suffix_dedup.merge([b for _, b in pairs], depth)
@@ -54,6 +55,9 @@ def test_merge_equals_sorting():
         prefixes = [rows[i] for i in row]
         assert prefixes == sorted(prefixes)
         assert [a == b for a, b in zip(prefixes, prefixes[1:])] == (block[1:] == block[:-1]).tolist()
+        if prune > depth:
+            assert len(row) == len(rows)
+        assert {p for p in rows if rows.count(p) > 1} <= set(prefixes)
 
 
 def test_smallest_over_many_shards():
