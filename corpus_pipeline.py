@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import decontaminate, language_id, line_dedup, packing, queries, simhash
+from quantloom.llm import decontaminate, language_id, line_dedup, minhash, packing, queries
 from quantloom.llm.common import crc_mod, durable, unframed
 
 
@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays."""
-    groups = simhash.simhash_groups(docs)
+    """The document with the smallest id of each group of near copies stays: texts whose five-word runs are similar by 0.8 or more."""
+    groups = minhash.similar_groups(docs)
     return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
 
 

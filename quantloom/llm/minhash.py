@@ -1,0 +1,157 @@
+"""Near copies by the Jaccard similarity of their sets of word runs.
+
+Least hashes in bands find candidates: a pair at a similarity of 0.8 shares a band but for about 5 in 100,000, and a
+nearer pair more surely. Every candidate is then judged on the whole sets, so no text is linked below the bound.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import blocks, discard, durable, framed, runs
+from .components import components
+from .simhash import shingle_hashes
+
+BANDS, WIDTH = 25, 5
+#: Least similarity of near copies, as a fraction.
+LEAST = (4, 5)
+#: Sets that are judged in one go at most; a larger band value is judged in chunks of half as many.
+GROUP = 1024
+
+
+def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of each stretch of hashes that begins at ``starts``; no stretch is empty."""
+    rng = np.random.default_rng(20240611)
+    flips, odd = rng.integers(0, 1 << 64, (2, BANDS * WIDTH), np.uint64)
+    keys = np.empty((len(starts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts), band + 1, np.uint64)
+        for k in range(band * WIDTH, (band + 1) * WIDTH):
+            key = key * np.uint64(0x9E3779B97F4A7C15) ^ np.minimum.reduceat((hashes ^ flips[k]) * (odd[k] | np.uint64(1)), starts)
+            key ^= key >> np.uint64(29)
+        keys[:, band] = key
+    return keys
+
+
+def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(t or b"", n)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+
+
+def _sign(n: int) -> callable:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 1 << 18):
+            sets = _sets(batch, n)
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            full = size > 0
+            keys = band_keys(np.concatenate(sets), (np.cumsum(size) - size)[full]) if full.any() else np.zeros(0, np.uint64)
+            ends = np.append(0, np.cumsum(full * BANDS)).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_names(sets)), bands], ["doc_id", "s", "bands"])
+
+    return sign
+
+
+def _send_sets(n: int) -> callable:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 1 << 20):
+            sets = _sets(batch, n)
+            yield pa.RecordBatch.from_arrays([pa.array(_names(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["s", "hashes"])
+
+    return send
+
+
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the place of the first in its component of pairs that are similar enough; no set is empty."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(size)
+    starts, words = ends - size, np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, label = np.zeros(int(words.max()) + 1, np.int32), np.full(len(sets), -1)
+    for first in range(len(sets)):
+        if label[first] >= 0:
+            continue
+        label[first], todo = first, [first]
+        while todo and (label < 0).any():
+            i = todo.pop()
+            own = words[starts[i] : ends[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[words], starts)
+            mark[own] = 0
+            near = np.flatnonzero((label < 0) & (LEAST[1] * both >= LEAST[0] * (size + size[i] - both)))
+            label[near] = first
+            todo += near.tolist()
+    return label
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, part in runs(batches, "unit"):
+        s = np.asarray(part.column("s"))
+        label = linked([np.frombuffer(h, np.uint64) for h in part.column("hashes").to_pylist()])
+        moved = label != np.arange(len(s))
+        yield pa.RecordBatch.from_arrays([pa.array(s[moved]), pa.array(s[label[moved]])], ["u", "v"])
+
+
+def similar_links(rows: DataFrame, nodes: DataFrame, n: int, group: int) -> DataFrame:
+    """``u, v``: links that have the components of all similar pairs that share a band.
+
+    A band value with more than ``group`` sets, such as a family of thousands of edited copies, is judged in chunks, each with the
+    value's least set. Then what isn't connected to that set meets all the others, chunk by chunk: no pair is lost, and no task holds more
+    than about ``group`` sets.
+    """
+    banded = durable(nodes.select("s", F.explode("bands").alias("key")), "bands")
+    sizes = durable(banded.groupBy("key").count().where("count > 1"), "sizes")
+    many = lambda c: F.ceil(c / F.lit(max(1, group // 2))).cast("int")
+    one_of = lambda chunks: F.pmod(F.xxhash64("s"), chunks).cast("int")
+    every = lambda chunks: F.explode(F.sequence(F.lit(0), chunks - 1))
+    members = banded.join(sizes.where(F.col("count") <= group), "key").groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("members"))
+    units = members.select("members").distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("s"))
+    hot = durable(banded.join(sizes.where(F.col("count") > group), "key").select("key", "s", many(F.col("count")).alias("chunks")), "hot")
+    least = hot.groupBy("key").agg(F.min("s").alias("s"), F.first("chunks").alias("chunks"))
+    units = units.unionByName(hot.select(F.xxhash64("key", one_of(F.col("chunks"))).alias("unit"), "s"))
+    units = durable(units.unionByName(least.select("key", "s", every(F.col("chunks")).alias("c")).select(F.xxhash64("key", "c").alias("unit"), "s")).distinct(), "units")
+    wanted = units.select("s").distinct().join(nodes, "s").select(F.col("first").alias("doc_id"), "s")
+    texts = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    sets = durable(texts.mapInArrow(_send_sets(n), "s bigint, hashes binary").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]), "sets")
+
+    def judged(units: DataFrame) -> DataFrame:
+        return units.join(sets, "s").select("unit", "s", "hashes").repartition("unit").sortWithinPartitions("unit").mapInArrow(_judge, "u bigint, v bigint")
+
+    found = durable(judged(units), "near")
+    discard(banded, sizes)
+    if hot.isEmpty():
+        return found
+    roots = components(found)
+    rooted = hot.join(roots, hot["s"] == roots["node"], "left").select("key", "s", "chunks", F.coalesce("root", "s").alias("root"))
+    main = rooted.join(least.select("key", "s"), ["key", "s"]).select("key", F.col("root").alias("main"))
+    rest = durable(rooted.join(main, "key").where("root <> main").select("key", "s", "chunks"), "rest")
+    parts = rest.groupBy("key").agg(many(F.count("*")).alias("parts"))
+    a = rest.join(parts, "key").select("key", "s", one_of(F.col("parts")).alias("i"), every(F.col("chunks")).alias("j"))
+    b = hot.join(parts, "key").select("key", "s", one_of(F.col("chunks")).alias("j"), every(F.col("parts")).alias("i"))
+    return found.unionByName(judged(a.unionByName(b.select(a.columns)).select(F.xxhash64("key", "i", "j").alias("unit"), "s").distinct()))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, group: int = GROUP) -> DataFrame:
+    """Return ``doc_id, component_id`` for every row of ``docs`` with an id; ``component_id`` is the smallest ``doc_id`` reachable.
+
+    Two texts are linked if their sets of runs of ``n`` words (A-Z lower-cased) have a Jaccard similarity of ``LEAST`` or more.
+
+    * equal sets are one node, so thousands of copies cost one row in the search
+    * null and empty texts, and texts without words, are equal; fewer than ``n`` words make one run
+    * an empty table gives an empty result; other columns are not read
+    """
+    rows = framed(docs, id_col, text_col).select("doc_id", "text")
+    signed = durable(rows.mapInArrow(_sign(n), "doc_id bigint, s bigint, bands array<bigint>"), "signed")
+    nodes = durable(signed.groupBy("s").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
+    roots = components(similar_links(rows, nodes, n, group))
+    labelled = nodes.join(roots, nodes["s"] == roots["node"], "left").select("s", "first", F.coalesce("root", "s").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    return signed.join(labelled.join(least, "root").select("s", "component_id"), "s").select("doc_id", "component_id")
