@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, runs
+from .common import durable, ragged, runs
 
 BOOKS, WORDS, BEAM = 24, 256, 4
 #: Vectors that the codebooks are fitted on at most: those with the least hash of their id. All rows are indexed.
 SAMPLE = 16_384
 #: Codes in a block, and queries that meet a block at a time.
 BLOCK, QUERIES = 65_536, 512
+#: Pairs that a search task sends on at a time, about.
+PAIRS = 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -95,39 +97,46 @@ def train(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     return fit(np.array(rows["v"].tolist(), np.float32)) if len(rows) else None
 
 
-def build(vectors: DataFrame, books: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """Durable ``shard, ids, codes, norms``: the codes of all vectors, dealt by hash into blocks of about ``block``."""
+def build(vectors: DataFrame, books: np.ndarray, copies: int, block: int = BLOCK) -> DataFrame:
+    """Durable ``shard, ids, counts, codes, norms``: the distinct codes of all vectors, dealt by hash into blocks of about ``block``.
+
+    ``counts`` says how many of ``ids`` each code has. Of equal vectors only the ``copies`` smallest ids of a shard are there.
+    """
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 codes = encode(_matrix(batch.column("v")), books)
                 norms = (decode(codes, books) ** 2).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "code", "norm"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), batch.column("same")], ["vec_id", "code", "norm", "same"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, part in runs(batches, "shard"):
-            ids, codes, norms = part.column("vec_id"), part.column("code"), part.column("norm")
-            raw = [np.asarray(ids, dtype=np.int64).tobytes(), b"".join(codes.to_pylist()), np.asarray(norms, dtype=np.float32).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([r], pa.binary()) for r in raw]], ["shard", "ids", "codes", "norms"])
-
-    coded = durable(vectors.select("vec_id", "v").mapInArrow(code, "vec_id bigint, code binary, norm float"), "codes")
+            ids, same, norms = (np.asarray(part.column(c)) for c in ("vec_id", "same", "norm"))
+            codes = np.frombuffer(b"".join(part.column("code").to_pylist()), f"V{len(books)}")
+            _, first, of = np.unique(codes, return_index=True, return_inverse=True)
+            order = np.lexsort((ids, same, of))
+            new = np.append(True, (np.diff(of[order]) != 0) | (np.diff(same[order]) != 0))
+            at = np.arange(len(ids))
+            order = order[at - np.maximum.accumulate(np.where(new, at, 0)) < copies]
+            raw = [x.tobytes() for x in (ids[order], np.bincount(of[order]), codes[first], norms[first])]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([r], pa.binary()) for r in raw]], ["shard", "ids", "counts", "codes", "norms"])
+
+    coded = durable(vectors.select("vec_id", "v", F.xxhash64("v").alias("same")).mapInArrow(code, "vec_id bigint, code binary, norm float, same bigint"), "codes")
     shards = max(1, -(-coded.count() // block))
     dealt = coded.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "vec_id")
-    return durable(dealt.mapInArrow(gather, "shard int, ids binary, codes binary, norms binary"), "index")
+    return durable(dealt.mapInArrow(gather, "shard int, ids binary, counts binary, codes binary, norms binary"), "index")
 
 
-def best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` largest; of equal ones the first."""
+def best(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of the ``k`` largest and of all that fall short of them by ``slack`` or less."""
     if len(scores) <= k:
         return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    above = np.flatnonzero(scores > least)
-    return np.append(above, np.flatnonzero(scores == least)[: k - len(above)])
+    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - slack)
 
 
 def shortlist(index: DataFrame, queries: DataFrame, books: np.ndarray, shards: int, keep: int, metric: str) -> DataFrame:
-    """``query_id, vec_id``: for each query the ``keep`` best codes of each shard, by lookup tables.
+    """``query_id, vec_id``: for each query all vectors of the ``keep`` best distinct codes of each shard, by lookup tables.
 
     Queries come in blocks, of which each shard gets its own copy: an equi-join on the shard's number. No list of
     all queries or all codes is ever in one place.
@@ -143,22 +152,30 @@ def shortlist(index: DataFrame, queries: DataFrame, books: np.ndarray, shards: i
                 q = one.column("q").flatten()
                 qid, qv = np.asarray(q.field("vec_id")), _matrix(q.field("v"))
                 ids = np.frombuffer(one.column("ids")[0].as_py(), np.int64)
-                codes = np.frombuffer(one.column("codes")[0].as_py(), np.uint8).reshape(len(ids), -1)
+                counts = np.frombuffer(one.column("counts")[0].as_py(), np.int64)
+                starts = np.cumsum(counts) - counts
+                codes = np.frombuffer(one.column("codes")[0].as_py(), np.uint8).reshape(len(counts), -1)
                 norms = np.frombuffer(one.column("norms")[0].as_py(), np.float32)
                 columns = [np.ascontiguousarray(codes[:, i]) for i in range(codes.shape[1])]
                 tables = np.einsum("qd,mkd->qmk", qv, books, optimize=True)
-                a, b = [], []
+                # what rounding may move two sums apart: codes that it can't tell apart all stay
+                slack = 4 * len(columns) * np.finfo(np.float32).eps * (np.abs(tables).max(axis=2).sum(axis=1) + norms.max())
+                a, b, held = [], [], 0
                 for i in range(len(qid)):
                     s = tables[i, 0][columns[0]]
                     for m in range(1, len(columns)):
                         s += tables[i, m][columns[m]]
                     if metric == "l2":
                         s = 2 * s - norms
-                    top = best(s, keep + 1)
-                    top = top[ids[top] != qid[i]]
-                    a.append(np.full(len(top), qid[i]))
-                    b.append(ids[top])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["query_id", "vec_id"])
+                    top = best(s, keep + 1, slack[i])
+                    near = ids[ragged(starts[top], counts[top])]
+                    near = near[near != qid[i]]
+                    a.append(np.full(len(near), qid[i]))
+                    b.append(near)
+                    held += len(near)
+                    if held >= PAIRS or i == len(qid) - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["query_id", "vec_id"])
+                        a, b, held = [], [], 0
 
     return index.join(sent, "shard").mapInArrow(look_up, "query_id bigint, vec_id bigint")
 
@@ -175,7 +192,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 300, m
     which ``is_query`` (on ``vec_id``) holds; candidates are all usable rows but the query's own id.
 
     * unusable vectors take no part; queries with fewer than ``k`` candidates get them all
-    * equal vectors have equal codes, so a large group of copies competes by id alone
+    * equal vectors compete by id alone, so each shard holds ``k + 1`` of them at most; all others of a code are ranked exactly, so
+      a family of vectors that the codes can't tell apart costs each query near it a pair for each member
     * rows that repeat an id are one vector, the first by value; vectors must have one length
     * an empty table gives an empty result; other columns are not read
     """
@@ -183,7 +201,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 300, m
     books = train(rows)
     if books is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    index, queries = build(rows, books), rows.where(is_query)
+    index, queries = build(rows, books, k + 1), rows.where(is_query)
     pairs = shortlist(index, queries, books, max(1, index.count()), keep, metric)
     scored = pairs.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     scored = scored.select("query_id", "vec_id", exact(metric, F.col("q"), F.col("v")).alias("score"))
