@@ -84,23 +84,53 @@ def test_decontamination(spark, sf):
     assert any(r[-1] for r in brute_items(docs, items))
 
 
-@pytest.mark.parametrize("most", [500_000, 12])
+@pytest.mark.parametrize("most", [50_000, 2])
 def test_decontamination_edges(spark, most):
     items = [(1, "same line of TEXT here another"), (2, None), (3, ""), (4, "word"), (5, " ".join(f"w{i}" for i in range(40, 60))), (5, "naïve word"), (6, "absent words")]
     frame = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.find_items(edge(spark), frame, pass_terms=most)
-    rows = [(r.doc_id, r.n_words, sum(b - a for a, b in r.spans), len(r.items), decontaminate.digest(r.items), bool(r.spans)) for r in got.collect()]
-    assert sorted(rows) == brute_items([r[:2] for r in EDGE], items)
+    rows = EDGE + [EDGE[2], (3, "word", "en"), (3, "word word", "en")]
+    got = decontaminate.find_items(edge(spark, rows), frame, pass_windows=most)
+    found = [(r.doc_id, r.n_words, sum(b - a for a, b in r.spans), len(r.items), decontaminate.digest(r.items), bool(r.spans)) for r in got.collect()]
+    assert sorted(found) == brute_items([r[:2] for r in rows], items)
     none = decontaminate.find_items(edge(spark), frame.limit(0)).collect()
     assert len(none) == len(EDGE) and not any(r.spans for r in none)
     assert decontaminate.find_items(edge(spark, []), frame).count() == 0
 
 
-def test_proximity(spark):
-    items = spark.createDataFrame([(1, "here another shared")], "item_id long, text string")
-    got = {r.doc_id: r.spans for r in decontaminate.find_items(edge(spark), items, slack=6).collect()}
-    assert {d for d, s in got.items() if s} == {3, 4, 5}
-    assert not any(r.spans for r in decontaminate.find_items(edge(spark), items, slack=1).collect())
+def test_decontaminate_judges_rows(spark):
+    rows = [(1, "a clean text", "en"), (1, "the benchmark passage", "en"), (None, "the benchmark passage", None), (None, "no such thing", None), (2, None, None), (2, "", None), (2, "", None)]
+    items = spark.createDataFrame([(1, "benchmark passage")], "item_id long, text string")
+    docs = edge(spark, rows).withColumn("_gone", F.lit(1))
+    left = decontaminate.decontaminate(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "no such thing"), (1, "a clean text"), (2, ""), (2, ""), (2, "")]
+
+
+def brute_near(docs, items, slack):
+    """Spans by the rule of proximity, for items that are one window."""
+    counts, out = Counter(w for _, t in docs for w in words(t)), {}
+    for d, t in docs:
+        w, hit = words(t), set()
+        for _, item in items:
+            own = words(item)
+            k = min(range(len(own)), key=lambda i: (counts[own[i]], i))
+            for at in (i for i, x in enumerate(w) if x == own[k]):
+                near = [min((i for i, x in enumerate(w) if x == y), key=lambda i: (abs(i - at), i), default=None) for y in own]
+                if all(i is not None and abs(i - at) <= slack for i in near):
+                    hit |= set(range(min(near), max(near) + 1))
+        out[d] = hit
+    return out
+
+
+@pytest.mark.parametrize("slack", [1, 3, 6])
+def test_proximity(spark, slack):
+    import random
+
+    rng = random.Random(slack)
+    docs = [(1, "x b"), (2, "a y y y b"), (3, "b a"), (4, "c c a"), (5, None)] + [(d, " ".join(rng.choices("abcdefyz", k=rng.randint(0, 12)))) for d in range(10, 200)]
+    items = [(1, "a b"), (2, "c d c"), (3, "e f a b"), (4, "z q")]
+    got = decontaminate.find_items(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"), slack=slack)
+    assert {r.doc_id: {i for a, b in r.spans for i in range(a, b)} for r in got.collect()} == brute_near(docs, items, slack)
 
 
 @cache
