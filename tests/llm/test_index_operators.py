@@ -100,6 +100,26 @@ def test_training_order(spark, tmp_path):
     assert empty.count() == 0 and list(training_order.Reader(path).read()) == []
 
 
+def test_order_does_not_hang_on_the_layout(spark, tmp_path):
+    ranks, docs = queries.tokenizer_path("byte_bpe_50k.tiktoken"), edge(spark, EDGE + EDGE[2:5] * 3)
+    found = []
+    for k, parts in enumerate((2, 50)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(3 + 4 * k))
+        rows, path = training_order.materialise(docs.repartition(parts), ranks, f"file://{tmp_path}/{k}", key=9, most=64, per_shard=500, waves=1 + k)
+        found.append((sorted((r.slot, r.doc_id, r.piece, r.ids_crc32) for r in rows.collect()), [x.tolist() for _, x in training_order.Reader(path).read()]))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
+def test_long_white_space():
+    own = training_order._ranks(queries.tokenizer_path("byte_bpe_50k.tiktoken"))
+    mixed = " \t\n\u3000\x85 "
+    for text in ("a" + mixed * 20 + "b" + " " * 90, " " * 50 + "x", mixed * 9, "x\u3000\u3000" * 40, "\x1c" * 60 + " " * 40 + "\n", "a" + " " * 41 + "\x1fb", "  a " + "\n" * 40 + " 's " * 30):
+        assert training_order.encoded(own, text, 40) == own.encode_ordinary(text)
+    for text in (" " * 5_000_000 + "a", "a" + mixed * 800_000):
+        assert own.decode(training_order.encoded(own, text)) == text
+
+
 def brute_nearest(rows, k=20):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows], np.float64)
