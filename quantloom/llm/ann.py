@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is encoded as a sum of full-dimensional codewords, one from each codebook, found by beam search over
-residuals. Codes and the norms of the sums are stored; a query scores all codes by lookup tables, and the best are
-ranked again by the exact measure on the original vectors.
+A vector's direction is encoded as a sum of full-dimensional codewords, one from each codebook, found by beam search
+over residuals; its norm is stored beside the code. A query scores all codes by lookup tables, and the vectors of the
+best codes are ranked again by the exact measure on the original vectors, where they lie in the index.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, ragged, runs
+from .common import discard, durable, ragged
 
 BOOKS, WORDS, BEAM = 24, 256, 4
 #: Vectors that the codebooks are fitted on at most: those with the least hash of their id. All rows are indexed.
 SAMPLE = 16_384
-#: Codes in a block, and queries that meet a block at a time.
-BLOCK, QUERIES = 65_536, 512
-#: Pairs that a search task sends on at a time, about.
-PAIRS = 1 << 20
+#: Vectors in a row of the index at most, queries that meet it at a time, and bytes of the queries of one pass over the index.
+BLOCK, QUERIES, PASS_BYTES = 16_384, 512, 16 << 20
+#: Codes with norms that differ by less than this power of two count as one.
+STEP = 1 / 32
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -36,7 +36,17 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), -1)
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors as float32, norms) of rows that aren't zero; no finite component is too large or too small."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    y = x / top
+    size = np.sqrt((y * y).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        norms = np.minimum((top * size)[:, 0], np.finfo(np.float64).max)
+    return (y / size).astype(np.float32), norms
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -91,119 +101,194 @@ def fit(x: np.ndarray, m: int = BOOKS, k: int = WORDS, rounds: int = 2, seed: in
     return books
 
 
-def train(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
-    """Codebooks from at most ``sample`` usable vectors (``vec_id, v``); the bounded sample passes through the driver."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
-    return fit(np.array(rows["v"].tolist(), np.float32)) if len(rows) else None
+def train(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Codebooks from the directions of at most ``sample`` usable vectors (``vec_id, v``), fitted in one task; only they reach the driver."""
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [directions(_matrix(b.column("v")))[0] for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([fit(np.concatenate(held)).tobytes()], pa.binary())], ["books"])
+
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").coalesce(1)
+    return np.frombuffer(chosen.mapInArrow(fitted, "books binary").first().books, np.float32).reshape(BOOKS, WORDS, -1)
+
 
+INDEX = "ids binary, vectors binary, counts binary, codes binary, low binary, high binary, queries binary"
 
-def build(vectors: DataFrame, books: np.ndarray, copies: int, block: int = BLOCK) -> DataFrame:
-    """Durable ``shard, ids, counts, codes, norms``: the distinct codes of all vectors, dealt by hash into blocks of about ``block``.
 
-    ``counts`` says how many of ``ids`` each code has. Of equal vectors only the ``copies`` smallest ids of a shard are there.
+def build(vectors: DataFrame, books: np.ndarray, parts: int, copies: int, block: int = BLOCK) -> DataFrame:
+    """Durable index of ``vectors`` (``vec_id, v, q``): rows of at most ``block`` vectors, dealt by hash of the id.
+
+    A row holds its distinct codes with the ``low`` and ``high`` norms of their vectors, how many vectors each has
+    (``counts``), ids and vectors in that order, and which of them are ``queries``. Of equal vectors in a row, beside queries only
+    the ``copies`` smallest ids are ranked, so the others are left out.
     """
+    shared = vectors.sparkSession.sparkContext.broadcast(books)
+
+    def row(ids: np.ndarray, x: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
+        same = np.unique(np.ascontiguousarray(x + 0.0).view(f"V{8 * x.shape[1]}").ravel(), return_inverse=True)[1]
+        order = np.lexsort((ids, same))
+        new = np.append(True, np.diff(same[order]) != 0)
+        at = np.arange(len(ids))
+        stay = np.zeros(len(ids), bool)
+        stay[order] = at - np.maximum.accumulate(np.where(new, at, 0)) < copies
+        stay |= asks
+        ids, x, asks = ids[stay], x[stay], asks[stay]
+        unit, norms = directions(x)
+        key = np.empty(len(ids), [("code", f"V{BOOKS}"), ("size", "<i4")])
+        key["code"] = encode(unit, shared.value).view(f"V{BOOKS}").ravel()
+        key["size"] = np.floor(np.log2(norms) / STEP)
+        _, first, of = np.unique(key.view(f"V{BOOKS + 4}"), return_index=True, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        counts = np.bincount(of)
+        starts = np.cumsum(counts) - counts
+        low, high = np.minimum.reduceat(norms[order], starts), np.maximum.reduceat(norms[order], starts)
+        raw = [a.tobytes() for a in (ids[order], x[order], counts, key["code"][first], low, high, asks[order])]
+        return pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in raw], [c.split()[0] for c in INDEX.split(", ")])
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.asarray(batch.column("vec_id"))
+            once = np.append(ids[0] != last, ids[1:] != ids[:-1])
+            last = ids[-1]
+            held.append((ids[once], _matrix(batch.column("v"))[once], np.asarray(batch.column("q").cast(pa.int8())).astype(bool)[once]))
+            while sum(len(h[0]) for h in held) >= block:
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                yield row(*[c[:block] for c in whole])
+                held = [tuple(c[block:] for c in whole)]
+        if sum(len(h[0]) for h in held):
+            yield row(*[np.concatenate(c) for c in zip(*held, strict=True)])
+
+    dealt = vectors.repartition(parts, "vec_id").sortWithinPartitions("vec_id", "v")
+    return durable(dealt.mapInArrow(gather, INDEX), "index")
+
+
+def _asked(dim: int) -> callable:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                codes = encode(_matrix(batch.column("v")), books)
-                norms = (decode(codes, books) ** 2).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), batch.column("same")], ["vec_id", "code", "norm", "same"])
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["queries"], bool)
+                ids, x = np.frombuffer(row["ids"], np.int64)[own], np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)[own]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.tobytes() for v in x], pa.binary())], ["query_id", "q"])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, part in runs(batches, "shard"):
-            ids, same, norms = (np.asarray(part.column(c)) for c in ("vec_id", "same", "norm"))
-            codes = np.frombuffer(b"".join(part.column("code").to_pylist()), f"V{len(books)}")
-            _, first, of = np.unique(codes, return_index=True, return_inverse=True)
-            order = np.lexsort((ids, same, of))
-            new = np.append(True, (np.diff(of[order]) != 0) | (np.diff(same[order]) != 0))
-            at = np.arange(len(ids))
-            order = order[at - np.maximum.accumulate(np.where(new, at, 0)) < copies]
-            raw = [x.tobytes() for x in (ids[order], np.bincount(of[order]), codes[first], norms[first])]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([r], pa.binary()) for r in raw]], ["shard", "ids", "counts", "codes", "norms"])
-
-    coded = durable(vectors.select("vec_id", "v", F.xxhash64("v").alias("same")).mapInArrow(code, "vec_id bigint, code binary, norm float, same bigint"), "codes")
-    shards = max(1, -(-coded.count() // block))
-    dealt = coded.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "vec_id")
-    return durable(dealt.mapInArrow(gather, "shard int, ids binary, counts binary, codes binary, norms binary"), "index")
-
-
-def best(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
-    """Places of the ``k`` largest and of all that fall short of them by ``slack`` or less."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - slack)
-
-
-def shortlist(index: DataFrame, queries: DataFrame, books: np.ndarray, shards: int, keep: int, metric: str) -> DataFrame:
-    """``query_id, vec_id``: for each query all vectors of the ``keep`` best distinct codes of each shard, by lookup tables.
-
-    Queries come in blocks, of which each shard gets its own copy: an equi-join on the shard's number. No list of
-    all queries or all codes is ever in one place.
+    return asked
+
+
+def best(scores: np.ndarray, k: int) -> float:
+    """The ``k``-th largest score, or less than all if there are fewer."""
+    return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+
+
+def exact(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """The measure of each row of ``x``, summed component by component, so that equal vectors get equal scores."""
+    out = np.zeros(len(x))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(len(q)):
+            out += x[:, j] * q[j] if metric == "ip" else -((x[:, j] - q[j]) ** 2)
+    return out
+
+
+def bounds(s: np.ndarray, low: np.ndarray, high: np.ndarray, size: float, metric: str) -> np.ndarray:
+    """The largest score that a vector of each code may have by its cosine ``s`` with the query and the range of its norm.
+
+    For ``l2``, what depends on the query alone is left out.
     """
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-queries.count() // QUERIES)))).cast("int")
-    grouped = queries.groupBy(block.alias("qb")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    sent = grouped.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    with np.errstate(over="ignore", invalid="ignore"):
+        if metric == "ip":
+            return s * np.where(s > 0, high, low)
+        norm = np.clip(size * s, low, high)
+        out = 2 * size * s * norm - norm * norm
+    return np.where(np.isnan(out), np.inf, out)
+
+
+def _look_up(shared, books, k: int, keep: int, metric: str) -> callable:
+    """The ``k`` nearest of each query of a pass among all vectors that a task reads."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, qx = shared.value
+        unit, sizes = directions(qx)
+        dim, n = qx.shape[1], len(qid)
+        found_score, found_id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        filled, reach = np.zeros(n, np.int64), np.full(n, -np.inf)
         for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                q = one.column("q").flatten()
-                qid, qv = np.asarray(q.field("vec_id")), _matrix(q.field("v"))
-                ids = np.frombuffer(one.column("ids")[0].as_py(), np.int64)
-                counts = np.frombuffer(one.column("counts")[0].as_py(), np.int64)
-                starts = np.cumsum(counts) - counts
-                codes = np.frombuffer(one.column("codes")[0].as_py(), np.uint8).reshape(len(counts), -1)
-                norms = np.frombuffer(one.column("norms")[0].as_py(), np.float32)
-                columns = [np.ascontiguousarray(codes[:, i]) for i in range(codes.shape[1])]
-                tables = np.einsum("qd,mkd->qmk", qv, books, optimize=True)
-                # what rounding may move two sums apart: codes that it can't tell apart all stay
-                slack = 4 * len(columns) * np.finfo(np.float32).eps * (np.abs(tables).max(axis=2).sum(axis=1) + norms.max())
-                a, b, held = [], [], 0
-                for i in range(len(qid)):
-                    s = tables[i, 0][columns[0]]
-                    for m in range(1, len(columns)):
-                        s += tables[i, m][columns[m]]
-                    if metric == "l2":
-                        s = 2 * s - norms
-                    top = best(s, keep + 1, slack[i])
-                    near = ids[ragged(starts[top], counts[top])]
-                    near = near[near != qid[i]]
-                    a.append(np.full(len(near), qid[i]))
-                    b.append(near)
-                    held += len(near)
-                    if held >= PAIRS or i == len(qid) - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["query_id", "vec_id"])
-                        a, b, held = [], [], 0
-
-    return index.join(sent, "shard").mapInArrow(look_up, "query_id bigint, vec_id bigint")
-
-
-def exact(metric: str, a: Column, b: Column) -> Column:
-    each = (lambda x, y: x * y) if metric == "ip" else (lambda x, y: -(x - y) * (x - y))
-    return F.aggregate(F.zip_with(a, b, each), F.lit(0.0), lambda s, x: s + x)
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 300, metric: str = "ip", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+                ids, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64)
+                x = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
+                low, high = np.frombuffer(row["low"], np.float64), np.frombuffer(row["high"], np.float64)
+                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(counts), -1)
+                starts, columns = np.cumsum(counts) - counts, [np.ascontiguousarray(codes[:, i]) for i in range(codes.shape[1])]
+                for first in range(0, n, QUERIES):
+                    tables = np.einsum("qd,mkd->qmk", unit[first : first + QUERIES], books.value, optimize=True)
+                    # what rounding may move two sums apart: codes that it can't tell apart all stay
+                    slack = 4 * len(columns) * np.finfo(np.float32).eps * np.abs(tables).max(axis=2).sum(axis=1)
+                    for i, table in enumerate(tables, first):
+                        s = table[0][columns[0]]
+                        for m in range(1, len(columns)):
+                            s += table[m][columns[m]]
+                        s = s.astype(np.float64)
+                        # a code that fewer than keep others surpass in some row of the index is looked at
+                        reach[i] = max(reach[i], best(bounds(s - slack[i - first], low, high, sizes[i], metric), keep + 1))
+                        top = np.flatnonzero(bounds(s + slack[i - first], low, high, sizes[i], metric) >= reach[i])
+                        near = ragged(starts[top], counts[top])
+                        near = near[ids[near] != qid[i]]
+                        score = exact(x[near], qx[i], metric)
+                        score, own = np.append(found_score[i, : filled[i]], score), np.append(found_id[i, : filled[i]], ids[near])
+                        if len(score) > k:
+                            some = np.flatnonzero(score >= best(score, k)) if not np.isnan(score).any() else np.arange(len(score))
+                            score, own = score[some], own[some]
+                        order = np.lexsort((own, -score))[:k]
+                        filled[i] = len(order)
+                        found_score[i, : len(order)], found_id[i, : len(order)] = score[order], own[order]
+        inside = np.arange(k)[None, :] < filled[:, None]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, filled)), pa.array(found_id[inside]), pa.array(found_score[inside])], ["query_id", "vec_id", "score"])
+
+    return look_up
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 300, metric: str = "ip", id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Return ``query_id, rank, vec_id, score``: each query's ``k`` nearest other rows, nearest first, ties to the smaller id.
 
     ``metric`` is ``ip`` (largest inner product) or ``l2`` (score: minus the squared distance). Queries are the usable rows for
     which ``is_query`` (on ``vec_id``) holds; candidates are all usable rows but the query's own id.
 
-    * unusable vectors take no part; queries with fewer than ``k`` candidates get them all
-    * equal vectors compete by id alone, so each shard holds ``k + 1`` of them at most; all others of a code are ranked exactly, so
-      a family of vectors that the codes can't tell apart costs each query near it a pair for each member
-    * rows that repeat an id are one vector, the first by value; vectors must have one length
+    * unusable vectors take no part, nor do vectors of another length than the most frequent one (of equally frequent ones the
+      shortest); queries with fewer than ``k`` candidates get them all
+    * components may be as large or small as a double can be: directions are quantised, norms stored as they are
+    * equal vectors compete by id alone, so each row of the index ranks ``k + 1`` of them at most; all others of a code are
+      ranked exactly where they lie, so a family of vectors that the codes can't tell apart sends on no more than ``k`` a query and task
+    * rows that repeat an id are one vector, the first by value
     * an empty table gives an empty result; other columns are not read
+
+    Queries meet the index in passes of ``pass_bytes`` of vectors, which are broadcast. A task reads whole rows of the index, keeps
+    the ``k`` nearest of each query of the pass, and sends on these alone.
     """
-    rows = durable(usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    spark, schema = vectors.sparkSession, "query_id bigint, vec_id bigint, score double"
+    rows = usable(vectors, id_col, vec_col)
+    lengths = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if lengths is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    dim, total = lengths.dim, lengths["count"]
+    rows = rows.where(F.size("v") == dim)
     books = train(rows)
-    if books is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    index, queries = build(rows, books, k + 1), rows.where(is_query)
-    pairs = shortlist(index, queries, books, max(1, index.count()), keep, metric)
-    scored = pairs.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    scored = scored.select("query_id", "vec_id", exact(metric, F.col("q"), F.col("v")).alias("score"))
+    parts = max(-(-total // block), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 1024)))
+    index = build(rows.withColumn("q", F.coalesce(is_query, F.lit(False))), books, parts, k + 1, block)
+    asked = durable(index.select("ids", "vectors", "queries").mapInArrow(_asked(dim), "query_id bigint, q binary"), "asked")
+    passes = max(1, -(-asked.count() * 8 * dim // pass_bytes))
+    shared_books, found = spark.sparkContext.broadcast(books), []
+    for part in range(passes):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == part).toArrow()
+        if own.num_rows:
+            held = (np.asarray(own.column("query_id").combine_chunks()), np.frombuffer(b"".join(own.column("q").to_pylist()), np.float64).reshape(-1, dim))
+            shared = spark.sparkContext.broadcast(held)
+            found.append(durable(index.drop("queries").mapInArrow(_look_up(shared, shared_books, k, keep, metric), schema), "nearest"))
+            shared.unpersist()
+    discard(index, asked)
+    near = found[0] if found else spark.createDataFrame([], schema)
+    for more in found[1:]:
+        near = near.unionByName(more)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

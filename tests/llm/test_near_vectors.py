@@ -23,3 +23,22 @@ def test_recall_in_a_family_of_near_copies(spark):
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     recall = np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want])
     assert recall >= 0.95, recall
+
+
+def test_many_index_rows_passes_and_odd_vectors(spark):
+    """Recall with small index rows and passes; vectors of other lengths take no part, and a huge one spoils nothing."""
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    dim = len(rows[0][1])
+    huge = [1e300] + [0.0] * (dim - 1)
+    rows += [(1_000_001, huge), (1_000_003, [1e-300] * dim)]
+    odd = [(1_000_000, [1.0]), (1_000_020, [1.0] * (dim + 1)), (1_000_007, [])]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    want, got = brute_nearest(rows), defaultdict(list)
+    for r in sorted(ann.search(frame, F.col("vec_id") % 20 == 0, block=256, pass_bytes=8 * dim * 60).collect()):
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    recall = np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want])
+    assert recall >= 0.95, recall
+    positive = [q for q, v in rows if q in want and v[0] > 0]
+    assert positive and all(got[q][0] == 1_000_001 for q in positive)
