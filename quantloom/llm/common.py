@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes with A-Z made lower case.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
+#: Keys that a join broadcasts at most.
+HOT_KEYS = 1000
 
 
 def framed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,6 +79,20 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def keyed_join(big: DataFrame, small: DataFrame, on: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """``big`` joined (``inner`` or ``left``) with ``small``, a durable table with one row for each key and, in ``rows``, how many rows of ``big`` have it.
+
+    Keys that hold a thousandth or more of these rows, of which there can't be more than a thousand, are broadcast, so no
+    task gets a hot one; all others are shuffled.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    hot = (F.col(rows) * HOT_KEYS >= total) & (sum((F.octet_length(c) for c in on if dict(small.dtypes)[c] == "string"), F.lit(0)) <= 4096)
+    own = small.drop(rows)
+    few = F.broadcast(small.where(hot).drop(rows))
+    rest = big.join(F.broadcast(small.where(hot).select(*on)), on, "left_anti")
+    return big.join(few, on).unionByName(rest.join(own if how == "left" else small.where(~hot).drop(rows), on, how))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a block holds about ``most_bytes`` of text, or one longer text."""
     for batch in batches:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, framed
+from .common import ascii_lower, durable, framed, keyed_join
 
 #: What is stripped from both ends of a line for its key: blank, and tab to carriage return.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -29,8 +29,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * a line repeated within its only document stays; rows that share a ``doc_id`` are one document
     * an empty table gives an empty result; input columns of any name only live in ``row``
 
-    A hot line needs no hot task: its counts are combined before the shuffle, and the join back to the lines
-    has one row on the side of the counts, so that adaptive execution may split the other.
+    A hot line needs no hot task: its counts are combined before the shuffle, and lines that make up a thousandth of all
+    repeated ones or more meet their count by a broadcast of at most a thousand rows.
     """
     rows = framed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     # the text's hash tells rows of one doc_id apart
@@ -38,11 +38,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = lines.select("doc_id", "th", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     # two chained 64-bit hashes: collisions stay out of reach at any corpus size
     hashed = durable(keyed.select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("\x01"), "key").alias("h2")), "lines")
+    times = F.count("*").alias("times")
     if min_docs <= 2:  # two distinct documents hold it if the smallest and the largest id differ
-        common = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last" if min_docs == 2 else "true")
+        common = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), times).where("first < last" if min_docs == 2 else "true")
     else:
-        common = hashed.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    gone = hashed.join(common.select("h1", "h2", "first"), ["h1", "h2"]).where("doc_id > first")
+        by_doc = hashed.groupBy("h1", "h2", "doc_id").agg(times)
+        common = by_doc.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= min_docs)
+    common = durable(common.select("h1", "h2", "first", "times"), "common")
+    gone = keyed_join(hashed, common, ["h1", "h2"], "times").where("doc_id > first")
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
     joined = rows.withColumn("th", F.xxhash64("text")).join(gone, ["doc_id", "th"], "left")
     split = joined.select("doc_id", "row", F.split("text", "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, discard, durable, keyed_join
 
 #: Hex digits of the digest that the join compares.
 PREFIX = 8
@@ -31,11 +31,14 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
 
 
-def path_prefixes(path: Column) -> Column:
-    """Prefixes that end in a slash, and the empty one."""
-    parts = F.split(path, "/", -1)
-    n = F.size(parts)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+def slashes(path: Column) -> Column:
+    return F.char_length(path) - F.char_length(F.replace(path, F.lit("/"), F.lit("")))
+
+
+def path_prefixes(path: Column, depths: list[int]) -> Column:
+    """Prefixes that end in the path's slash number ``d``, for the ``depths`` that it has; at depth 0 the empty one."""
+    found = [F.when(slashes(path) >= d, F.concat(F.substring_index(path, "/", d), F.lit("/"))) if d else F.lit("") for d in depths]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
@@ -43,7 +46,7 @@ def rule_table(rules: DataFrame) -> DataFrame:
     r = rules.select(ascii_lower(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")).where("rule_host <> ''")
     r = r.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
     folder = F.regexp_extract("rule_path", r"(?s)^(.*/)?", 1)
-    r = r.withColumn("digest", F.sha2(F.concat_ws("\n", "rule_host", folder), 256))
+    r = r.withColumn("depth", slashes(folder)).withColumn("digest", F.sha2(F.concat_ws("\n", "rule_host", folder), 256))
     return r.withColumn("short", F.substring("digest", 1, PREFIX))
 
 
@@ -57,18 +60,22 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     * repeated rows are judged each on its own; empty tables give empty results
     * other columns of ``pages`` are not read
 
-    URLs are judged once for each distinct (host, path), so a hot page costs one row; a hot host meets one row
-    for each rule, so adaptive execution may split its side of the join. Nothing is broadcast by hand: the
-    planner does it only where the rule list's known size is below the session's threshold.
+    Paths are cut at the depths that rules have, and nowhere else, so a path costs its length for each of these depths. URLs are
+    judged once for each distinct (host, path), so a hot page costs one row. What was found for it meets the rows by a
+    broadcast if the page has a thousandth of all rows or more (at most a thousand such pages), else by a shuffle. The planner
+    broadcasts rules only where their known size is below the session's threshold.
     """
     seen = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
-    # the longest path prefix that can matter is the whole path
-    urls = seen.where("host <> ''").select("host", "path").distinct()
-    wide = urls.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).where("suffix <> ''")
-    wide = wide.select("host", "path", "suffix", F.explode(F.array_distinct(path_prefixes(F.col("path")))).alias("folder"))
+    urls = durable(seen.groupBy("host", "path").agg(F.count("*").alias("times")), "urls")
+    own = rule_table(rules)
+    depths = sorted(r.depth for r in own.select("depth").distinct().toLocalIterator())
+    wide = urls.where("host <> ''").select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).where("suffix <> ''")
+    wide = wide.select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"), depths)).alias("folder"))
     wide = wide.withColumn("digest_u", F.sha2(F.concat_ws("\n", "suffix", "folder"), 256)).withColumn("short", F.substring("digest_u", 1, PREFIX))
-    hit = wide.join(rule_table(rules), "short").where((F.col("digest_u") == F.col("digest")) & (F.col("suffix") == F.col("rule_host")) & F.startswith(F.col("path"), F.col("rule_path")))
+    hit = wide.join(own, "short").where((F.col("digest_u") == F.col("digest")) & (F.col("suffix") == F.col("rule_host")) & F.startswith(F.col("path"), F.col("rule_path")))
     rank = F.struct(F.char_length(F.concat("rule_host", "rule_path")).alias("n"), F.char_length("rule_host").alias("h"), F.col("rule_verdict").alias("v"), F.concat("rule_host", "rule_path").alias("rule"))
     best = hit.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    out = seen.join(best, ["host", "path"], "left")
+    judged = durable(urls.join(best, ["host", "path"], "left"), "judged")
+    discard(urls)
+    out = keyed_join(seen, judged, ["host", "path"], "times", "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))

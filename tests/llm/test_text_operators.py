@@ -316,3 +316,26 @@ def test_url_filter(spark):
     assert got[8] == ("a.com", "", "a.com", "block") and got[10][2:] == (None, "allow") and got[11][2:] == (None, "allow")
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.url_filter(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_url_with_a_very_long_path(spark):
+    long = "http://a.example.com/en/" + "x/" * 100_000
+    pages = spark.createDataFrame([(k, long) for k in range(3)] + [(9, "http://a.example.com/en/" + "y" * 9000), (10, "http://" + "b." * 300 + "net/fr/")], "page_id long, url string")
+    deep = "/en/" + "x/" * 30
+    rules = spark.createDataFrame(queries.URL_RULES + [("example.com", deep, "allow"), ("com", "/en/y", "block")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages, rules).collect()}
+    assert got == {0: ("example.com" + deep, "allow"), 1: ("example.com" + deep, "allow"), 2: ("example.com" + deep, "allow"), 9: ("example.com/en/", "block"), 10: ("net/fr/", "block")}
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    """With room for few hot keys and for many, a join gives the same rows."""
+    from quantloom.llm import common
+
+    big = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 500).cast("string")).alias("k"))
+    small = common.durable(big.groupBy("k").agg(F.count("*").alias("n")).withColumn("x", F.length("k")).where("k <> '7'"), "small")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small.drop("n"), "k", how).select("id", "k", "x").collect()))
+        for keys in (0, 10, 1000):
+            monkeypatch.setattr(common, "HOT_KEYS", keys)
+            got = common.keyed_join(big, small, ["k"], "n", how)
+            assert sorted(map(str, got.select("id", "k", "x").collect())) == want
