@@ -29,6 +29,8 @@ END = 0xFF
 PRUNE = 4
 #: Bytes of stretches in a shard, in a bucket, and of text in a block.
 SHARD, BUCKET, BLOCK = 1 << 18, 1 << 20, 4 << 20
+#: A name with more bytes of stretches than a bucket is replaced by longer grams' names; with so many times more, by whole strings' hashes.
+VERY_HOT = 64
 
 
 def names(raw: np.ndarray, length: int, gram: int = GRAM, at_once: int = 1 << 15) -> np.ndarray:
@@ -87,6 +89,16 @@ def stretches(raw: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.nd
     return name[at][ok], at[ok], size[ok]
 
 
+def finer(raw: np.ndarray, at: np.ndarray, size: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The starts of the stretches (``at``, ``size``), named and parted anew by grams of ``gram`` bytes."""
+    start = ragged(at, size)
+    name = names(raw, length, gram)[start]
+    new = np.append(True, name[1:] != name[:-1])
+    new[np.cumsum(size) - size] = True
+    first = np.flatnonzero(new)
+    return name[first], start[first], np.diff(np.append(first, len(start)))
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of the text, taken as a circle, in the order of the ``depth`` bytes that follow.
 
@@ -192,6 +204,15 @@ def _arrays(*columns: np.ndarray | list) -> list[pa.Array]:
     return [pa.array([c if isinstance(c, bytes) else c.tobytes()], pa.binary()) for c in columns]
 
 
+def _packed(cut: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """Each column, cut at the places ``cut``, as one value for each stretch."""
+    out = []
+    for c in columns:
+        ends = pa.py_buffer((cut * c.itemsize).astype(np.int64).tobytes())
+        out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, ends, pa.py_buffer(c.tobytes())]).cast(pa.binary()))
+    return out
+
+
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, done = TaskContext.get().partitionId(), 0
     for batch in blocks(batches, "text", BLOCK):
@@ -221,39 +242,45 @@ def _name_rows(length: int, buckets: int) -> callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             docs, ends, raw = _opened(row)
-            name, at, _ = stretches(raw, ends, length)
+            name, at, size = stretches(raw, ends, length)
             if not len(name):
                 continue
             doc = docs[_of_doc(ends, at)]
             order = np.lexsort((doc, name))
-            name, doc = name[order], doc[order]
+            name, doc, size = name[order], doc[order], size[order]
             first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
             name, low, high = name[first], doc[first], doc[np.append(first[1:], len(doc)) - 1]
+            held = np.minimum(np.add.reduceat(size + (length - 1), first), np.iinfo(np.int32).max).astype(np.int32)
             # least hashes crowd near zero, so a bucket comes from a hash of its own
             bucket = (name * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(1, buckets, dtype=np.uint64))
-            for k, (n, a, b) in enumerate(zip(*(np.split(x[order], cut) for x in (name, low, high)), strict=True)):
-                if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(n, a, b)], ["bucket", "block", "names", "low", "high"])
+            bucket = bucket[order].astype(np.int32)
+            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(np.full(len(cut) - 1, row["block"]), pa.int64()), *_packed(cut, *(x[order] for x in (name, low, high, held)))], ["bucket", "block", "names", "low", "high", "held"])
 
     return send
 
 
-def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, part in runs(batches, "bucket"):
-        parts = [np.frombuffer(b, np.uint64) for b in part.column("names").to_pylist()]
-        name = np.concatenate(parts)
-        low, high = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.int64) for c in ("low", "high"))
-        order = np.argsort(name, kind="stable")
-        first = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))
-        twice = np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first)
-        shared = np.empty(len(name), bool)
-        shared[order] = np.repeat(twice, np.diff(np.append(first, len(name))))
-        cut = np.cumsum(list(map(len, parts)))[:-1]
-        for block, names_, keep in zip(part.column("block").to_pylist(), parts, np.split(shared, cut), strict=True):
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *_arrays(names_[keep])], ["block", "names"])
+def _shared_names(bucket_bytes: int) -> callable:
+    """For each block, its names that stand in two documents or more, and (``hot``) how fine they are to be parted: 0, 1 or 2."""
+
+    def shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in runs(batches, "bucket"):
+            parts = [np.frombuffer(b, np.uint64) for b in part.column("names").to_pylist()]
+            name = np.concatenate(parts)
+            low, high, held = (np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in (("low", np.int64), ("high", np.int64), ("held", np.int32)))
+            order = np.argsort(name, kind="stable")
+            first = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))
+            times = np.diff(np.append(first, len(name)))
+            shared, hot = np.empty(len(name), bool), np.empty(len(name), np.uint8)
+            shared[order] = np.repeat(np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first), times)
+            total = np.add.reduceat(held[order].astype(np.int64), first)
+            hot[order] = np.repeat((total > bucket_bytes).astype(np.uint8) + (total > VERY_HOT * bucket_bytes), times)
+            ends = np.cumsum(list(map(len, parts)))
+            kept = np.append(0, np.cumsum(shared)[ends - 1])
+            yield pa.RecordBatch.from_arrays([part.column("block").combine_chunks(), *_packed(kept, name[shared], hot[shared])], ["block", "names", "hot"])
+
+    return shared_names
 
 
 def _send_stretches(length: int, buckets: int) -> callable:
@@ -262,17 +289,27 @@ def _send_stretches(length: int, buckets: int) -> callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             docs, ends, raw = _opened(row)
-            shared = np.sort(np.frombuffer(b"".join(row["shared"]), np.uint64))
+            shared, hot = (np.frombuffer(b"".join(x[c] for x in row["shared"]), t) for c, t in (("names", np.uint64), ("hot", np.uint8)))
+            if not len(shared):
+                continue
+            order = np.argsort(shared)
+            shared, hot = shared[order], hot[order]
             name, at, size = stretches(raw, ends, length)
             hit = np.minimum(np.searchsorted(shared, name), len(shared) - 1)
             keep = shared[hit] == name
-            name, at, size = name[keep], at[keep], size[keep]
+            level = np.where(keep, hot[hit], 255)
+            found = [(name[level == 0], at[level == 0], size[level == 0])]
+            for k, gram in ((1, (min(GRAM, length) + length) // 2), (2, length)):
+                if (own := level == k).any():
+                    found.append(finer(raw, at[own], size[own], length, gram))
+            name, at, size = (np.concatenate(x) for x in zip(*found, strict=True))
             doc = docs[_of_doc(ends, at)]
             bucket = (name % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             name, at, size, doc, bucket = (x[order] for x in (name, at, size, doc, bucket))
             offset, text = np.empty(len(at), np.int64), bytes(row["raw"])
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+            sent: list[list] = [[], [], [], [], []]
             for low, high in zip(cut, [*cut[1:], len(at)], strict=True):
                 a, n = at[low:high], size[low:high]
                 stops = (a + n + (length - 1)).tolist()
@@ -284,8 +321,11 @@ def _send_stretches(length: int, buckets: int) -> callable:
                 np.minimum.at(least, of, doc[low:high])
                 counts = n[first]
                 offset[low:high] = (np.cumsum(counts) - counts)[of]
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[low])], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(b"".join(seen), counts + (length - 1), least, name[low:high][first])], ["bucket", "block", "raw", "sizes", "docs", "names"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([row["block"]], pa.int64()), *_arrays(at, size, offset, bucket)], ["bucket", "block", "raw", "sizes", "docs", "names"])
+                for column, value in zip(sent, (int(bucket[low]), b"".join(seen), (counts + (length - 1)).tobytes(), least.tobytes(), name[low:high][first].tobytes()), strict=True):
+                    column.append(value)
+            for column, value in zip(sent, (-1, *(x.tobytes() for x in (at, size, offset, bucket))), strict=True):
+                column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(sent[0], pa.int32()), pa.array(np.full(len(sent[0]), row["block"]), pa.int64()), *(pa.array(c, pa.binary()) for c in sent[1:])], ["bucket", "block", "raw", "sizes", "docs", "names"])
 
     return send
 
@@ -311,10 +351,13 @@ def _judge(length: int) -> callable:
             found = np.repeat(least, sizes)
             if len(several):
                 found[ragged(starts[several], sizes[several])] = np.concatenate(smallest([unique[i] for i in several.tolist()], least[several], length))
-            for block, own in zip(part.column("block").to_pylist(), sources, strict=True):
+            answers: list[list[bytes]] = [[], []]
+            for own in sources:
                 all_ = found[ragged(starts[own], sizes[own])]
                 at = np.flatnonzero(np.append(True, all_[1:] != all_[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), *_arrays(np.diff(np.append(at, len(all_))), all_[at])], ["bucket", "block", "times", "least"])
+                answers[0].append(np.diff(np.append(at, len(all_))).tobytes())
+                answers[1].append(all_[at].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sources), bucket), pa.int32()), part.column("block").combine_chunks(), *(pa.array(a, pa.binary()) for a in answers)], ["bucket", "block", "times", "least"])
 
     return judge
 
@@ -358,7 +401,7 @@ def _cut(length: int) -> callable:
     return cut
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bucket: int = BUCKET) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts in a document with a smaller id.
 
     Returns ``doc_id, n_bytes, spans, kept`` for every row of ``docs``: texts are UTF-8 bytes, ``spans`` the maximal removed
@@ -371,15 +414,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Blocks of documents and buckets of names exchange messages. A block names a string once however many of its
     documents hold it, and sends equal stretches once, so that a passage that a third of all documents share costs a
-    row for each block, not for each document. Buckets are ranges of a hash and grow in number with the input.
+    row for each block, not for each document. Buckets are ranges of a hash and grow in number with the input. A name with more
+    than ``bucket`` bytes of stretches, such as a common phrase among ever other words, is replaced by names from longer grams and beyond that
+    by hashes of whole strings of ``length`` bytes, which spread over all buckets; equal strings still meet.
     """
     rows = framed(docs, id_col, text_col).select("doc_id", "text")
     table = durable(rows.mapInArrow(_to_blocks, "block bigint, n bigint, docs binary, lengths binary, raw binary"), "blocks")
     total = table.agg(F.sum("n")).first()[0] or 0
-    few, many = max(1, total // (8 << 20)), max(1, total // (2 * BUCKET))
-    named = table.mapInArrow(_name_rows(length, few), "bucket int, block bigint, names binary, low binary, high binary")
-    shared = durable(named.repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_names, "block bigint, names binary"), "shared")
-    by_block = shared.groupBy("block").agg(F.collect_list("names").alias("shared"))
+    few, many = max(1, total // (8 << 20)), max(1, total // (2 * bucket))
+    named = table.mapInArrow(_name_rows(length, few), "bucket int, block bigint, names binary, low binary, high binary, held binary")
+    shared = durable(named.repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_names(bucket), "block bigint, names binary, hot binary"), "shared")
+    by_block = shared.groupBy("block").agg(F.collect_list(F.struct("names", "hot")).alias("shared"))
     message = "bucket int, block bigint, raw binary, sizes binary, docs binary, names binary"
     sent = durable(table.join(by_block.hint("shuffle_hash"), "block").mapInArrow(_send_stretches(length, many), message), "stretches")
     discard(shared)

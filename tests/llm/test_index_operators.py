@@ -44,6 +44,19 @@ def test_suffix_dedup_edges(spark, length):
     assert suffix_dedup.suffix_dedup(edge(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [3000, 20])
+def test_suffix_dedup_of_a_hot_phrase(spark, bucket):
+    """A phrase among ever other words is parted by longer grams, or by whole strings; what repeats is still found."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 9)))
+    phrase, longer = "the very same phrase in all of them ", "and this one is a good deal longer, so that it must go but once "
+    rows = [(d, " ".join([word(), word()]) + phrase + word() + (longer if d % 3 == 0 else "") + word(), "x") for d in range(60)]
+    got = suffix_dedup.suffix_dedup(edge(spark, rows), bucket=bucket).collect()
+    want = brute_suffix([r[:2] for r in rows])
+    assert {r.doc_id: (r.n_bytes, sum(b - a for a, b in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == want
+    assert sum(v[1] > 0 for v in want.values()) == 19
+
+
 def test_merge_equals_sorting(monkeypatch):
     rng = np.random.default_rng(3)
     for depth, prune in ((1, 100), (5, 100), (12, 100), (12, 1), (30, 2)):
