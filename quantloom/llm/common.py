@@ -18,16 +18,16 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 HOT_KEYS = 1000
 
 
-def framed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def framed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_null_ids: bool = False) -> DataFrame:
     """``doc_id``, ``text`` (null stays null) and ``row``, a struct of the input's own columns.
 
-    Rows without an id are left out: no result could name them. Extra columns never meet the operators' own names, whatever they are called.
+    Rows without an id are left out, since no result could name them, unless a filter that returns ``row`` asks for them. Extra columns never meet the operators' own names, whatever they are called.
     """
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-    ).where(F.col("doc_id").isNotNull())
+    ).where(F.lit(keep_null_ids) | F.col("doc_id").isNotNull())
 
 
 def unframed(rows: DataFrame, like: DataFrame, **replaced: Column) -> DataFrame:

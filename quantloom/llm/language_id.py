@@ -147,8 +147,8 @@ def train(docs: DataFrame, lang: Column, dim: int = DIM, n: int = 3) -> dict[str
     return {k: v for k, v in sorted(out.items()) if v.any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
-    """Return ``doc_id, lang_pred, score, row`` for every row of ``docs``.
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", n: int = 3, keep_null_ids: bool = False) -> DataFrame:
+    """Return ``doc_id, lang_pred, score, row`` for every row of ``docs`` that has an id, with ``keep_null_ids`` for all.
 
     ``score`` is the cosine with the nearest prototype, not under 0; ties go to the name that sorts first.
 
@@ -173,5 +173,5 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
             score[at] = np.where(norm > 0, np.clip(cos.max(axis=1), 0, 1), 0)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    rows = framed(docs, id_col, text_col).withColumn("_found", nearest("text"))
+    rows = framed(docs, id_col, text_col, keep_null_ids).withColumn("_found", nearest("text"))
     return rows.select("doc_id", "_found.lang_pred", "_found.score", "row")

@@ -19,7 +19,7 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.trim(line, F.lit(STRIPPED)))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10, keep_null_ids: bool = False) -> DataFrame:
     """Drop lines whose key is found in ``min_docs`` documents or more, but in the smallest ``doc_id`` keep them.
 
     Returns ``doc_id, kept, n_lines, n_dropped, row``: ``kept`` is the remaining text and ``row`` the input row.
@@ -27,15 +27,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * null or empty text: one empty line, nothing dropped, ``kept`` is ``''``
     * keys under ``min_chars`` code points never count
     * a line repeated within its only document stays; rows that share a ``doc_id`` are one document
+    * rows without an id are left out; with ``keep_null_ids`` they stay whole, and their lines don't count
     * an empty table gives an empty result; input columns of any name only live in ``row``
 
     A hot line needs no hot task: its counts are combined before the shuffle, and lines that make up a thousandth of all
     repeated ones or more meet their count by a broadcast of at most a thousand rows.
     """
-    rows = framed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = framed(docs, id_col, text_col, keep_null_ids).withColumn("text", F.coalesce("text", F.lit("")))
     # the text's hash tells rows of one doc_id apart
     lines = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keyed = lines.select("doc_id", "th", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    keyed = lines.select("doc_id", "th", "pos", line_key(F.col("line")).alias("key")).where((F.char_length("key") >= min_chars) & F.col("doc_id").isNotNull())
     # two chained 64-bit hashes: collisions stay out of reach at any corpus size
     hashed = durable(keyed.select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("\x01"), "key").alias("h2")), "lines")
     times = F.count("*").alias("times")

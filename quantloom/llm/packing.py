@@ -104,8 +104,8 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", tag: str = "pieces") -> DataFrame:
-    """Durable table ``doc_id, piece, start, length, ids_crc32, ids``: each document's ids, then ``end_id``, cut at ``most``.
+def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", tag: str = "pieces", with_ids: bool = True) -> DataFrame:
+    """Durable table ``doc_id, piece, start, length, ids_crc32`` and, ``with_ids``, ``ids``: each document's ids, then ``end_id``, cut at ``most``.
 
     ``ids`` are little-endian unsigned 32-bit. A null text is an empty one: its only id is ``end_id``; with
     ``end_id=None`` a document without ids has no piece. Rows that repeat a document give pieces that repeat.
@@ -126,13 +126,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
             at = np.append(0, np.cumsum(length)) * 4
             # pieces lie one after another, so that the block's ids serve as the column's buffer
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            column = pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
-            arrays = [pa.array(docs[of], pa.int64()), pa.array(piece, pa.int32()), pa.array(piece * most, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), column]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            arrays = [pa.array(docs[of], pa.int64()), pa.array(piece, pa.int32()), pa.array(piece * most, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            if with_ids:
+                arrays.append(pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)]))
+            yield pa.RecordBatch.from_arrays(arrays, names)
         own.clear()  # other tasks of this worker need the memory
 
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
     rows = framed(docs, id_col, text_col).select("doc_id", "text")
-    return durable(rows.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"), tag)
+    return durable(rows.mapInArrow(cut, schema), tag)
 
 
 def fullest(counts: Counter, capacity: int) -> list[int]:

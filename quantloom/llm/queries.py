@@ -71,8 +71,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
-    return packing.pack(pieces.drop("ids"))
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from .components import components
 BITS = 64
 #: A group of fingerprints up to this size is verified in one go; a larger one is parted again by its other bits.
 GROUP = 1024
+#: Fingerprints that the estimate of candidate counts looks at, at most; the search itself looks at all.
+SAMPLE = 512
 
 
 def shingle_hashes(text: bytes, n: int = 3, seed: int = 42) -> np.ndarray:
@@ -72,24 +74,32 @@ def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, fp bigint")
 
 
-def bit_matrix(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """How many fingerprints there are, and for each pair of bits in how many both are set."""
+def bit_matrix(fps: DataFrame, columns: tuple[str, ...] = ("fp",)) -> tuple[int, np.ndarray]:
+    """How many fingerprints there are, and for each pair of bits in how many both are set; ``columns`` hold 64 bits each."""
+    bits = BITS * len(columns)
 
     def count(batches):
-        total, n = np.zeros((BITS, BITS), np.int64), 0
+        total, n = np.zeros((bits, bits), np.int64), 0
         for batch in batches:
-            fp = np.asarray(batch.column("fp")).view(np.uint64)
-            for i in range(0, len(fp), 65536):
-                bits = (fp[i : i + 65536, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(np.float32)
-                total += (bits.T @ bits).astype(np.int64)
-            n += len(fp)
+            words = np.stack([np.asarray(batch.column(c)).view(np.uint64) for c in columns], axis=1)
+            for i in range(0, len(words), 65536):
+                own = (words[i : i + 65536, :, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).reshape(-1, bits).astype(np.float32)
+                total += (own.T @ own).astype(np.int64)
+            n += len(words)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1), pa.int32()), pa.array(np.append(total.ravel(), n), pa.int64())], ["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(bits * bits + 1), pa.int32()), pa.array(np.append(total.ravel(), n), pa.int64())], ["k", "n"])
 
-    rows = fps.select("fp").mapInArrow(count, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(BITS * BITS + 1, np.int64)
+    rows = fps.select(*columns).mapInArrow(count, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    flat = np.zeros(bits * bits + 1, np.int64)
     flat[rows["k"].to_numpy()] = rows["n"].to_numpy()
-    return int(flat[-1]), flat[:-1].reshape(BITS, BITS)
+    return int(flat[-1]), flat[:-1].reshape(bits, bits)
+
+
+def sampled(fps: DataFrame, columns: tuple[str, ...] = ("fp",), most: int = SAMPLE) -> np.ndarray:
+    """Rows of bits of at most ``most`` fingerprints, those with the least hash, on which candidate counts are estimated."""
+    rows = fps.select(*columns).orderBy(F.xxhash64(*columns, F.lit(7))).limit(most).toPandas()
+    words = np.ascontiguousarray(rows.to_numpy(np.int64)).view(np.uint64).reshape(len(rows), len(columns))
+    return (words[:, :, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).reshape(len(rows), -1).astype(np.float32)
 
 
 def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
@@ -98,9 +108,9 @@ def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd)
     np.fill_diagonal(corr, 0)
-    free, out = list(range(BITS)), []
+    free, out = list(range(len(both))), []
     for k in range(m):
-        width = (BITS - sum(map(len, out))) // (m - k)
+        width = (len(both) - sum(map(len, out))) // (m - k)
         group = [max(free, key=lambda b: (corr[b, free].sum(), -b))]
         free.remove(group[0])
         while len(group) < width:
@@ -111,16 +121,33 @@ def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def candidates(n: int, both: np.ndarray, group: list[int], tau: int) -> list[float]:
-    """Estimated work of a partition at thresholds -1 to ``tau``: pairs within the threshold, and probes sent."""
+def radius(t: int) -> int:
+    """Bits that each of two fingerprints flips so that they meet if they differ in ``t``."""
+    return (t + 1) // 2
+
+
+def candidates(n: int, both: np.ndarray, group: list[int], tau: int, sample: np.ndarray | None = None) -> list[float]:
+    """Estimated work of a partition at thresholds -1 to ``tau``: pairs within the threshold, and probes sent.
+
+    The share of pairs is the greater of what independent bits would give and of what the pairs of ``sample`` show, for bits
+    of one partition are correlated.
+    """
     p = np.diag(both)[group] / max(n, 1)
     near = np.zeros(tau + 1)
     near[0] = 1
     for same in p * p + (1 - p) ** 2:
         near = near * same + np.append(0, near[:-1]) * (1 - same)
-    pairs = n * (n - 1) / 2 * np.cumsum(near)
-    probes = np.cumsum([comb(len(group), j) for j in range(tau + 1)])
-    return [0.0, *(pairs + n * probes).tolist()]
+    share = np.cumsum(near)
+    if sample is not None and len(sample) > 1:
+        x = sample[:, group]
+        ones = x.sum(axis=1)
+        apart = (ones[:, None] + ones[None, :] - 2 * x @ x.T).astype(np.uint8)
+        seen = np.bincount(apart.ravel(), minlength=tau + 1)
+        seen[0] -= len(x)  # each beside itself
+        share = np.maximum(share, np.cumsum(seen)[: tau + 1] / seen.sum())
+    pairs = n * (n - 1) / 2 * share
+    sent = np.array([sum(comb(len(group), j) for j in range(radius(t) + 1)) for t in range(tau + 1)])
+    return [0.0, *(pairs + n * sent).tolist()]
 
 
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -137,12 +164,12 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best.get(total, (float("inf"), []))
 
 
-def plan(n: int, both: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """(bit mask, threshold) of each partition that is probed, for the number of partitions with the least cost."""
+def plan(n: int, both: np.ndarray, tau: int, sample: np.ndarray | None = None, parts: range | None = None) -> list[tuple[int, int]]:
+    """(bit mask, threshold) of each partition that is probed, for the number of partitions (of ``parts``) with the least cost."""
     found = []
-    for m in range(1, 2 * tau + 3):
+    for m in parts or range(1, 2 * tau + 3):
         groups = correlated_groups(n, both, m)
-        cost, chosen = allocate([candidates(n, both, g, tau) for g in groups], tau - m + 1)
+        cost, chosen = allocate([candidates(n, both, g, tau, sample) for g in groups], tau - m + 1)
         found.append((cost, m, [(sum(1 << b for b in g), t) for g, t in zip(groups, chosen, strict=False) if t >= 0]))
     return min(found)[2]
 
@@ -152,14 +179,14 @@ def signed(mask: int) -> int:
 
 
 def probes(fps: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """``key, free, fp``: one row for each value within a partition's threshold of the fingerprint's own.
+    """``key, free, fp``: one row for each value within half a partition's threshold of the fingerprint's own, where near pairs meet.
 
     ``free`` are the bits on which rows of one key may still differ.
     """
     arms = []
     for k, (mask, t) in enumerate(parts):
         bits = [b for b in range(BITS) if mask >> b & 1]
-        flips = [sum(1 << b for b in c) for j in range(t + 1) for c in combinations(bits, j)]
+        flips = [sum(1 << b for b in c) for j in range(radius(t) + 1) for c in combinations(bits, j)]
         free = (1 << BITS) - 1 - (0 if t else mask)
         value = F.col("fp").bitwiseAND(F.lit(signed(mask)))
         flipped = F.explode(F.transform(F.array(*[F.lit(signed(f)) for f in flips]), lambda f, v=value: v.bitwiseXOR(f)))
@@ -249,7 +276,7 @@ def near_links(fps: DataFrame, tau: int = 2, group: int = GROUP) -> DataFrame:
     distinct fingerprints, so the bits run out before the parting does, and no pair is lost.
     """
     n, both = bit_matrix(fps)
-    rows, found = probes(fps, plan(n, both, tau)), None
+    rows, found = probes(fps, plan(n, both, tau, sampled(fps))), None
     schema = "u bigint, v bigint"
     while True:
         rows = durable(rows, "probes")
