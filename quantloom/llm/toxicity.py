@@ -86,9 +86,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     """Durable ``text, label`` of at most ``max_rows`` labelled rows (``doc_id, label``), in 16 partitions.
 
     The rows with the least hash of their id are taken, so neither order nor layout matters. Ids labelled both ways
-    count as labelled 1. The bounded list of ids is the only thing that the join broadcasts.
+    count as labelled 1; labels other than 0 and 1 don't count. The bounded list of ids is the only thing that the join broadcasts.
     """
-    chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), "doc_id long, label int")
     rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id")

@@ -290,6 +290,88 @@ def test_profiles_bundle_ngrams():
     assert (language_id.profiles([None, text, "1"], 64)[1] == want).all()
 
 
+def brute_languages(docs, dim=language_id.DIM):
+    """(prediction, score) of each (id, text, lang) by plain sums of n-gram vectors and cosines."""
+    import numpy as np
+
+    @cache
+    def gram(g):
+        v = np.ones(dim)
+        for k, c in enumerate(g):
+            v = v * np.roll(language_id.letter_vector(ord(c), dim), len(g) - 1 - k)
+        return v
+
+    def bundle(text):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+        low = " " + " ".join(low.split(" ")).strip() + " "
+        low = re.sub(" +", " ", low)
+        grams = Counter(low[i : i + 3] for i in range(len(low) - 2)) if low.strip() else {}
+        return sum((n * gram(g) for g, n in grams.items()), np.zeros(dim))
+
+    vectors = {d: bundle(t) for d, t, _ in docs}
+    prototypes = {}
+    for d, t, lang in docs:
+        if t is not None and lang is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            prototypes[lang] = prototypes.get(lang, 0) + vectors[d]
+    out = {}
+    for d, v in vectors.items():
+        cos = {k: v @ p / np.sqrt((v @ v) * (p @ p)) for k, p in sorted(prototypes.items())} if v.any() else {}
+        best = max(cos, key=cos.get) if cos else "und"
+        out[d] = (best, max(0.0, cos.get(best, 0.0)))
+    return out
+
+
+def test_language_id_against_plain_sums(spark, sf):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute_languages(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op6_language_id(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) < 1e-5 for d in want)
+
+
+def test_toxicity_against_plain_loops(spark, tmp_path):
+    """Counts, ratios, evidence and scores recomputed n-gram by n-gram; the fitted weights stand where the loss is flat."""
+    import math
+
+    import numpy as np
+
+    rows = [(d, " ".join(["vile" if d % 3 == 0 else "kind", "words", f"w{d % 7}", "Ünd"]), int(d % 3 == 0)) for d in range(60)] + [(90, "", 0), (91, "vile", 7), (92, "kind", -1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int")
+    width, sizes = 12, (4, 6)
+
+    def buckets(text):
+        raw = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in f" {text} ".encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))
+        found = set()
+        for size in sizes:
+            for i in range(len(raw) - size + 1):
+                h = 0
+                for b in raw[i : i + size]:
+                    h = (h * 0x01000193 + b + 1) % 2**32
+                found.add(((h ^ (size - 1)) * 0x9E3779B1 % 2**32) >> (32 - width))
+        return found
+
+    own = [(buckets(t), y) for _, t, y in rows if y in (0, 1)]
+    seen = [Counter(b for found, y in own if y == k for b in found) for k in (0, 1)]
+    sample = toxicity.training_sample(docs, labels)
+    clean, toxic = toxicity.counts(sample, sizes, width)
+    assert all(clean[b] == seen[0][b] and toxic[b] == seen[1][b] for b in range(1 << width))
+    total = [sum(seen[k].values()) + (1 << width) for k in (0, 1)]
+    ratio = toxicity.log_count_ratio(clean, toxic)
+    assert all(abs(ratio[b] - math.log((seen[1][b] + 1) / total[1] * total[0] / (seen[0][b] + 1))) < 1e-12 for b in range(1 << width))
+    model = toxicity.fit(docs, labels, sizes=sizes, width=width, rounds=4000, decay=1e-3)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    plain = {d: 1 / (1 + math.exp(-model.bias - sum(weight.get(b, 0) for b in buckets(t)))) for d, t, _ in rows}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(abs(got[d] - plain[d]) < 1e-5 for d in plain) and got[0] > 0.7 > 0.3 > got[1]
+    n = [sum(y == k for _, y in own) for k in (0, 1)]
+    error = [(plain[d] - y) / (2 * n[y]) for d, _, y in rows if y in (0, 1)]
+    for b, w in weight.items():
+        if ratio[b]:
+            slope = sum(e for e, (found, _) in zip(error, own) if b in found) * ratio[b] + 1e-3 * w / ratio[b]
+            assert abs(slope) < 2e-3
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
