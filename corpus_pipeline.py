@@ -14,8 +14,8 @@ from quantloom.llm import decontaminate, language_id, line_dedup, near_text, pac
 from quantloom.llm.common import crc_mod, discard, durable, unframed
 
 
-#: Least cosine with the nearest language that the language stage takes for a language at all.
-LEAST_SCORE = 0.12
+#: Least cosine with the nearest language that the language stage takes for a language at all: three times the spread that chance gives.
+LEAST_SCORE = 3 / language_id.DIM**0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
