@@ -243,8 +243,9 @@ def similar_links(rows: DataFrame, nodes: DataFrame, n: int, group: int) -> Data
     """``u, v``: links that have the components of all similar pairs of sets that meet under a key.
 
     First every set is judged beside the nearest smaller one that it met. Keys whose sets are connected by then have no
-    more to tell; all others are judged whole.
+    more to tell; all others are judged whole. The empty set is like no other and takes no part.
     """
+    nodes = nodes.where(F.col("s") != int(_names([np.zeros(0, np.uint64)])[0]))
     keys = met(nodes, group)
     wanted = durable(keys.select("s").distinct().join(nodes, "s").select("s", F.col("first.th").alias("th")), "wanted")
     texts = rows.join(wanted.select("th").distinct(), "th", "left_semi").select("text")

@@ -43,7 +43,7 @@ def planted():
     base = rng.choice(WORDS, 200)
     texts += [edited(rng, base, rng.integers(1, 6)) for _ in range(60)]
     order = rng.permutation(len(texts)).tolist()
-    return [(d, " ".join(texts[i])) for d, i in enumerate(order)] + [(900, ""), (901, None), (902, "Short text"), (903, "short  TEXT")]
+    return [(d, " ".join(texts[i])) for d, i in enumerate(order)] + [(900, ""), (901, None), (902, "Short text"), (903, "short  TEXT"), *((910 + k, f"two runs of words in{k}") for k in range(40)), *((960 + k, f"in{k} six little words make two") for k in range(40))]
 
 
 @pytest.fixture(scope="module")
