@@ -69,25 +69,33 @@ def _send_sets(n: int) -> callable:
     return send
 
 
+def words_of(mask: int) -> np.ndarray:
+    return np.array([mask >> BITS * w & (1 << BITS) - 1 for w in range(WORDS)], np.uint64)
+
+
 def keyed(nodes: DataFrame, part: int, mask: int, t: int) -> DataFrame:
-    """``key, s`` and the fingerprint, for each value within half the partition's threshold of the fingerprint's own."""
+    """``key, s``, the fingerprint and ``flip``, for each value within half the partition's threshold of the fingerprint's own.
+
+    ``flip`` numbers the bit that the value differs in; 0 is the fingerprint's own value.
+    """
     bits = [b for b in range(BITS * WORDS) if mask >> b & 1]
-    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-    words = lambda x: [signed(x >> BITS * w & (1 << BITS) - 1) for w in range(WORDS)]
+    words = lambda x: words_of(x).view(np.int64).tolist()
     assert radius(t) < 2
     flips = [0] + [1 << b for b in bits] * radius(t)
     offered = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(c) for c, x in zip(COLUMNS, words(f), strict=True)]) for f in flips])
     met = [F.col(c).bitwiseAND(F.lit(m)).bitwiseXOR(F.col(f"f.{c}")) for c, m in zip(COLUMNS, words(mask), strict=True)]
-    return nodes.select("s", *COLUMNS, F.explode(offered).alias("f")).select(F.xxhash64(F.lit(part), *met).alias("key"), "s", *COLUMNS)
+    return nodes.select("s", *COLUMNS, F.posexplode(offered).alias("flip", "f")).select(F.xxhash64(F.lit(part), *met).alias("key"), "s", *COLUMNS, "flip")
 
 
-def _meet(group: int) -> callable:
+def _meet(group: int, before: list[tuple[np.ndarray, int]]) -> callable:
     """``key, s, v, d`` of rows that have a near one under their key: the nearest with a smaller ``s``, if there is one, and its distance.
 
+    A pair counts once: in the first partition where it meets (``before`` has masks and reaches of those already searched), and of the
+    values there under the one that the smaller ``s`` flips a lower bit for, or both none.
     Rows come sorted by key. A key with more than ``group`` rows passes in chunks, each beside the key's first row, and all of it goes on.
     """
 
-    def near(key: np.ndarray, s: np.ndarray, words: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    def near(key: np.ndarray, s: np.ndarray, words: np.ndarray, flip: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
         n = len(key)
         partner, distance, met = np.full(n, np.iinfo(np.int64).max), np.full(n, FAR + 1), hot.copy()
         at = np.arange(n)
@@ -96,11 +104,17 @@ def _meet(group: int) -> callable:
             at = at[key[at] == key[at + step]]
             if not len(at):
                 break
-            d = np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1)
-            ok = d <= FAR
+            apart = words[at] ^ words[at + step]
+            d = np.bitwise_count(apart).sum(axis=1)
+            ok = np.flatnonzero(d <= FAR)
+            for mask, reach in before:
+                ok = ok[np.bitwise_count(apart[ok] & mask).sum(axis=1) > reach]
             a, b, d = at[ok], at[ok] + step, d[ok]
-            met[a] = met[b] = True
             above = s[a] > s[b]
+            fa, fb = flip[a], flip[b]
+            once = np.where(above, fb < fa, fa < fb) | ((fa == 0) & (fb == 0))
+            a, b, d, above = a[once], b[once], d[once], above[once]
+            met[a] = met[b] = True
             high, low = np.where(above, a, b), np.where(above, b, a)
             # a row stands once on each side of a step, so two rounds see each of its partners
             for side in (above, ~above):
@@ -115,8 +129,8 @@ def _meet(group: int) -> callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = (np.asarray(batch.column("key")), np.asarray(batch.column("s")), np.stack([np.asarray(batch.column(c)).view(np.uint64) for c in COLUMNS], axis=1))
-            key, s, words = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            new = (np.asarray(batch.column("key")), np.asarray(batch.column("s")), np.stack([np.asarray(batch.column(c)).view(np.uint64) for c in COLUMNS], axis=1), np.asarray(batch.column("flip")))
+            key, s, words, flip = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(first, len(key)))
             whole = np.flatnonzero((size <= group) & (first < first[-1]))
@@ -124,24 +138,24 @@ def _meet(group: int) -> callable:
             twice = own & np.repeat(size > 1, size)
             if hot and len(first) > 1 and size[0] <= group:  # the rest of a key that began in an earlier batch
                 twice[: size[0]] = False
-                yield near(key[: size[0]], s[: size[0]], words[: size[0]], np.ones(size[0], bool))
+                yield near(key[: size[0]], s[: size[0]], words[: size[0]], flip[: size[0]], np.ones(size[0], bool))
                 hot = False
             if twice.any():
-                yield near(key[twice], s[twice], words[twice], np.zeros(int(twice.sum()), bool))
+                yield near(key[twice], s[twice], words[twice], flip[twice], np.zeros(int(twice.sum()), bool))
             for k in np.flatnonzero((size > group) | (np.arange(len(first)) == len(first) - 1)).tolist():
                 a, b, last = first[k], first[k] + size[k], k == len(first) - 1
                 at = a
                 while b - at > group:
                     chunk = np.append(a, np.arange(max(at, a + 1), at + group))
-                    yield near(key[chunk], s[chunk], words[chunk], np.ones(len(chunk), bool))
+                    yield near(key[chunk], s[chunk], words[chunk], flip[chunk], np.ones(len(chunk), bool))
                     at += group
                 if last:  # its first row stays beside what may follow
                     rest = np.append(a, np.arange(max(at, a + 1), b))
                     hot = hot and k == 0 or at > a
-                    held = (key[rest], s[rest], words[rest])
+                    held = (key[rest], s[rest], words[rest], flip[rest])
                 elif at > a:
                     chunk = np.append(a, np.arange(at, b))
-                    yield near(key[chunk], s[chunk], words[chunk], np.ones(len(chunk), bool))
+                    yield near(key[chunk], s[chunk], words[chunk], flip[chunk], np.ones(len(chunk), bool))
         if held is not None and (hot or len(held[0]) > 1):
             yield near(*held, np.full(len(held[0]), hot))
 
@@ -151,10 +165,11 @@ def _meet(group: int) -> callable:
 def met(nodes: DataFrame, group: int) -> DataFrame:
     """Durable ``key, s, v, d`` of all partitions of the plan, which are searched one after another, so that one is on disk at a time."""
     n, both = bit_matrix(nodes, COLUMNS)
-    out = None
+    out, before = None, []
     for k, (mask, t) in enumerate(plan(n, both, TAU, sampled(nodes, COLUMNS), PARTS)):
         rows = keyed(nodes, k, mask, t).repartition("key").sortWithinPartitions("key")
-        found = durable(rows.mapInArrow(_meet(group), "key bigint, s bigint, v bigint, d int"), "met")
+        found = durable(rows.mapInArrow(_meet(group, list(before)), "key bigint, s bigint, v bigint, d int"), "met")
+        before.append((words_of(mask), 2 * radius(t)))
         out = found if out is None else out.unionByName(found)
     return out
 

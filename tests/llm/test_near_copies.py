@@ -97,10 +97,10 @@ def test_meeting_in_chunks_misses_no_neighbour():
     words = np.concatenate([np.where(rng.random((n, 1)) < 0.7, b, rng.integers(0, 1 << 63, (n, near_text.WORDS), dtype=np.uint64)) for n, b in zip(sizes, base)])
     words[:, 0] ^= np.uint64(1) << rng.integers(0, 60, len(key)).astype(np.uint64)
     s = rng.permutation(len(key))
-    columns = [key, s, *words.view(np.int64).T]
+    columns = [key, s, *words.view(np.int64).T, np.zeros(len(key), np.int32)]
     for size in (3, 11, 1000):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in columns], ["key", "s", *near_text.COLUMNS]) for i in range(0, len(key), size)]
-        out = [tuple(r.values()) for b in near_text._meet(16)(iter(batches)) for r in b.to_pylist()]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in columns], ["key", "s", *near_text.COLUMNS, "flip"]) for i in range(0, len(key), size)]
+        out = [tuple(r.values()) for b in near_text._meet(16, [])(iter(batches)) for r in b.to_pylist()]
         assert {k for k, *_ in out} <= set(key.tolist())
         for k, n in enumerate(sizes):
             own = np.flatnonzero(key == k)
