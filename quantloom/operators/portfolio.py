@@ -202,3 +202,75 @@ def drawdown_window(daily: DataFrame, time: str, ret: str = "gross_return") -> D
     p = paths(daily, time, ret)
     trough = p.agg(F.min_by(time, F.struct("drawdown", F.col(time))).alias("trough"))
     return p.join(F.broadcast(trough), p[time] < F.col("trough"), "right").groupBy("trough").agg(F.max(F.when(F.abs("drawdown") <= EPS, F.col(time))).alias("peak"))
+
+
+def rolling_performance(daily: DataFrame, time: str, window: int, ret: str = "net_return", periods: int = 252, levels: tuple[float, ...] = (0.95,)) -> DataFrame:
+    """By date, over full trailing windows: compound return, volatility, ratio of excess return, value at risk and expected shortfall.
+
+    ``daily`` has one row a date and ``rf``. A tail is all losses at or beyond the window's linear quantile.
+    """
+    w = Window.orderBy(time).rowsBetween(-(window - 1), 0)
+    full, excess = F.count(ret).over(w) == window, F.col(ret) - F.col("rf")
+    spread = F.stddev_samp(excess).over(w)
+    d = daily.select(
+        time, F.when(full, product(1 + F.col(ret), w) - 1).alias("rolling_return"), F.when(full, F.stddev_samp(ret).over(w) * periods**0.5).alias("rolling_volatility"),
+        F.when(full & (spread > EPS), F.avg(excess).over(w) / spread * periods**0.5).alias("rolling_sharpe"), F.when(full, F.collect_list(-F.col(ret)).over(w)).alias("_losses"),
+        *[F.when(full, F.percentile(-F.col(ret), F.lit(lv)).over(w)).alias(f"var_{round(lv * 100)}") for lv in levels],
+    )
+    for lv in levels:
+        quantile = F.col(f"var_{round(lv * 100)}")
+        tail = F.filter("_losses", lambda x: x >= quantile)  # noqa: B023
+        d = d.withColumn(f"expected_shortfall_{round(lv * 100)}", F.try_divide(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x), F.size(tail)))
+    return d.drop("_losses")
+
+
+def attribute_sides(daily: DataFrame) -> DataFrame:
+    """``source, total_contribution, mean_daily_contribution`` of longs, shorts and cash, and of costs with a minus."""
+    sources = {"long": F.col("long_contribution"), "short": F.col("short_contribution"), "cash": F.col("cash_contribution"), "transaction_costs": -F.col("transaction_cost"), "borrow_costs": -F.col("borrow_cost")}
+    parts = [F.struct(F.lit(k).alias("source"), F.sum(c).alias("total_contribution"), F.avg(c).alias("mean_daily_contribution")) for k, c in sources.items()]
+    return daily.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+
+
+def attribute_drawdown(df: DataFrame, daily: DataFrame, time: str, entity: str, ret: str = "net_return") -> DataFrame:
+    """``asset, contribution`` between the peak, which is left out, and the trough of the deepest drawdown; cash is ``Cash``, costs are ``Costs``."""
+    inside = drawdown_window(daily, time, ret)
+    dates = daily.join(F.broadcast(inside), (F.col(time) <= F.col("trough")) & (F.col("peak").isNull() | (F.col(time) > F.col("peak")))).select(time, "cash_contribution", "total_cost")
+    assets = df.join(dates.select(time), time).select(F.col(entity).cast("string").alias("asset"), (F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("contribution"))
+    both = [dates.select(F.lit("Cash").alias("asset"), F.col("cash_contribution").alias("contribution")), dates.select(F.lit("Costs").alias("asset"), (-F.col("total_cost")).alias("contribution"))]
+    return assets.unionByName(both[0]).unionByName(both[1]).groupBy("asset").agg(F.sum("contribution").alias("contribution"))
+
+
+def leg_summary(daily: DataFrame, periods: int = 252) -> DataFrame:
+    """``side, total_return, annualized_return, annualized_volatility`` of the long and the short leg; a day without a leg counts as zero."""
+    parts = []
+    for side in ("long", "short"):
+        r = F.coalesce(F.try_divide(F.col(f"{side}_contribution"), F.when(F.col(f"{side}_exposure") > EPS, F.col(f"{side}_exposure"))), F.lit(0.0))
+        parts.append(F.struct(F.lit(side).alias("side"), (F.product(1 + r) - 1).alias("total_return"), (F.avg(r) * periods).alias("annualized_return"), (F.stddev_samp(r) * periods**0.5).alias("annualized_volatility")))
+    return daily.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+
+
+def reconciliation(daily: DataFrame) -> DataFrame:
+    """Largest gap between the gross return and its contributions, and between the net return and gross return less costs."""
+    gross = F.abs(F.col("long_contribution") + F.col("short_contribution") + F.col("cash_contribution") - F.col("gross_return"))
+    return daily.agg(F.max(gross).alias("gross_gap"), F.max(F.abs(F.col("gross_return") - F.col("total_cost") - F.col("net_return"))).alias("net_gap"))
+
+
+def check_reconciliation(daily: DataFrame, most: float = 1e-10) -> None:
+    gaps = reconciliation(daily).first()
+    if max(gaps.gross_gap or 0.0, gaps.net_gap or 0.0) > most:
+        raise ValueError(f"contributions and returns differ by {gaps.gross_gap} (gross) and {gaps.net_gap} (net)")
+
+
+def evaluate(df: DataFrame, time: str, entity: str, rolling: int = 63, levels: tuple[float, ...] = (0.95, 0.99), periods: int = 252, **costs: float) -> dict[str, DataFrame]:
+    """All tables of a portfolio's evaluation from ``time, entity, weight, ret, rf``, by name; raises where accounts don't reconcile.
+
+    ``costs`` go to ``account``. Everything but the accounts themselves is computed on one row a date.
+    """
+    daily = account(df, time, entity, **costs)
+    check_reconciliation(daily)
+    return {
+        "daily": daily, "paths": paths(daily, time), "gross": performance(daily, time, "gross_return", periods, levels=levels), "net": performance(daily, time, "net_return", periods, levels=levels),
+        "rolling": rolling_performance(daily, time, rolling, periods=periods, levels=levels), "monthly": period_returns(daily, time, "month"), "yearly": period_returns(daily, time, "year"),
+        "trading": trading_summary(daily, periods), "exposures": exposure_summary(daily), "legs": leg_summary(daily, periods), "streaks": streaks(daily, time), "holding": holding_period(df, time, entity),
+        "sides": attribute_sides(daily), "assets": attribute_assets(df, daily, time, entity), "drawdown": attribute_drawdown(df, daily, time, entity),
+    }

@@ -121,19 +121,42 @@ def confusion(df: DataFrame, decision: str, target: str, threshold: float = 0.0,
     return on.groupBy((F.col(target) > threshold).alias("actual_up"), (F.col(decision) > 0).alias("predicted_up")).agg(F.count("*").alias("n"))
 
 
+def _outcomes(df: DataFrame, decision: str, target: str, threshold: float) -> DataFrame:
+    """``s, p, n``: how many targets lie above the threshold, and how many don't, for each distinct score."""
+    d = df.where(F.col(decision).isNotNull() & F.col(target).isNotNull())
+    return d.groupBy(F.col(decision).alias("s")).agg(F.sum((F.col(target) > threshold).cast("long")).alias("p"), F.sum((F.col(target) <= threshold).cast("long")).alias("n"))
+
+
+def running(df: DataFrame, by: str, sums: Sequence[str], descending: bool = False, parts: int = 200) -> DataFrame:
+    """``df`` with ``<column>_before`` for each of ``sums``: its total over all rows that come before in the order of ``by``, which is unique.
+
+    Ranges of ``by``, at most ``parts`` and cut at approximate quantiles, are summed first; a row adds the rows before it in its range, so no
+    task has to order all rows.
+    """
+    cuts = df.agg(F.percentile_approx(by, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10_000))).first()[0] or []
+    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast(f"array<{df.schema[by].dataType.simpleString()}>")
+    d = df.withColumn("_range", F.size(F.filter(cuts, lambda x: x <= F.col(by))))
+    order = lambda c: F.desc(c) if descending else F.asc(c)
+    ahead = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = d.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in sums])
+    own = Window.partitionBy("_range").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, -1)
+    joined = d.join(F.broadcast(ranges), "_range")  # at most ``parts`` rows
+    return joined.select(*df.columns, *[(F.col(f"_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"{c}_before") for c in sums])
+
+
 def auc(df: DataFrame, decision: str, target: str, threshold: float = 0.0) -> DataFrame:
-    """Area under the ROC curve from counts of each distinct score, so that no row needs a global order; NULL with one class."""
-    d = df.where(F.col(decision).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(decision).alias("s")).agg(F.sum((F.col(target) > threshold).cast("long")).alias("p"), F.sum((F.col(target) <= threshold).cast("long")).alias("n"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_b", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    return d.agg(F.try_divide(F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2.0)), (F.sum("p") * F.sum("n")).cast("double")).alias("roc_auc"))
+    """Area under the ROC curve from counts of each distinct score; NULL with one class."""
+    d = running(_outcomes(df, decision, target, threshold), "s", ["n"])
+    return d.agg(F.try_divide(F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2.0)), (F.sum("p") * F.sum("n")).cast("double")).alias("roc_auc"))
 
 
 def roc_points(df: DataFrame, decision: str, target: str, threshold: float = 0.0) -> DataFrame:
     """``score, fpr, tpr`` at each distinct score, from the highest."""
-    d = df.where(F.col(decision).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(decision).alias("score")).agg(F.sum((F.col(target) > threshold).cast("long")).alias("p"), F.sum((F.col(target) <= threshold).cast("long")).alias("n"))
-    w, all_ = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return d.select("score", F.try_divide(F.sum("n").over(w), F.sum("n").over(all_)).alias("fpr"), F.try_divide(F.sum("p").over(w), F.sum("p").over(all_)).alias("tpr"))
+    counts = _outcomes(df, decision, target, threshold)
+    total = counts.agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    d = running(counts, "s", ["p", "n"], descending=True).join(F.broadcast(total))  # one row
+    return d.select(F.col("s").alias("score"), F.try_divide(F.col("n_before") + F.col("n"), F.col("_n")).alias("fpr"), F.try_divide(F.col("p_before") + F.col("p"), F.col("_p")).alias("tpr"))
 
 
 def headline(df: DataFrame, time: str, score: str, target: str, k: int = 5, order: Sequence[str] = ()) -> DataFrame:
@@ -213,3 +236,14 @@ def position_overlap(df: DataFrame, model: str, time: str, entity: str, weight:
     cosine = guarded_ratio(F.coalesce("_d", F.lit(0.0)), F.col("_na") * F.col("_nb"))
     return days.join(dot, ["a", "b", time], "left").groupBy("a", "b").agg(F.avg(F.coalesce(cosine, F.lit(0.0))).alias("overlap"))
 
+
+
+def evaluate(df: DataFrame, time: str, entity: str, score: str, target: str, k: int = 5, window: int = 63, leads: Sequence[int] = (1, 5, 21), threshold: float = 0.0) -> dict[str, DataFrame]:
+    """All tables of a signal's evaluation, by name: coefficients by date, their summary and rolling form, decay, buckets, discrimination, headline."""
+    per_date = date_diagnostics(df, time, score, target, threshold=threshold)
+    buckets = signal_buckets(rank_buckets(df, score, k, [entity], [time]), score, target, threshold)
+    return {
+        "dates": per_date, "ic": ic_summary(per_date, "ic"), "rank_ic": ic_summary(per_date, "rank_ic"), "rolling": rolling_diagnostics(per_date, time, window), "decay": signal_decay(df, time, entity, score, target, leads),
+        "buckets": buckets, "monotonicity": monotonicity(buckets), "confusion": confusion(df, score, target, threshold), "auc": auc(df, score, target, threshold), "roc": roc_points(df, score, target, threshold),
+        "headline": headline(df, time, score, target, k, [entity]),
+    }

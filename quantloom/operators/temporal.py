@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..panel import Panel
@@ -78,34 +80,58 @@ def ewma_prior(train: Panel, columns: Sequence[str]) -> tuple[DataFrame, DataFra
     return train.df.groupBy(train.require_entity()).agg(*aggs), train.df.agg(*[a.alias(n) for a, n in zip(aggs, [f"_{c}__{k}" for c in columns for k in ("mean", "var")], strict=True)])
 
 
-def _recursion(values: Column, mean: Column, var: Column, lam: float, floor: float) -> Column:
-    """One pass over an entity's ordered values: each is scored by the state before it, then moves the state."""
+def ewma_scores(v: np.ndarray, mean: float, var: float, lam: float, floor: float) -> tuple[np.ndarray, float, float]:
+    """(z, mean, variance): each value scored by the state before it, and the state after the last one.
 
-    def step(state: Column, x: Column) -> Column:
-        v, m, s = x["v"], state["m"], state["s"]
-        d = v - m
-        z = F.when(v.isNotNull(), d / F.sqrt(F.greatest(s, F.lit(floor)))).otherwise(0.0)
-        return F.struct(F.when(v.isNotNull(), m + (1 - lam) * d).otherwise(m).alias("m"), F.when(v.isNotNull(), lam * (s + (1 - lam) * d * d)).otherwise(s).alias("s"), F.concat(state["out"], F.array(F.struct(x["t"].alias("t"), z.alias("z")))).alias("out"))
-
-    kind = "array<struct<t:timestamp,z:double>>"
-    return F.aggregate(values, F.struct(mean.alias("m"), var.alias("s"), F.array().cast(kind).alias("out")), step)
+    Between values, mean and variance are sums with powers of ``lam`` as weights; they are taken in blocks so short that no power gets large.
+    """
+    z, at = np.zeros(len(v)), np.flatnonzero(np.isfinite(v))
+    block = max(1, int(18 / -np.log(lam)))
+    for low in range(0, len(at), block):
+        own = at[low : low + block]
+        x, grown = v[own], lam ** -np.arange(1, len(own) + 1, dtype=np.float64)
+        means = (mean + (1 - lam) * np.cumsum(grown * x)) / grown
+        before = np.append(mean, means[:-1])
+        d = x - before
+        variances = (var + (1 - lam) * lam * np.cumsum(grown * d * d)) / grown
+        z[own] = d / np.sqrt(np.maximum(np.append(var, variances[:-1]), floor))
+        mean, var = means[-1], variances[-1]
+    return z, mean, var
 
 
 def ewma_standardise(p: Panel, train: Panel, column: str, half_life: float, floor: float = 1e-12) -> DataFrame:
     """``time, entity, z``: each value against the mean and variance before it, which then decay toward it.
 
-    Missing values score 0 and leave the state alone; entities without a prior start from the pooled one. An entity's
-    history is one array, so its length must fit a task, as a panel's does.
+    Missing values score 0 and leave the state alone; entities without a prior start from the pooled one. Rows are read in the
+    order of entity and time, batch after batch, with one entity's state at hand, so a history may be of any length.
     """
     entity, lam = p.require_entity(), decay(half_life)
     own, pooled = ewma_prior(train, [column])
-    seq = p.df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(p.time).cast("timestamp").alias("t"), F.col(column).alias("v")))).alias("values"))
-    seq = seq.join(own, entity, "left").join(F.broadcast(pooled))
-    mean = F.coalesce(f"{column}__mean", f"_{column}__mean", F.lit(0.0))
-    var = F.coalesce(f"{column}__var", f"_{column}__var", F.lit(0.0))
-    done = seq.select(entity, _recursion(F.col("values"), mean, var, lam, floor)["out"].alias("out"))
-    kind = p.df.schema[p.time].dataType
-    return done.select(F.explode("out").alias("x"), entity).select(F.col("x.t").cast(kind).alias(p.time), entity, F.col("x.z").alias("z"))
+    rows = p.df.select(F.col(p.time).alias("t"), F.col(entity).alias("e"), F.col(column).cast("double").alias("v"))
+    rows = rows.join(own.withColumnRenamed(entity, "e"), "e", "left").join(F.broadcast(pooled))  # pooled is one row
+    rows = rows.select("t", "e", "v", F.coalesce(f"{column}__mean", f"_{column}__mean", F.lit(0.0)).alias("m"), F.coalesce(f"{column}__var", f"_{column}__var", F.lit(0.0)).alias("s"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mean, var = None, 0.0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name = batch.column("e").dictionary_encode()
+            code = np.asarray(name.indices.fill_null(-1))
+            v, m, s = (np.asarray(batch.column(c), dtype=np.float64) for c in ("v", "m", "s"))
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            out = []
+            for low, high in zip(first, [*first[1:], len(code)], strict=True):
+                who = batch.column("e")[int(low)].as_py()
+                if last is None or last[0] != who:
+                    mean, var, last = m[low], s[low], (who,)
+                z, mean, var = ewma_scores(v[low:high], mean, var, lam, floor)
+                out.append(z)
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("e"), pa.array(np.concatenate(out))], ["t", "e", "z"])
+
+    kinds = dict(rows.dtypes)
+    done = rows.repartition("e").sortWithinPartitions("e", "t").mapInArrow(scored, f"t {kinds['t']}, e {kinds['e']}, z double")
+    return done.select(F.col("t").alias(p.time), F.col("e").alias(entity), "z")
 
 
 def segment_runs(p: Panel, window: int, segment: str = "segment") -> DataFrame:

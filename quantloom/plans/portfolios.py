@@ -143,3 +143,34 @@ SELECT 'return' AS kind, {r('sum(v * v) / (sum(v) * sum(v))', 'hhi')}, {r('sum(v
 def contribution_concentration(spark, folder):
     assets = pf.attribute_assets(weighted(spark, folder), daily(spark, folder), "d", "e").where("asset <> 'Cash'")
     return shown(compare.contribution_concentration(assets).where("kind = 'return'"))
+
+
+@register("portfolio_rolling_performance", f"""WITH {DAILY}, k AS (SELECT d, net_return AS x, net_return - rf AS y FROM daily), q AS (SELECT d, count(*) OVER w AS n, product(1 + x) OVER w - 1 AS ret, stddev_samp(x) OVER w * sqrt(252) AS vol, avg(y) OVER w / stddev_samp(y) OVER w * sqrt(252) AS sharpe, quantile_cont(-x, 0.9) OVER w AS var_90, list(-x) OVER w AS losses FROM k WINDOW w AS (ORDER BY d ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT d, {', '.join(r(f'CASE WHEN n = 10 THEN {x} END', c) for c, x in (('rolling_return', 'ret'), ('rolling_volatility', 'vol'), ('rolling_sharpe', 'sharpe'), ('var_90', 'var_90'), ('expected_shortfall_90', 'list_avg(list_filter(losses, lambda z: z >= var_90))')))} FROM q""")
+def rolling_performance(spark, folder):
+    return shown(pf.rolling_performance(daily(spark, folder), "d", 10, levels=(0.9,)))
+
+
+SIDES = {"long": "long_contribution", "short": "short_contribution", "cash": "cash_contribution", "transaction_costs": "-transaction_cost", "borrow_costs": "-borrow_cost"}
+
+
+@register("portfolio_side_attribution", f"WITH {DAILY} " + " UNION ALL ".join(f"SELECT '{k}' AS source, {r(f'sum({x})', 'total_contribution')}, {r(f'avg({x})', 'mean_daily_contribution')} FROM daily" for k, x in SIDES.items()))
+def side_attribution(spark, folder):
+    return shown(pf.attribute_sides(daily(spark, folder)))
+
+
+@register("portfolio_drawdown_attribution", f"""WITH {PATH}, tr AS (SELECT d AS trough FROM path ORDER BY drawdown, d LIMIT 1), pk AS (SELECT trough, max(d) FILTER (abs(drawdown) <= 1e-12 AND d < trough) AS peak FROM path, tr GROUP BY trough),
+i AS (SELECT daily.* FROM daily, pk WHERE d <= trough AND (peak IS NULL OR d > peak)), c AS (SELECT CAST(e AS VARCHAR) AS asset, weight * x AS y FROM w JOIN i USING (d) UNION ALL SELECT 'Cash', cash_contribution FROM i UNION ALL SELECT 'Costs', -total_cost FROM i)
+SELECT asset, {r('sum(y)', 'contribution')} FROM c GROUP BY asset""")
+def drawdown_attribution(spark, folder):
+    return shown(pf.attribute_drawdown(weighted(spark, folder), daily(spark, folder), "d", "e"))
+
+
+@register("portfolio_leg_summary", f"WITH {DAILY} " + " UNION ALL ".join(f"SELECT '{k}' AS side, {r(f'product(1 + {x}) - 1', 'total_return')}, {r(f'avg({x}) * 252', 'annualized_return')}, {r(f'stddev_samp({x}) * sqrt(252)', 'annualized_volatility')} FROM daily" for k in ("long", "short") for x in (f"CASE WHEN {k}_exposure > 1e-12 THEN {k}_contribution / {k}_exposure ELSE 0 END",)))
+def leg_summary(spark, folder):
+    return shown(pf.leg_summary(daily(spark, folder)))
+
+
+@register("portfolio_reconciliation", f"WITH {DAILY} SELECT {r('max(abs(long_contribution + short_contribution + cash_contribution - gross_return))', 'gross_gap')}, {r('max(abs(gross_return - total_cost - net_return))', 'net_gap')} FROM daily")
+def reconciliation(spark, folder):
+    return shown(pf.reconciliation(daily(spark, folder)))

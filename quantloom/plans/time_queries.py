@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import latent, models, predictions, temporal
 from ..operators.align import dense_grid
 from ..panel import Panel
-from .registry import SUP, USR, grid, r, register, shown, sup, table, usr
+from .registry import GRID, SUP, USR, grid, r, register, shown, sup, table, usr
 
 DAYS = f"{SUP}, days AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS n, count(*) OVER () AS total FROM (SELECT DISTINCT d FROM sup))"
 SPLIT = temporal.Splitter(train=300, val=60, test=100, purge=5, step=100)
@@ -53,9 +53,11 @@ def ewma_prior(spark, folder):
     return shown(temporal.ewma_prior(Panel(usr(spark, folder).select("d", "e", "v")), ["v"])[0])
 
 
-@register("ewma_standardise")
+@register("ewma_standardise", f"""WITH RECURSIVE {GRID}, o AS (SELECT d, e, v, row_number() OVER (PARTITION BY e ORDER BY d) AS n FROM grid), pri AS (SELECT e, coalesce(avg(v), (SELECT avg(v) FROM grid), 0) AS m, coalesce(var_pop(v), (SELECT var_pop(v) FROM grid), 0) AS s FROM grid GROUP BY e), k AS (SELECT pow(2, -0.1) AS lam),
+st AS (SELECT e, CAST(0 AS BIGINT) AS n, CAST(m AS DOUBLE) AS m, CAST(s AS DOUBLE) AS s, CAST(NULL AS DATE) AS d, CAST(0 AS DOUBLE) AS z FROM pri UNION ALL
+ SELECT o.e, o.n, CASE WHEN o.v IS NULL THEN st.m ELSE st.m + (1 - lam) * (o.v - st.m) END, CASE WHEN o.v IS NULL THEN st.s ELSE lam * (st.s + (1 - lam) * (o.v - st.m) * (o.v - st.m)) END, o.d, CASE WHEN o.v IS NULL THEN 0 ELSE (o.v - st.m) / sqrt(greatest(st.s, 1e-12)) END FROM st JOIN o ON o.e = st.e AND o.n = st.n + 1, k)
+SELECT d, e, {r('z', 'z')} FROM st WHERE n > 0""")
 def ewma_standardise(spark, folder):
-    """A recursion over each user's days, with missing days: tests hold it against a plain loop."""
     p = Panel(dense_grid(usr(spark, folder).select("d", "e", "v"), "d", "e"))
     return shown(temporal.ewma_standardise(p, p, "v", 10.0))
 

@@ -308,3 +308,56 @@ def test_prediction_contract(spark):
     with pytest.raises(ValueError):
         predictions.common_sample([a, b.withColumn("t", F.col("t") + 1)], ["e"], "t")
     assert predictions.same_observations(a, a, ["e"]) and not predictions.same_observations(a, b, ["e"])
+
+
+def test_ewma_over_a_long_history(spark):
+    """Blocks of powers give what the plain recursion gives, with gaps, over batches and many half-lives."""
+    import numpy as np
+
+    from quantloom.operators import temporal
+    from quantloom.panel import Panel
+
+    rng = np.random.default_rng(3)
+    rows = [(e, k, None if rng.random() < 0.1 else float(rng.normal(e, 2))) for e in (1, 2) for k in range(25_000)]
+    p = Panel(spark.createDataFrame(rows, "e int, d int, x double"), time="d", entity="e")
+    got = {(r.e, r.d): r.z for r in temporal.ewma_standardise(p, p, "x", 3.0).collect()}
+    lam = temporal.decay(3.0)
+    for e in (1, 2):
+        seen = np.array([x for a, _, x in rows if a == e and x is not None])
+        m, s = seen.mean(), seen.var()
+        for a, k, x in rows:
+            if a != e:
+                continue
+            want = 0.0
+            if x is not None:
+                want, d = (x - m) / np.sqrt(max(s, 1e-12)), x - m
+                m, s = m + (1 - lam) * d, lam * (s + (1 - lam) * d * d)
+            assert abs(got[e, k] - want) < 1e-6
+
+
+def test_running_totals_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from quantloom.operators import signals
+
+    d = spark.range(5000).select((F.xxhash64("id") / 1e15).alias("s"), (F.col("id") % 7).alias("n"))
+    for down in (False, True):
+        total = 0
+        for r in sorted(signals.running(d, "s", ["n"], down, parts=13).collect(), reverse=down):
+            assert r.n_before == total
+            total += r.n
+    assert signals.running(d.limit(0), "s", ["n"]).count() == 0
+
+
+def test_evaluations_hold_every_table(spark, sf):
+    from quantloom.operators import portfolio, signals
+    from quantloom.plans import portfolios, signal_queries
+
+    tables = portfolio.evaluate(portfolios.weighted(spark, sf), "d", "e", rolling=5, fee=0.001)
+    assert tables["net"].count() == 1 and tables["sides"].count() == 5 and tables["legs"].count() == 2
+    tables = signals.evaluate(signal_queries.panel(spark, sf), "d", "e", "score", "target", window=5, leads=(1, 2))
+    assert tables["decay"].count() == 2 and tables["headline"].count() == 1 and tables["monotonicity"].count() == 1
+    import pytest
+
+    with pytest.raises(ValueError):
+        portfolio.check_reconciliation(portfolios.daily(spark, sf).withColumn("net_return", F.col("net_return") + 1e-6))
