@@ -190,7 +190,7 @@ def probes(fps: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
         free = (1 << BITS) - 1 - (0 if t else mask)
         value = F.col("fp").bitwiseAND(F.lit(signed(mask)))
         flipped = F.explode(F.transform(F.array(*[F.lit(signed(f)) for f in flips]), lambda f, v=value: v.bitwiseXOR(f)))
-        arms.append(fps.select("fp", flipped.alias("v")).select(F.xxhash64(F.lit(k), "v").alias("key"), F.lit(signed(free)).alias("free"), "fp"))
+        arms.append(fps.select("fp", flipped.alias("v")).select(F.xxhash64(F.lit(k), "v").alias("key"), F.lit(signed(free)).cast("bigint").alias("free"), "fp"))
     out = arms[0]
     for arm in arms[1:]:
         out = out.unionByName(arm)

@@ -250,6 +250,15 @@ def test_simhash_hot_family(spark):
         assert {frozenset(c) for c in classes.values()} == {frozenset(i for i, x in want.items() if x[1] == k) for k in {x[1] for x in want.values()}}
 
 
+def test_free_bits_are_longs(spark):
+    """Thresholds above zero leave all bits free, a number that a literal alone would make an int; parting again must read it whole."""
+    fps = spark.createDataFrame([(x * 7919,) for x in range(50)], "fp long")
+    rows = simhash.probes(fps, [((1 << 32) - 1, 2), ((1 << 40) - (1 << 32), 1)])
+    assert dict(rows.dtypes)["free"] == "bigint" and {r.free for r in rows.select("free").distinct().collect()} == {-1}
+    again = rows.mapInArrow(simhash._part_again(2), "key bigint, free bigint, fp bigint")
+    assert again.count() == 3 * rows.count() and {r.fp for r in again.collect()} == {r.fp for r in fps.collect()}
+
+
 def test_thresholds_follow_the_principle():
     import numpy as np
 
