@@ -13,6 +13,7 @@ from . import inference, portfolio, signals
 
 #: What models must share for their net returns to be comparable.
 ACCOUNTING = ("return_type", "fee", "spread", "slippage", "borrow")
+MOST_MODELS = 1000
 
 
 def comparison_window(tests: DataFrame, end: object | None = None) -> tuple:
@@ -85,7 +86,10 @@ def confidence_set(daily: DataFrame, model: str, time: str, ret: str = "net_retu
 
 
 def _shared(daily: DataFrame, model: str, time: str, value: str) -> dict[str, np.ndarray]:
-    names = sorted(r[0] for r in daily.select(model).distinct().limit(1000).collect())
+    """By model, its values on the dates that all have; more than ``MOST_MODELS`` models are an error."""
+    names = sorted(r[0] for r in daily.select(model).distinct().limit(MOST_MODELS + 1).collect())
+    if len(names) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
     wide = daily.groupBy(time).pivot(model, names).agg(F.first(value)).dropna()
     return dict(zip(names, inference.series(wide, time, *names), strict=True))
 
