@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,25 @@ def keyed_join(big: DataFrame, small: DataFrame, on: list[str], rows: str, how:
     return big.join(few, on).unionByName(rest.join(own if how == "left" else small.where(~hot).drop(rows), on, how))
 
 
+def release() -> None:
+    """Give the memory that a Python worker holds but doesn't use back to the system: it outlives its tasks, and the next may be another stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``, with what it leaves in the worker's memory released at the task's end."""
+
+    @wraps(work)
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return done
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a block holds about ``most_bytes`` of text, or one longer text."""
     for batch in batches:

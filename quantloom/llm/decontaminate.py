@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, blocks, discard, durable, framed, ragged
+from .common import LOWER_BYTES, blocks, discard, durable, framed, ragged, tidy
 
 #: Bytes of words: digits, letters and all that isn't ASCII; upper case is folded, the rest ends a word.
 WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in LOWER_BYTES)
@@ -52,7 +52,7 @@ def window_table(items: DataFrame, n: int, item_col: str, item_text: str) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.int64()), pa.array(found, pa.binary()), pa.array([low // 512] * len(found), pa.int32())], ["item", "words", "run"])
 
     rows = items.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).where("item is not null and text is not null")
-    return durable(rows.mapInArrow(cut, "item bigint, words binary, run int").groupBy("item", "words").agg(F.min("run").alias("run")), "windows")
+    return durable(rows.mapInArrow(tidy(cut), "item bigint, words binary, run int").groupBy("item", "words").agg(F.min("run").alias("run")), "windows")
 
 
 @dataclass
@@ -202,7 +202,7 @@ def union(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     """The segments of ``docs`` (``doc_id, text``) for the terms of ``vocabulary``, as a durable table."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return durable(docs.select("doc_id", "text").mapInArrow(_index(shared), SEGMENT), "postings")
+    return durable(docs.select("doc_id", "text").mapInArrow(tidy(_index(shared)), SEGMENT), "postings")
 
 
 def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -213,7 +213,7 @@ def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["terms"], np.int32)), pa.array(np.diff(np.frombuffer(row["lists"], np.int64)))], ["term", "n"])
 
-    rows = index.select("terms", "lists").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    rows = index.select("terms", "lists").mapInArrow(tidy(count), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(n_terms, np.int64)
     out[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -227,7 +227,7 @@ def _one_pass(rows: DataFrame, part: DataFrame, slack: int | None) -> DataFrame:
     index = build_index(rows, vocabulary)
     windows = Windows.of(found["item"].tolist(), words, vocabulary, term_counts(index, len(vocabulary)))
     shared = rows.sparkSession.sparkContext.broadcast(windows)
-    hits = durable(index.mapInArrow(_search(shared, len(vocabulary), slack), "doc_id bigint, n_words bigint, spans array<array<bigint>>, items array<bigint>"), "hits")
+    hits = durable(index.mapInArrow(tidy(_search(shared, len(vocabulary), slack)), "doc_id bigint, n_words bigint, spans array<array<bigint>>, items array<bigint>"), "hits")
     discard(index)
     return hits
 
@@ -267,7 +267,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     for part in parts[1:]:
         found = found.unionByName(part)
     found = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = found.mapInArrow(_merged, found.schema).withColumnRenamed("doc_id", "rid")
+    merged = found.mapInArrow(tidy(_merged), found.schema).withColumnRenamed("doc_id", "rid")
     out = durable(own.select("rid", "doc_id").join(merged, "rid").select("doc_id", "n_words", "spans", "items"), "hits")
     discard(windows, own, *parts)
     return out

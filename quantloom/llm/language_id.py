@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, framed
+from .common import blocks, framed, release, tidy
 
 DIM = 1024
 SEED = 20240611
@@ -103,7 +103,7 @@ def profiles(texts: list[str | None], dim: int, n: int = 3, by: np.ndarray | Non
 
 
 _known: dict[tuple[int, ...], int] = {}
-_matrix = np.zeros((0, 0), np.float32)
+_matrix = np.zeros((0, 0), np.int8)
 #: N-gram vectors that a worker keeps at hand.
 KEPT = 8_192
 
@@ -113,13 +113,13 @@ def _vectors(letters: np.ndarray, dim: int) -> np.ndarray:
     keys = list(map(tuple, letters.tolist()))
     if _matrix.shape[1] != dim or len(_known) > KEPT:
         _known.clear()
-        _matrix = np.zeros((0, dim), np.float32)
+        _matrix = np.zeros((0, dim), np.int8)
     new = [i for i, k in enumerate(keys) if k not in _known]
     if new:
         for j, i in enumerate(new):
             _known[keys[i]] = len(_matrix) + j
-        _matrix = np.concatenate([_matrix, ngram_vectors(letters[new], dim).astype(np.float32)])
-    return _matrix[[_known[k] for k in keys]]
+        _matrix = np.concatenate([_matrix, ngram_vectors(letters[new], dim)])
+    return _matrix[[_known[k] for k in keys]].astype(np.float32)
 
 
 def train(docs: DataFrame, lang: Column, dim: int = DIM, n: int = 3) -> dict[str, np.ndarray]:
@@ -140,7 +140,7 @@ def train(docs: DataFrame, lang: Column, dim: int = DIM, n: int = 3) -> dict[str
             yield pa.RecordBatch.from_arrays([pa.array([name] * dim), pa.array(np.arange(dim), pa.int32()), pa.array(v.astype(np.int64), pa.int64())], ["lang", "k", "v"])
 
     rows = docs.select("text", lang.cast("string").alias("lang")).where("text is not null and lang is not null")
-    found = rows.mapInArrow(bundle, "lang string, k int, v bigint").groupBy("lang", "k").agg(F.sum("v").alias("v"))
+    found = rows.mapInArrow(tidy(bundle), "lang string, k int, v bigint").groupBy("lang", "k").agg(F.sum("v").alias("v"))
     out: dict[str, np.ndarray] = {}
     for name, k, v in found.toPandas().itertuples(index=False, name=None):
         out.setdefault(name, np.zeros(dim))[k] = v
@@ -171,6 +171,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
             cos = v @ matrix.T / np.maximum(norm, 1e-300)[:, None]
             lang[at] = np.where(norm > 0, np.array(names, object)[cos.argmax(axis=1)], UNKNOWN)
             score[at] = np.where(norm > 0, np.clip(cos.max(axis=1), 0, 1), 0)
+        release()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     rows = framed(docs, id_col, text_col, keep_null_ids).withColumn("_found", nearest("text"))

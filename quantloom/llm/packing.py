@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, durable, framed, ragged
+from .common import blocks, durable, framed, ragged, tidy
 
 #: Distinct chunks of text whose ids a worker keeps at hand; beyond, it starts afresh.
 CACHE = 800_000
@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
     rows = framed(docs, id_col, text_col).select("doc_id", "text")
-    return durable(rows.mapInArrow(cut, schema), tag)
+    return durable(rows.mapInArrow(tidy(cut), schema), tag)
 
 
 def fullest(counts: Counter, capacity: int) -> list[int]:
