@@ -9,6 +9,7 @@ no text is linked below the bound.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, durable, framed, runs
+from .common import blocks, discard, durable, framed, runs, tidy
 from .components import components
 from .simhash import BITS, bit_matrix, fold, plan, radius, sampled, shingle_hashes
 
@@ -76,22 +77,24 @@ def words_of(mask: int) -> np.ndarray:
 def keyed(nodes: DataFrame, part: int, mask: int, t: int) -> DataFrame:
     """``key, s``, the fingerprint and ``flip``, for each value within half the partition's threshold of the fingerprint's own.
 
-    ``flip`` numbers the bit that the value differs in; 0 is the fingerprint's own value.
+    ``flip`` tells the bits that the value differs in: how many, the lowest's number and one more than the highest's, a byte each; 255
+    and 0 stand for none.
     """
     bits = [b for b in range(BITS * WORDS) if mask >> b & 1]
     words = lambda x: words_of(x).view(np.int64).tolist()
-    assert radius(t) < 2
-    flips = [0] + [1 << b for b in bits] * radius(t)
-    offered = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(c) for c, x in zip(COLUMNS, words(f), strict=True)]) for f in flips])
+    flips = [c for j in range(radius(t) + 1) for c in combinations(bits, j)]
+    told = lambda c: len(c) << 16 | min(c, default=255) << 8 | max(c, default=-1) + 1
+    values = [[*zip(COLUMNS, words(sum(1 << b for b in c)), strict=True), ("flip", told(c))] for c in flips]
+    offered = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(name) for name, x in v]) for v in values])
     met = [F.col(c).bitwiseAND(F.lit(m)).bitwiseXOR(F.col(f"f.{c}")) for c, m in zip(COLUMNS, words(mask), strict=True)]
-    return nodes.select("s", *COLUMNS, F.posexplode(offered).alias("flip", "f")).select(F.xxhash64(F.lit(part), *met).alias("key"), "s", *COLUMNS, "flip")
+    return nodes.select("s", *COLUMNS, F.explode(offered).alias("f")).select(F.xxhash64(F.lit(part), *met).alias("key"), "s", *COLUMNS, F.col("f.flip").cast("int").alias("flip"))
 
 
 def _meet(group: int, before: list[tuple[np.ndarray, int]]) -> callable:
     """``key, s, v, d`` of rows that have a near one under their key: the nearest with a smaller ``s``, if there is one, and its distance.
 
     A pair counts once: in the first partition where it meets (``before`` has masks and reaches of those already searched), and of the
-    values there under the one that the smaller ``s`` flips a lower bit for, or both none.
+    values there under the one for which the smaller ``s`` flips the lower half of the bits that they differ in, the odd one too.
     Rows come sorted by key. A key with more than ``group`` rows passes in chunks, each beside the key's first row, and all of it goes on.
     """
 
@@ -111,8 +114,8 @@ def _meet(group: int, before: list[tuple[np.ndarray, int]]) -> callable:
                 ok = ok[np.bitwise_count(apart[ok] & mask).sum(axis=1) > reach]
             a, b, d = at[ok], at[ok] + step, d[ok]
             above = s[a] > s[b]
-            fa, fb = flip[a], flip[b]
-            once = np.where(above, fb < fa, fa < fb) | ((fa == 0) & (fb == 0))
+            less, more = np.where(above, flip[b], flip[a]), np.where(above, flip[a], flip[b])
+            once = ((less & 255) <= (more >> 8 & 255)) & np.isin((less >> 16) - (more >> 16), (0, 1))
             a, b, d, above = a[once], b[once], d[once], above[once]
             met[a] = met[b] = True
             high, low = np.where(above, a, b), np.where(above, b, a)
@@ -166,9 +169,9 @@ def met(nodes: DataFrame, group: int) -> DataFrame:
     """Durable ``key, s, v, d`` of all partitions of the plan, which are searched one after another, so that one is on disk at a time."""
     n, both = bit_matrix(nodes, COLUMNS)
     out, before = None, []
-    for k, (mask, t) in enumerate(plan(n, both, TAU, sampled(nodes, COLUMNS), PARTS)):
+    for k, (mask, t) in enumerate(plan(max(n, 1), both, TAU, sampled(nodes, COLUMNS), PARTS)):
         rows = keyed(nodes, k, mask, t).repartition("key").sortWithinPartitions("key")
-        found = durable(rows.mapInArrow(_meet(group, list(before)), "key bigint, s bigint, v bigint, d int"), "met")
+        found = durable(rows.mapInArrow(tidy(_meet(group, list(before))), "key bigint, s bigint, v bigint, d int"), "met")
         before.append((words_of(mask), 2 * radius(t)))
         out = found if out is None else out.unionByName(found)
     return out
@@ -238,7 +241,7 @@ def judged_groups(keys: DataFrame, sets: DataFrame, group: int) -> DataFrame:
     units = durable(units.unionByName(least.select("key", "s", every(F.col("chunks")).alias("c")).select(F.xxhash64("key", "c").alias("unit"), "s")).distinct(), "units")
 
     def judged(units: DataFrame) -> DataFrame:
-        return units.join(sets, "s").select("unit", "s", "hashes").repartition("unit").sortWithinPartitions("unit").mapInArrow(_judge, "u bigint, v bigint")
+        return units.join(sets, "s").select("unit", "s", "hashes").repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(_judge), "u bigint, v bigint")
 
     found = durable(judged(units), "near")
     discard(sizes, units)
@@ -264,7 +267,7 @@ def similar_links(rows: DataFrame, nodes: DataFrame, n: int, group: int) -> Data
     keys = met(nodes, group)
     wanted = durable(keys.select("s").distinct().join(nodes, "s").select("s", F.col("first.th").alias("th")), "wanted")
     texts = rows.join(wanted.select("th").distinct(), "th", "left_semi").select("text")
-    sets = durable(texts.mapInArrow(_send_sets(n), "s bigint, hashes binary").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]), "sets")
+    sets = durable(texts.mapInArrow(tidy(_send_sets(n)), "s bigint, hashes binary").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"]), "sets")
     pairs = keys.where("v is not null").groupBy("s").agg(F.min(F.struct("d", "v")).alias("x")).select(F.col("s").alias("u"), F.col("x.v").alias("v"))
     pairs = pairs.join(sets.select(F.col("s").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("s").alias("v"), F.col("hashes").alias("b")), "v")
     found = durable(pairs.where(similar(F.col("a"), F.col("b"))).select("u", "v"), "near")
@@ -278,7 +281,7 @@ def similar_links(rows: DataFrame, nodes: DataFrame, n: int, group: int) -> Data
 def labelled(docs: DataFrame, id_col: str, text_col: str, n: int, group: int) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, th, s`` of every row, ``s, winner`` of every set): ``winner`` is the least (``no id, doc_id, th``) reachable."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"))
-    signed = durable(rows.mapInArrow(_sign(n), ", ".join(f"{c} bigint" for c in ("doc_id", "th", "s", *COLUMNS))), "signed")
+    signed = durable(rows.mapInArrow(tidy(_sign(n)), ", ".join(f"{c} bigint" for c in ("doc_id", "th", "s", *COLUMNS))), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     nodes = durable(signed.groupBy("s").agg(first, *[F.first(c).alias(c) for c in COLUMNS]), "nodes")
     roots = components(similar_links(rows, nodes, n, group))

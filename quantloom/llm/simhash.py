@@ -99,7 +99,7 @@ def sampled(fps: DataFrame, columns: tuple[str, ...] = ("fp",), most: int = SAMP
     """Rows of bits of at most ``most`` fingerprints, those with the least hash, on which candidate counts are estimated."""
     rows = fps.select(*columns).orderBy(F.xxhash64(*columns, F.lit(7))).limit(most).toPandas()
     words = np.ascontiguousarray(rows.to_numpy(np.int64)).view(np.uint64).reshape(len(rows), len(columns))
-    return (words[:, :, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).reshape(len(rows), -1).astype(np.float32)
+    return (words[:, :, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).reshape(len(rows), BITS * len(columns)).astype(np.float32)
 
 
 def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:

@@ -115,6 +115,20 @@ def test_meeting_in_chunks_misses_no_neighbour():
                     assert (v is None and not smaller) or (d, v) == min(smaller)
 
 
+@pytest.mark.parametrize("t", [0, 2, 4])
+def test_a_pair_meets_once(spark, t):
+    """Two fingerprints within reach count under one value of a partition, whichever of them is smaller; beyond it under none."""
+    rng, bits, rows, reach = np.random.default_rng(2), np.array([*range(3, 15), *range(120, 128)]), [], 2 * near_text.radius(t)
+    for k in range(60):
+        a = rng.integers(0, 1 << 63, near_text.WORDS, dtype=np.uint64)
+        b = a ^ near_text.words_of(sum(1 << int(x) for x in rng.choice(bits, k % 6, replace=False)))
+        rows += [(s, *map(int, w.view(np.int64))) for s, w in zip(rng.permutation([2 * k, 2 * k + 1]).tolist(), (a, b))]
+    nodes = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("s", *near_text.COLUMNS)))
+    probes = near_text.keyed(nodes, 0, sum(1 << int(b) for b in bits), t).repartition("key").sortWithinPartitions("key")
+    found = [(r.s, r.v) for r in probes.mapInArrow(near_text._meet(1024, []), "key bigint, s bigint, v bigint, d int").where("v is not null").collect()]
+    assert sorted(found) == [(2 * k + 1, 2 * k) for k in range(60) if k % 6 <= reach]
+
+
 def test_edited_copies_go(spark, docs):
     more = docs + [docs[0], (None, docs[3][1]), (None, "only here, without an id"), (docs[0][0], "another text under one id")]
     frame = spark.createDataFrame(more, "doc_id long, text string").selectExpr("*", "1 AS _key", "2 AS _d", "3 AS s")
