@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language_id, line_dedup, packing, simhash, suffix_dedup, toxicity, training_order, url_filter
+from . import ann, decontaminate, language_id, line_dedup, packing, simhash, spelling, suffix_dedup, toxicity, training_order, url_filter
 from .common import crc_mod
 
 #: (host, path, verdict)
@@ -83,7 +83,12 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_url_filter, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_decontamination, op8_packing, op9_simhash, op10_ann)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.misspelt_words(table(spark, sf_dir, "documents"))
+    return spelling.spelling_variants(spelling.word_counts(words))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_url_filter, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_decontamination, op8_packing, op9_simhash, op10_ann, op11_spelling_variants)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
