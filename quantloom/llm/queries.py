@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language_id, line_dedup, packing, simhash, spelling, suffix_dedup, toxicity, training_order, url_filter
+from . import ann, decontaminate, language_id, line_dedup, packing, quality, simhash, spelling, suffix_dedup, toxicity, training_order, url_filter
 from .common import crc_mod
 
 #: (host, path, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 TOXIC_AT = 0.7
+GOOD_AT = 0.3
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -88,7 +89,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.word_counts(words))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_url_filter, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_decontamination, op8_packing, op9_simhash, op10_ann, op11_spelling_variants)}
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~held_out)
+    model = quality.fit(docs.select("doc_id", "text"), labels)
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_url_filter, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_decontamination, op8_packing, op9_simhash, op10_ann, op11_spelling_variants, op12_quality)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
