@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language_id, line_dedup, packing, quality, simhash, spelling, suffix_dedup, toxicity, training_order, url_filter
+from . import ann, cross_tokens, decontaminate, language_id, line_dedup, packing, quality, simhash, spelling, suffix_dedup, toxicity, training_order, url_filter
 from .common import crc_mod
 
 #: (host, path, verdict)
@@ -97,7 +97,11 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_url_filter, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_decontamination, op8_packing, op9_simhash, op10_ann, op11_spelling_variants, op12_quality)}
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.cross_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), with_groups=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_url_filter, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_decontamination, op8_packing, op9_simhash, op10_ann, op11_spelling_variants, op12_quality, op13_cross_tokens)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
