@@ -14,19 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, discard, durable, framed, ragged, tidy
 
 #: Bytes of text in a block.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 #: Different chunks whose ids a worker keeps at hand.
-CACHE = 400_000
+CACHE = 200_000
 #: Code points from here on are never cut off from their neighbours.
 KNOWN = 0x250
 #: DuckDB's memory inside a task; beyond, it goes to the task's temporary folder.
-MEMORY = "300MB"
+MEMORY = "200MB"
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -168,12 +169,6 @@ STEPS = (
     "CREATE OR REPLACE TEMP TABLE pairs AS SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS p, a, b FROM (SELECT DISTINCT a, b FROM links)",
     "CREATE OR REPLACE TEMP TABLE linked AS SELECT chunk, p, m FROM links JOIN pairs USING (a, b) ORDER BY chunk, p",
 )
-#: Each chunk's groups as text: its tokens' ids on either side of a bar.
-GROUPS = """
-SELECT chunk, count(*) AS n, string_agg(x || '|' || y, ';' ORDER BY g) AS groups
-FROM (SELECT chunk, g, string_agg(id, ',' ORDER BY s) AS x FROM ga GROUP BY ALL) JOIN (SELECT g, string_agg(id, ',' ORDER BY s) AS y FROM gb GROUP BY ALL) USING (g)
-GROUP BY chunk ORDER BY chunk
-"""
 #: In how many documents of the block each pair is linked.
 HELD = "SELECT p, a, b, docs FROM pairs JOIN (SELECT p, count(*) AS docs FROM (SELECT DISTINCT doc, p FROM held JOIN linked USING (chunk)) GROUP BY p) USING (p) ORDER BY p"
 
@@ -201,6 +196,28 @@ def summed(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - n]
 
 
+def group_texts(ids: tuple[np.ndarray, np.ndarray], groups: tuple[np.ndarray, np.ndarray], ends: np.ndarray) -> list[str]:
+    """Each chunk's groups as text: the ids of both sides with a bar between, groups parted by semicolons.
+
+    ``groups`` are the tokens' group numbers, which rise; ``ends`` holds the last group of each chunk.
+    """
+    if not len(ends):
+        return []
+    (a, b), (ga, gb) = ids, groups
+    # a token's place: those of its own side before it, and all of the other side's earlier groups
+    place = (np.arange(len(a)) + np.searchsorted(gb, ga, side="left"), np.arange(len(b)) + np.searchsorted(ga, gb, side="right"))
+    out, mark = np.zeros(len(a) + len(b), np.int32), np.zeros(len(a) + len(b), np.int8)
+    out[place[0]], out[place[1]] = a, b
+    mark[place[0][np.append(ga[1:] != ga[:-1], True)]] = 1
+    last = np.flatnonzero(np.append(gb[1:] != gb[:-1], True))
+    mark[place[1][last]] = 2
+    stops = last[ends]
+    mark[place[1][stops]] = 3
+    pieces = pa.compute.binary_join_element_wise(pa.array(out).cast(pa.string()), pa.DictionaryArray.from_arrays(pa.array(mark), [",", "|", ";", ""]).cast(pa.string()), "")
+    offsets = np.append(0, place[1][stops] + 1).astype(np.int32)
+    return pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pieces), "").to_pylist()
+
+
 def aligned_block(con: object, own: Encoders, doc_ids: list[int], texts: list[str], with_groups: bool) -> dict[str, object]:
     """The columns of ``BLOCK_SCHEMA`` but ``block``, for some documents."""
     chunks, n_chunks = own.chunks(texts)
@@ -224,15 +241,16 @@ def aligned_block(con: object, own: Encoders, doc_ids: list[int], texts: list[st
     held = np.unique(owner << 32 | at)
     con.register("held", pa.table({"doc": (held >> 32).astype(np.int32), "chunk": (held & 0xFFFFFFFF).astype(np.int32)}))
     linked = con.sql("SELECT chunk, p, m FROM linked ORDER BY chunk, p").to_arrow_table()
-    groups = con.sql(GROUPS).to_arrow_table()
+    group_of = [np.asarray(con.sql(f"SELECT g FROM {t} ORDER BY s").to_arrow_table()["g"]) for t in ("ga", "gb")]
     pairs = con.sql(HELD).to_arrow_table()
     n_linked = np.bincount(np.asarray(linked["chunk"]), minlength=len(codes))
     m = np.asarray(linked["m"]).astype(np.int64)
     if len(m) and m.max() >= 1 << 32:
         raise OverflowError("over 2^32 links of one pair in one chunk")
-    text_of = np.array(groups["groups"].to_pylist(), object)
+    last_groups = group_of[0][np.cumsum(own.sides[0].counts[codes]) - 1]
+    text_of = np.array(group_texts((np.asarray(a["id"]), np.asarray(b["id"])), tuple(group_of), last_groups), object)
     each = [";".join(text_of[at[e - n : e]].tolist()) for e, n in zip(np.cumsum(n_chunks).tolist(), n_chunks.tolist(), strict=True)]
-    per_chunk = {"n_a": own.sides[0].counts[codes], "n_b": own.sides[1].counts[codes], "n_groups": np.asarray(groups["n"]), "n_links": summed(m, n_linked)}
+    per_chunk = {"n_a": own.sides[0].counts[codes], "n_b": own.sides[1].counts[codes], "n_groups": np.diff(last_groups, prepend=-1), "n_links": summed(m, n_linked)}
     out = {"doc_id": doc_ids, **{c: summed(x[at], n_chunks).tolist() for c, x in per_chunk.items()}}
     out["sha"] = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in each]
     out["groups"] = each if with_groups else []
