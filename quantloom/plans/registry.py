@@ -67,4 +67,4 @@ def r(expression: str, name: str) -> str:
     return f"round(CAST({expression} AS DOUBLE), 6) + 0.0 AS {name}"
 
 
-from . import alignment, cleaning, feature_queries, portfolios, signal_queries, time_queries  # noqa: E402, F401
+from . import alignment, cleaning, feature_queries, inference_queries, portfolios, signal_queries, time_queries  # noqa: E402, F401
