@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guarded_ratio
-from . import inference, portfolio, signals
+from . import portfolio, resample, series_tests, signals
 
 #: What models must share for their net returns to be comparable.
 ACCOUNTING = ("return_type", "fee", "spread", "slippage", "borrow")
-MOST_MODELS = 1000
 
 
 def comparison_window(tests: DataFrame, end: object | None = None) -> tuple:
@@ -49,14 +48,6 @@ def metric_table(long: DataFrame) -> DataFrame:
     return long.groupBy("model").pivot("metric").agg(F.first("value"))
 
 
-def pairwise(series: Mapping[str, np.ndarray], test: Callable[[np.ndarray, np.ndarray], float], how: str = "holm") -> list[tuple[str, str, float, float]]:
-    """(a, b, p, adjusted p) of each unordered pair of date series."""
-    names = sorted(series)
-    found = [(a, b, test(series[a], series[b])) for i, a in enumerate(names) for b in names[i + 1 :]]
-    p = np.array([x[2] for x in found], np.float64)
-    return [(*x, q) for x, q in zip(found, adjusted(p, how).tolist(), strict=True)]
-
-
 def adjusted(p: np.ndarray, how: str = "holm") -> np.ndarray:
     """Holm or Benjamini-Hochberg on an array; missing values stay and don't count."""
     out, ok = np.full(len(p), np.nan), np.flatnonzero(np.isfinite(p))
@@ -69,36 +60,21 @@ def adjusted(p: np.ndarray, how: str = "holm") -> np.ndarray:
     return out
 
 
-def diebold_mariano_pairs(daily: DataFrame, model: str, time: str, ret: str = "net_return", how: str = "holm") -> list[tuple[str, str, float, float]]:
-    """Pairs of models by their losses, minus the net return, on the dates that all share."""
-    return pairwise(_shared(daily, model, time, ret), lambda a, b: inference.diebold_mariano(-a, -b).p_value, how)
-
-
-def sharpe_pairs(daily: DataFrame, model: str, time: str, excess: str = "excess_return", how: str = "holm", times: int = 500) -> list[tuple[str, str, float, float]]:
-    return pairwise(_shared(daily, model, time, excess), lambda a, b: inference.sharpe_difference(a, b, times=times)[0].p_value, how)
-
-
-def confidence_set(daily: DataFrame, model: str, time: str, ret: str = "net_return", alpha: float = 0.1, times: int = 500) -> list[tuple[str, float, bool]]:
-    """(model, p, kept) by loss on shared dates."""
-    s = _shared(daily, model, time, ret)
-    p = inference.model_confidence_set(-np.column_stack(list(s.values())), times)
-    return [(n, float(x), bool(x >= alpha)) for n, x in zip(s, p, strict=True)]
+def diebold_mariano_pairs(daily: DataFrame, model: str, time: str, ret: str = "net_return", how: str = "holm", lag: int | None = None) -> DataFrame:
+    """``a, b, p_value, adjusted`` of each pair of models by their losses, minus the net return, on the dates that both have."""
+    tests = series_tests.diebold_mariano(daily.select(model, time, (-F.col(ret)).alias("_loss")), model, time, "_loss", lag=lag)
+    return signals.adjust(tests.select("a", "b", "p_value"), "p_value", how, order=["a", "b"])
 
 
-def _shared(daily: DataFrame, model: str, time: str, value: str) -> dict[str, np.ndarray]:
-    """By model, its values on the dates that all have; more than ``MOST_MODELS`` models are an error."""
-    names = sorted(r[0] for r in daily.select(model).distinct().limit(MOST_MODELS + 1).collect())
-    if len(names) > MOST_MODELS:
-        raise ValueError(f"more than {MOST_MODELS} models")
-    wide = daily.groupBy(time).pivot(model, names).agg(F.first(value)).dropna()
-    return dict(zip(names, inference.series(wide, time, *names), strict=True))
+def sharpe_pairs(daily: DataFrame, model: str, time: str, excess: str = "excess_return", how: str = "holm", times: int = 500, block: float = 10, seed: int = 42) -> DataFrame:
+    """``a, b, p_value, adjusted`` of each pair of models: are their Sharpe ratios equal, by the paired bootstrap?"""
+    tests = resample.sharpe_differences(daily, model, time, excess, times=times, block=block, seed=seed)
+    return signals.adjust(tests.select("a", "b", F.col("bootstrap_p_value").alias("p_value")), "p_value", how, order=["a", "b"])
 
 
-def significance(daily: DataFrame, per_date: DataFrame, time: str, times: int = 500) -> dict[str, inference.Test]:
-    """All tests of one model: Sharpe ratio, hit rate against one half, rank coefficient against zero."""
-    (excess,) = inference.series(daily, time, "excess_return")
-    hits, ic = inference.series(per_date, time, "hit_rate", "rank_ic")
-    return {"sharpe": inference.sharpe_significance(excess, times=times)[0], "hit_rate": inference.hac_mean_test(hits, 0.5), "rank_ic": inference.hac_mean_test(ic)}
+def confidence_set(daily: DataFrame, model: str, time: str, ret: str = "net_return", alpha: float = 0.1, times: int = 500, block: float = 10, seed: int = 42) -> DataFrame:
+    """``model, mcs_p_value, in_confidence_set, mean_loss`` by loss, minus the net return, on shared dates."""
+    return resample.confidence_set(daily.select(model, time, (-F.col(ret)).alias("_loss")), [], model, time, "_loss", alpha, times, block, seed)
 
 
 def period_summary(daily: DataFrame, time: str) -> DataFrame:

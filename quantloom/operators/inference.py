@@ -182,17 +182,25 @@ def model_confidence_set(losses: np.ndarray, times: int = 1000, block: float = 1
         return p[back]
     drawn = bootstrap_indices(n, block, times, np.random.default_rng(seed))
     means, boot = x.mean(axis=0), np.stack([x[i].mean(axis=0) for i in drawn])
-    left, running = list(range(m)), 0.0
+    return eliminated(means, boot)[back]
+
+
+def eliminated(means: np.ndarray, boot: np.ndarray) -> np.ndarray:
+    """P-values of models from their mean losses and the same of each resample (rows): the worst goes, by the range statistic, until one is left."""
+    p, left, running = np.ones(len(means)), list(range(len(means))), 0.0
     while len(left) > 1:
-        d = means[left][:, None] - means[left][None, :]
-        db = boot[:, left][:, :, None] - boot[:, left][:, None, :] - d
-        sd = np.sqrt(np.maximum((db**2).mean(axis=0), EPS * EPS))
-        t = d / sd
-        running = max(running, float((np.abs(db / sd).max(axis=(1, 2)) >= np.abs(t).max()).mean()))
+        t, most = np.zeros((len(left), len(left))), np.zeros(len(boot))
+        for i, own in enumerate(left):  # one model against all others at a time, for memory's sake
+            d = means[own] - means[left]
+            db = boot[:, own, None] - boot[:, left] - d
+            sd = np.sqrt(np.maximum((db**2).mean(axis=0), EPS * EPS))
+            t[i] = d / sd
+            most = np.maximum(most, np.abs(db / sd).max(axis=1))
+        running = max(running, float((most >= np.abs(t).max()).mean()))
         worst = left[int(t.max(axis=1).argmax())]
         p[worst] = running
         left.remove(worst)
-    return p[back]
+    return p
 
 
 def hac_ols(y: np.ndarray, x: np.ndarray, lag: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import pearson
+from ..operators import compare, resample
 from ..operators import series_tests as st
 from .registry import SUP, r, register, shown, sup, table
 
@@ -158,8 +160,6 @@ def excess_profitability(spark, folder):
 @register("information_coefficient_test", f"""WITH {KINDS}, s AS (SELECT model, d, ic AS y FROM dp), {hac_sql('s')}, sd AS (SELECT model, stddev_samp(y) AS sd FROM s GROUP BY 1)
 SELECT model, n, {r('mean', 'mean_ic')}, {r('mean / se', 'ic_t_statistic')}, {r('mean / sd', 'information_ratio')}, {r('mean / sd * sqrt(252)', 'annualized_information_ratio')}, {r('mean - 1.959963984540054 * se', 'ic_ci_low')}, {r('mean + 1.959963984540054 * se', 'ic_ci_high')} FROM hac JOIN sd USING (model)""")
 def information_coefficient_test(spark, folder):
-    from ..functions.columns import pearson
-
     daily = kinds(spark, folder).groupBy("model", "d").agg(pearson(F.col("score"), F.col("ret")).alias("ic"))
     return shown(st.information_coefficient(daily, ["model"], "d", "ic").drop("ic_p_value"))
 
@@ -176,3 +176,56 @@ def pesaran_timmermann(spark, folder):
 def diebold_mariano(spark, folder):
     daily = modes(spark, folder).select("model", "d", (-F.col("y")).alias("loss"))
     return shown(st.diebold_mariano(daily, "model", "d", "loss").drop("p_value"))
+
+
+def bootstrap_sql(rows: str, times: int, block: int, seed: int, by: str = "model") -> str:
+    """CTEs from ``rows (by, d, y)`` to ``bs``: for each series and resample the mean and the sums of centred values drawn, by the same hashed numbers."""
+    return f"""se AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY d) - 1 AS i, y - avg(y) OVER w AS v, avg(y) OVER w AS mean, count(*) OVER w AS n FROM {rows} WHERE y IS NOT NULL WINDOW w AS (PARTITION BY {by})),
+px AS (SELECT {by}, sx, sum(v) OVER w AS p1, sum(v * v) OVER w AS p2 FROM (SELECT {by}, i + 1 + rep * n AS sx, v FROM se, range(2) t(rep) UNION ALL SELECT DISTINCT {by}, 0, 0 FROM se) WINDOW w AS (PARTITION BY {by} ORDER BY sx)),
+bk AS (SELECT *, md5('{seed}:' || r || ':' || k) AS h FROM (SELECT *, unnest(range(most)) AS k FROM (SELECT DISTINCT {by}, n, mean, CAST(ceil(2 * n / {block}.0) + 10 AS BIGINT) AS most, unnest(range({times})) AS r FROM se))),
+bu AS (SELECT *, (('0x' || substr(h, 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u, (('0x' || substr(h, 13, 12))::BIGINT + 0.5) / 281474976710656.0 AS uu FROM bk),
+bl AS (SELECT *, CAST(floor(ln(u) / ln(1 - 1.0 / {block})) + 1 AS BIGINT) AS len, CAST(floor(uu * n) AS BIGINT) AS fst FROM bu),
+bc AS (SELECT *, n - (sum(len) OVER (PARTITION BY {by}, r ORDER BY k) - len) AS room FROM bl),
+bt AS (SELECT {by}, n, mean, r, fst, CASE WHEN k = most - 1 THEN room ELSE least(len, room) END AS took FROM bc WHERE room > 0),
+bs AS (SELECT {by}, n, mean, r, sum(e.p1 - s.p1) AS s1, sum(e.p2 - s.p2) AS s2 FROM bt JOIN px s USING ({by}) JOIN px e USING ({by}) WHERE s.sx = fst AND e.sx = fst + took GROUP BY ALL)"""
+
+
+@register("sharpe_significance", f"""WITH {MODES}, {bootstrap_sql('mo', 200, 10, 42)}, rs AS (SELECT model, (s1 / n + mean) / sqrt((s2 - s1 * s1 / n) / (n - 1)) * sqrt(252) AS ratio FROM bs WHERE n >= 2 AND s2 - s1 * s1 / n > 1e-20),
+ci AS (SELECT model, quantile_cont(ratio, 0.025) AS low, quantile_cont(ratio, 0.975) AS high FROM rs GROUP BY 1), pt AS (SELECT model, count(*) AS n, CASE WHEN stddev_samp(y) > 1e-12 THEN avg(y) / stddev_samp(y) * sqrt(252) END AS ratio FROM mo GROUP BY 1)
+SELECT model, n, {r('ratio', 'annualized_sharpe')}, {r('low', 'sharpe_ci_low')}, {r('high', 'sharpe_ci_high')} FROM pt LEFT JOIN ci USING (model)""")
+def sharpe_significance(spark, folder):
+    found = resample.sharpe_significance(modes(spark, folder), ["model"], "d", "y", times=200)
+    return shown(found.select("model", "n", "annualized_sharpe", "sharpe_ci_low", "sharpe_ci_high"))
+
+
+@register("sharpe_difference_matrix")
+def sharpe_difference_matrix(spark, folder):
+    """Holm-adjusted p-values of the paired bootstrap for all pairs, as the cells of a matrix."""
+    pairs = compare.sharpe_pairs(modes(spark, folder), "model", "d", "y", times=100)
+    return shown(resample.symmetric(pairs, "adjusted"))
+
+
+@register("diebold_mariano_matrix", f"""WITH {PAIRS}, lo AS (SELECT a, b, d, -y AS y FROM pd), {hac_sql('lo', 'a, b', '0')}, t AS (SELECT a, b, mean / se * sqrt((n - 1) / n) AS t FROM hac),
+m AS (SELECT a AS row, b AS "column", abs(t) AS size FROM t UNION ALL SELECT b, a, abs(t) FROM t), ends AS (SELECT DISTINCT row FROM m) SELECT row, "column", {r('size', 'value')} FROM m UNION ALL SELECT row, row, CAST(NULL AS DOUBLE) FROM ends""")
+def diebold_mariano_matrix(spark, folder):
+    daily = modes(spark, folder).select("model", "d", (-F.col("y")).alias("loss"))
+    pairs = st.diebold_mariano(daily, "model", "d", "loss").withColumn("size", F.abs("statistic"))
+    return shown(resample.symmetric(pairs, "size"))
+
+
+@register("model_confidence_set")
+def model_confidence_set(spark, folder):
+    """Line numbers of each return flag, by monthly losses: which can't be told from the flag's best."""
+    items = table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("family"), F.col("l_linenumber").alias("model"), F.trunc("l_shipdate", "month").alias("d"))
+    losses = items.agg((1 - F.avg("l_quantity") / 25).alias("loss"))
+    return shown(resample.confidence_set(losses, ["family"], "model", "d", "loss", times=500))
+
+
+@register("significance_frame")
+def significance_frame(spark, folder):
+    """A row for each kind of event, as a model: Sharpe ratio with interval, profitability, rank coefficient, hit rate."""
+    items = kinds(spark, folder)
+    per_date = st.daily_excess_profit(items, ["model"], "d", "score", "ret").drop("n")
+    ic = items.groupBy("model", "d").agg(pearson(F.col("score"), F.col("ret")).alias("rank_ic"), F.avg(F.signum("score") * F.col("ret")).alias("excess_return"))
+    found = resample.significance_frame(ic.select("model", "d", "excess_return"), per_date.join(ic.select("model", "d", "rank_ic"), ["model", "d"]), "model", "d", times=200)
+    return shown(found)
