@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import latent, models, predictions, temporal
+from ..operators import signals as sg
 from ..operators.align import dense_grid
 from ..panel import Panel
 from .registry import GRID, SUP, USR, grid, r, register, shown, sup, table, usr
@@ -79,12 +84,48 @@ def losses(spark, folder):
     return shown(models.losses(table(spark, folder, "lineitem"), "l_discount", "l_tax").select("mse", "mae"))
 
 
+CHARS = ["score", "size", "noise"]
+RANKED = f"""{GRID}, ch AS (SELECT d, e, ret, score, CAST(e AS DOUBLE) AS size, CAST((e * 7919) % 101 AS DOUBLE) AS noise FROM grid WHERE ret IS NOT NULL), n AS (SELECT *, count(*) OVER (PARTITION BY d) AS n FROM ch),
+rk AS (SELECT d, n, ret, {', '.join(f"CASE WHEN n = 1 THEN 0 ELSE (rank() OVER (PARTITION BY d ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY d, {c}) - 1) / 2.0) / (n - 1) - 0.5 END AS {c}" for c in CHARS)} FROM n)"""
+
+
+def characteristics(spark, folder):
+    return grid(spark, folder).withColumn("size", F.col("e").cast("double")).withColumn("noise", F.pmod(F.col("e") * 7919, F.lit(101)).cast("double"))
+
+
+@register("ipca_moments", f"""WITH {RANKED} SELECT d, n, {r('sum(score * score)', 'score_score')}, {r('sum(score * size)', 'score_size')}, {r('sum(size * noise)', 'size_noise')}, {r('sum(score)', 'score_constant')},
+ {r('sum(score * ret)', 'score_return')}, {r('sum(size * ret)', 'size_return')}, {r('sum(ret)', 'constant_return')} FROM rk GROUP BY d, n""")
+def ipca_moments(spark, folder):
+    """Cross products of ranked characteristics by date: all that the estimation reads of a panel."""
+    rows = characteristics(spark, folder).where("ret is not null")
+    ranked = sg.cross_sectional_ranks(rows, "d", CHARS).withColumn("constant", F.lit(1.0))
+    packed = latent.moments(ranked, "d", "ret", [*CHARS, "constant"])
+
+    @F.arrow_udf("array<double>")
+    def opened(m: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x, np.float64) for x in m.to_pylist()], pa.list_(pa.float64()))
+
+    at = {"score_score": 0, "score_size": 1, "size_noise": 6, "score_constant": 3, "score_return": 16, "size_return": 17, "constant_return": 19}
+    return shown(packed.select("d", "n", opened("m").alias("m")).select("d", "n", *[F.get("m", F.lit(i)).alias(c) for c, i in at.items()]))
+
+
+@register("ipca_panel_audit", f"""WITH {GRID}, pw AS (SELECT d, e, CASE WHEN v IS NOT NULL AND e % 2 = 0 THEN exp(ret) - 1 - rf END AS ret, score, v FROM grid WHERE d >= (SELECT min(d) + 5 FROM grid)), dc AS (SELECT d, avg(CAST(score IS NOT NULL AS INT) + CAST(v IS NOT NULL AS INT)) / 2 AS x FROM pw GROUP BY 1)
+SELECT count(*) AS grid_rows, count(ret) AS observed_returns, count(*) - count(ret) AS rejected_returns, count(DISTINCT e) AS entities, {r('avg(CAST(score IS NOT NULL AS INT))', 'score_there')}, {r('avg(ret)', 'mean_return')}, {r('(SELECT median(x) FROM dc)', 'median_coverage')} FROM pw""")
+def ipca_panel_audit(spark, folder):
+    """Only returns observed on their date count, here those of even users; log returns become simple ones less the risk-free rate."""
+    g = grid(spark, folder).withColumn("seen", F.col("v").isNotNull() & (F.col("e") % 2 == 0))
+    first = g.agg(F.min("d")).first()[0]
+    rates = g.select("d", "rf").distinct()
+    panel = latent.prepare_panel(g.drop("rf"), "d", "e", "ret", "seen", ["score", "v"], first + dt.timedelta(5), dt.date(9999, 1, 1), "log", rates)
+    found = latent.panel_audit(panel, "d", "e", "ret", ["score", "v"]).crossJoin(panel.agg(F.avg("ret").alias("mean_return")))  # a row each
+    return shown(found.select("grid_rows", "observed_returns", "rejected_returns", "entities", F.col("non_missing.score").alias("score_there"), "mean_return", F.get("daily_coverage", F.lit(2)).alias("median_coverage")))
+
+
 @register("factor_ipca")
 def ipca(spark, folder):
     """One latent factor of user returns by date; tests recover simulated factors."""
-    g = grid(spark, folder).withColumn("size", F.col("e").cast("double")).withColumn("noise", F.pmod(F.col("e") * 7919, F.lit(101)).cast("double"))
-    f = latent.estimate(g, "d", "e", "ret", ["score", "size", "noise"], 1)
-    return spark.createDataFrame([(d, round(float(x[0]), 6)) for d, x in zip(f.dates, f.factors, strict=True)], "d date, factor double")
+    f = latent.estimate(characteristics(spark, folder), "d", "e", "ret", CHARS, 1)
+    return shown(f.factors.select("d", F.get("factors", F.lit(0)).alias("factor")))
 
 
 @register("prediction_aligned_target", f"WITH {USR} SELECT a.d, a.e, {r('b.v', 'v')} FROM usr a LEFT JOIN (SELECT * FROM usr WHERE k >= 2) b ON a.d = b.d AND a.e = b.e")
