@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import latent, models, predictions, temporal
+from ..operators import latent, models, predictions, temporal, tuning
 from ..operators import signals as sg
 from ..operators.align import dense_grid
 from ..panel import Panel
@@ -84,6 +84,22 @@ def losses(spark, folder):
     return shown(models.losses(table(spark, folder, "lineitem"), "l_discount", "l_tax").select("mse", "mae"))
 
 
+#: 13 strengths times 7 shares of the absolute part.
+PENALTIES = [(10 ** (k / 2 - 4), share) for k in range(13) for share in (0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0)]
+_CAND = ", ".join(f"({i}, CAST({s!r} AS DOUBLE), CAST({t!r} AS DOUBLE))" for i, (s, t) in enumerate(PENALTIES))
+
+
+@register("elastic_net_fold_scores", f"""WITH {FOLDS}, ca(candidate, strength, share) AS (VALUES {_CAND}), rw AS (SELECT fold, CASE WHEN d BETWEEN train_start AND train_end THEN 1 WHEN d BETWEEN val_start AND val_end THEN 0 END AS t, volume / 25 AS x, close / 40000 AS y FROM sup, folds WHERE d BETWEEN train_start AND val_end),
+tr AS (SELECT fold, count(*) AS n_train, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) AS c FROM rw WHERE t = 1 GROUP BY 1),
+be AS (SELECT *, sign(c) * greatest(abs(c / sx) - strength * share, 0) / (1 + strength * (1 - share)) / sx AS b FROM tr, ca)
+SELECT fold, candidate, n_train, count(*) AS n_val, {r('max(b)', 'slope')}, {r('max(my - b * mx)', 'intercept')}, {r('avg((y - my - b * (x - mx)) * (y - my - b * (x - mx)))', 'loss')} FROM be JOIN rw USING (fold) WHERE t = 0 GROUP BY 1, 2, 3""")
+def elastic_net_fold_scores(spark, folder):
+    """91 penalties on every walk-forward fold, from one scan."""
+    s = sup(spark, folder).select("d", (F.col("volume") / 25).alias("x"), (F.col("close") / 40000).alias("y"))
+    found = tuning.elastic_net_folds(s, "d", split(spark, folder), ["x"], "y", PENALTIES)
+    return shown(found.select("fold", "candidate", "n_train", "n_val", F.get("coefficients", F.lit(0)).alias("slope"), "intercept", "loss"))
+
+
 CHARS = ["score", "size", "noise"]
 RANKED = f"""{GRID}, ch AS (SELECT d, e, ret, score, CAST(e AS DOUBLE) AS size, CAST((e * 7919) % 101 AS DOUBLE) AS noise FROM grid WHERE ret IS NOT NULL), n AS (SELECT *, count(*) OVER (PARTITION BY d) AS n FROM ch),
 rk AS (SELECT d, n, ret, {', '.join(f"CASE WHEN n = 1 THEN 0 ELSE (rank() OVER (PARTITION BY d ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY d, {c}) - 1) / 2.0) / (n - 1) - 0.5 END AS {c}" for c in CHARS)} FROM n)"""
