@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from ..operators import align, clean, features, temporal
 from ..panel import Panel
 from ..sources import View, load
+from ..sources.store import Store, key_of, listing_digest
 
 KINDS = ("panel", "context", "events", "table")
 
@@ -99,6 +100,27 @@ def run(spark: SparkSession, plan: Plan) -> Panel:
     return align.align_and_mask(panels[plan.primary], built, plan.spells)
 
 
+def prepared(spark: SparkSession, plan: Plan, store: Store, digests: Mapping[str, str] | None = None, code: str = "") -> tuple[Panel, bool]:
+    """(the aligned panel, whether the store had it). Where it had, no source is opened.
+
+    ``digests`` name the contents of the sources, by source; without them the files' names, lengths and times do.
+    """
+    errors = validate(plan)
+    if errors:
+        raise ValueError("; ".join(errors))
+    known = digests if digests is not None else {n: listing_digest(spark, v.path) for n, v in plan.sources.items()}
+    key, made = key_of(plan, known, code), {}
+
+    def make() -> dict:
+        made["panel"] = run(spark, plan)
+        return {"panel": made["panel"].df}
+
+    tables, hit = store.get_or_make(key, make)
+    primary = plan.sources[plan.primary]
+    panel = made.get("panel") or Panel(tables["panel"], time=primary.time[0], entity=primary.entity[0] if primary.entity else None)
+    return panel.with_df(tables["panel"]), hit
+
+
 def parts(panel: Panel, plan: Plan) -> Panel:
     """The panel's rows with ``fold`` and ``part`` of the plan's split."""
     return panel.with_df(temporal.assign(panel.df, panel.time, temporal.folds(panel.df, panel.time, plan.split)))

@@ -102,21 +102,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """``rows, sum_hash, schema``: equal for equal rows in any order."""
-    cols = [F.col(f"`{c}`") for c in df.columns]
+    cols = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).cast("string").alias("sum_hash")).withColumn("schema", F.lit(df.schema.simpleString()))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, sha256`` of files, for a manifest."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
-def verify_digests(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Files whose digest or presence differs from the manifest."""
-    now = file_digests(spark, path).select("path", F.col("sha256").alias("now"))
-    return manifest.select("path", "sha256").join(now, "path", "full_outer").where(~F.col("sha256").eqNullSafe(F.col("now")))
-
-
 def export(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
     """Write a result; small reports as one CSV or JSON file, large tables as Parquet."""
     out = df.coalesce(1) if kind in ("csv", "json") else df
