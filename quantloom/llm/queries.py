@@ -39,7 +39,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 3) == 1
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(~held_out)
-    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    model = toxicity.fit(docs.select("doc_id", "text"), labels, max_rows=toxicity.MAX_ROWS, features=toxicity.FEATURES, chance=toxicity.CHANCE, least=toxicity.LEAST)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 

@@ -15,28 +15,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, blocks, durable, framed
+from .common import blocks, discard, durable, framed
 
 #: Hash buckets of n-grams: 2 to this power.
 WIDTH = 20
-#: Bytes in an n-gram.
+#: Characters in an n-gram.
 SIZES = (4, 6, 8)
 #: Labelled rows that the classifier is fitted on at most: those with the least hash of their id.
 MAX_ROWS = 20_000
-#: Buckets that the regression weighs at most, and the log-likelihood ratio from which a bucket is more than chance.
-FEATURES, CHANCE = 4_096, 15.0
-#: Characters between letters become one blank, so that n-grams know where words begin and end.
-GRAM_BYTES = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in LOWER_BYTES)
+#: Buckets that the regression weighs at most, the strongest; the log-likelihood ratio from which a bucket is more than chance; and how
+#: many of the strongest serve where fewer are beyond it.
+FEATURES, CHANCE, LEAST = 4_096, 15.0, 64
 
 
-def gram_codes(texts: list[bytes], sizes: tuple[int, ...] = SIZES, width: int = WIDTH, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, where each text ends): A-Z lower-cased, what isn't a letter left out but for one blank before, between and after words.
+
+    A letter is a to z or any character from U+0080 on.
+    """
+    raw = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts)))
+    raw = np.where((raw >= 0x41) & (raw <= 0x5A), raw + np.uint32(0x20), raw)
+    letter = ((raw >= 0x61) & (raw <= 0x7A)) | (raw >= 0x80)
+    first = np.zeros(len(raw), bool)
+    first[np.append(0, ends[:-1])[: len(texts)]] = True
+    # of a run of blanks the first one stays; each text begins a run of its own
+    stays = letter | np.append(True, letter[:-1])[: len(raw)] | first
+    return np.where(letter, raw, np.uint32(0x20))[stays], np.cumsum(stays)[ends - 1]
+
+
+def gram_codes(texts: list[str], sizes: tuple[int, ...] = SIZES, width: int = WIDTH, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, owners): the bucket of every n-gram of every text, and the place of its text.
 
     ``wanted`` marks the buckets that matter; others are left out early.
     """
-    cleaned = [b" " + t.translate(GRAM_BYTES) + b" " for t in texts]
-    raw = np.frombuffer(b"".join(cleaned), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, cleaned), np.int64, len(cleaned)))
+    raw, ends = letters(texts)
     codes, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     h = np.zeros(len(raw), np.uint32)
     for k in range(max(sizes)):
@@ -73,7 +86,7 @@ class Model:
         out[self.buckets] = self.weights
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
         codes, owners = gram_codes(texts, self.sizes, self.width, self.dense != 0)
         # presence, not frequency: each bucket counts once a text
@@ -101,7 +114,7 @@ def counts(sample: DataFrame, sizes: tuple[int, ...], width: int) -> tuple[np.nd
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, last = np.zeros((2, 1 << width), np.int32), np.zeros(1 << width, np.int64)
         for batch in blocks(batches, "text", 2 << 20):
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 codes, _ = gram_codes([text], sizes, width)
                 # of the places with one bucket, the last one written counts
                 place = np.arange(len(codes))
@@ -132,10 +145,11 @@ def evidence(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES, sizes: tuple[int, ...] = SIZES, width: int = WIDTH, rounds: int = 150, decay: float = 1e-3, chance: float = CHANCE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES, sizes: tuple[int, ...] = SIZES, width: int = WIDTH, rounds: int = 150, decay: float = 1e-3, chance: float = CHANCE, least: int = LEAST) -> Model:
     """Fit on ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label``).
 
-    Without both classes in the sample every text scores the share of toxic rows. What reaches the driver is bounded by
+    Weighed are the ``features`` buckets with the strongest evidence, as far as it is beyond ``chance``; with so few rows that fewer than
+    ``least`` are, the ``least`` strongest. Without both classes in the sample every text scores the share of toxic rows. What reaches the driver is bounded by
     ``max_rows`` and ``features``.
     """
     sample = training_sample(docs, labels, max_rows)
@@ -146,20 +160,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
     clean, toxic = counts(sample, sizes, width)
     ratio, strength = log_count_ratio(clean, toxic), evidence(clean, toxic, n[0], n[1])
     top = np.sort(np.argsort(-strength, kind="stable")[:features])
-    # with so few rows that nothing is sure, the likeliest buckets serve
-    top = top[strength[top] >= min(chance, np.sort(strength)[-64])]
+    top = top[strength[top] >= min(chance, np.sort(strength)[-min(least, len(strength))])]
     place = np.full(1 << width, -1, np.int32)
     place[top] = np.arange(len(top))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 2 << 20):
-            codes, owners = gram_codes(batch.column("text").cast(pa.binary()).to_pylist(), sizes, width, place >= 0)
+            codes, owners = gram_codes(batch.column("text").to_pylist(), sizes, width, place >= 0)
             pairs = np.unique(owners << width | place[codes])
             cut = np.searchsorted(pairs, np.arange(batch.num_rows + 1, dtype=np.int64) << width)
             used = [(pairs[a:b] & ((1 << width) - 1)).astype(np.int16).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(used, pa.binary())], ["label", "used"])
 
     rows = sample.mapInArrow(pick, "label int, used binary").toPandas()
+    discard(sample)
     used = [np.frombuffer(u, np.int16) for u in rows["used"]]
     y = rows["label"].to_numpy(np.float64)
     column = np.concatenate(used).astype(np.int64) if used else np.zeros(0, np.int64)
@@ -194,7 +208,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def judged(text: pa.Array) -> pa.Array:
         out = np.zeros(len(text))
         for part in blocks([pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), text], ["at", "text"])], "text", 2 << 20):
-            out[np.asarray(part.column("at"))] = model.scores([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
+            out[np.asarray(part.column("at"))] = model.scores([t or "" for t in part.column("text").to_pylist()])
         return pa.array(out)
 
     return framed(docs, id_col, text_col).select("doc_id", judged("text").alias("score"), "row")

@@ -25,10 +25,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.", -1)
-    n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+def dots(host: Column) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit("")))
+
+
+def host_suffixes(host: Column, counts: list[int]) -> Column:
+    """The last ``n`` labels of a host, for those of ``counts`` that it has."""
+    found = [F.when(dots(host) >= n - 1, F.substring_index(host, ".", -n)) for n in counts]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 def slashes(path: Column) -> Column:
@@ -46,7 +50,7 @@ def rule_table(rules: DataFrame) -> DataFrame:
     r = rules.select(ascii_lower(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")).where("rule_host <> ''")
     r = r.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
     folder = F.regexp_extract("rule_path", r"(?s)^(.*/)?", 1)
-    r = r.withColumn("depth", slashes(folder)).withColumn("digest", F.sha2(F.concat_ws("\n", "rule_host", folder), 256))
+    r = r.withColumn("depth", slashes(folder)).withColumn("labels", dots(F.col("rule_host")) + 1).withColumn("digest", F.sha2(F.concat_ws("\n", "rule_host", folder), 256))
     return r.withColumn("short", F.substring("digest", 1, PREFIX))
 
 
@@ -60,7 +64,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     * repeated rows are judged each on its own; empty tables give empty results
     * other columns of ``pages`` are not read
 
-    Paths are cut at the depths that rules have, and nowhere else, so a path costs its length for each of these depths. URLs are
+    Hosts and paths are cut at the numbers of labels and the depths that rules have, and nowhere else, so a host or path costs its length for each of these. URLs are
     judged once for each distinct (host, path), so a hot page costs one row. What was found for it meets the rows by a
     broadcast if the page has a thousandth of all rows or more (at most a thousand such pages), else by a shuffle. The planner
     broadcasts rules only where their known size is below the session's threshold.
@@ -68,8 +72,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     seen = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
     urls = durable(seen.groupBy("host", "path").agg(F.count("*").alias("times")), "urls")
     own = rule_table(rules)
-    depths = sorted(r.depth for r in own.select("depth").distinct().toLocalIterator())
-    wide = urls.where("host <> ''").select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).where("suffix <> ''")
+    shapes = own.select("labels", "depth").distinct().collect()  # as many as rules have shapes
+    counts, depths = sorted({r.labels for r in shapes}), sorted({r.depth for r in shapes})
+    wide = urls.where("host <> ''").select("host", "path", F.explode(host_suffixes(F.col("host"), counts)).alias("suffix")).where("suffix <> ''")
     wide = wide.select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"), depths)).alias("folder"))
     wide = wide.withColumn("digest_u", F.sha2(F.concat_ws("\n", "suffix", "folder"), 256)).withColumn("short", F.substring("digest_u", 1, PREFIX))
     hit = wide.join(own, "short").where((F.col("digest_u") == F.col("digest")) & (F.col("suffix") == F.col("rule_host")) & F.startswith(F.col("path"), F.col("rule_path")))

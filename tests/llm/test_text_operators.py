@@ -344,13 +344,14 @@ def test_toxicity_against_plain_loops(spark, tmp_path):
 
     import numpy as np
 
-    rows = [(d, " ".join(["vile" if d % 3 == 0 else "kind", "words", f"w{d % 7}", "Ünd"]), int(d % 3 == 0)) for d in range(60)] + [(90, "", 0), (91, "vile", 7), (92, "kind", -1)]
+    rows = [(d, " ".join(["vile" if d % 3 == 0 else "kind", "words,  and", f"w{d % 7}", "Ünd", "злой" if d % 3 == 0 else "добрый", "恶毒的字" if d % 3 == 0 else "好的文字"]), int(d % 3 == 0)) for d in range(60)] + [(90, "", 0), (91, "vile", 7), (92, "kind", -1)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int")
     width, sizes = 12, (4, 6)
 
     def buckets(text):
-        raw = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in f" {text} ".encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        raw = [ord(c) for c in re.sub(r"[^a-z\x80-\U0010ffff]+", " ", f" {low} ")]
         found = set()
         for size in sizes:
             for i in range(len(raw) - size + 1):
@@ -418,6 +419,27 @@ def test_url_with_a_very_long_path(spark):
     assert got == {0: ("example.com" + deep, "allow"), 1: ("example.com" + deep, "allow"), 2: ("example.com" + deep, "allow"), 9: ("example.com/en/", "block"), 10: ("net/fr/", "block")}
 
 
+def test_url_with_very_many_labels(spark):
+    """A host is cut where rules have labels, not at each of its own."""
+    host = "a." * 100_000
+    pages = spark.createDataFrame([(1, f"http://{host}example.com/en/"), (2, f"http://{host}net/fr/"), (3, f"http://{host}"), (4, "http://..com/"), (5, "http://www.example.com/en/x")], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES + [("b.c.d.e.f.g.net", "/", "block")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict, len(r.host)) for r in url_filter.url_filter(pages, rules).collect()}
+    assert got == {1: ("example.com/en/", "block", 200_011), 2: ("net/fr/", "block", 200_003), 3: (None, "allow", 200_000), 4: ("com/", "allow", 5), 5: ("www.example.com/en/", "allow", 15)}
+
+
+def test_grams_are_of_characters():
+    import numpy as np
+
+    one = lambda t: set(toxicity.gram_codes([t], (4,), 20)[0].tolist())
+    assert len(one("汉字词")) == 2 and len(one("слово")) == 4  # with a blank on either side
+    assert one("a b") == one("A,  b") == one(" a\n\tb ") and one("ab") != one("a b")
+    raw, ends = toxicity.letters(["", " x", "Ab,. c!", ""])
+    assert "".join(map(chr, raw)) == "  x  ab c  " or np.diff(np.append(0, ends)).tolist() == [1, 3, 6, 1]
+    codes, owners = toxicity.gram_codes(["abcd", "", "efgh"], (4,), 20)
+    assert set(owners.tolist()) == {0, 2} and len(codes) == 6  # none runs on into the next text
+
+
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
     """With room for few hot keys and for many, a join gives the same rows."""
     from quantloom.llm import common
