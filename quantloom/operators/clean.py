@@ -42,6 +42,24 @@ def corporate_adjustment(p: Panel, prices: Sequence[str] = (), price_factor: str
     return p.with_df(p.df.withColumns(new))
 
 
+#: What a rule may do by name.
+HOW = ("left", "operands", "raise")
+
+
+def refuse(what: str, *problems: str | bool) -> None:
+    """An error that tells all problems there are."""
+    if told := [p for p in problems if p]:
+        raise ValueError(f"{what}: {'; '.join(told)}")
+
+
+def _names(columns: Sequence[str], role: str) -> str:
+    """What is wrong with a list of columns, if anything."""
+    if isinstance(columns, str):
+        return f"{role} columns come in a tuple, not as {columns!r}"
+    again = sorted({c for c in columns if list(columns).count(c) > 1})
+    return "" if columns and all(columns) and not again else f"{role} columns are named twice: {again}" if again else f"{role} columns are missing"
+
+
 @dataclass(frozen=True)
 class Constraint:
     """``left`` columns must hold ``operator`` against ``right``, a column's name or a number."""
@@ -51,12 +69,9 @@ class Constraint:
     right: str | float
 
     def __post_init__(self) -> None:
-        if not self.left or len(set(self.left)) != len(self.left):
-            raise ValueError("left columns must be there and differ")
-        if self.operator not in OPERATORS:
-            raise ValueError(f"unknown operator {self.operator}")
-        if isinstance(self.right, bool):
-            raise TypeError("right must be a column or a number")
+        refuse("constraint", _names(self.left, "left"), self.operator not in OPERATORS and f"operator {self.operator} is none of {', '.join(OPERATORS)}")
+        if type(self.right) not in (str, int, float):
+            raise TypeError(f"a constraint compares with a column or a number, not with {self.right!r}")
 
     def columns(self) -> tuple[str, ...]:
         return (*self.left, *([self.right] if isinstance(self.right, str) else []))
@@ -76,8 +91,14 @@ class Rule:
     invalidate: str | tuple[str, ...] = "left"
 
     def __post_init__(self) -> None:
-        if not self.name or not self.constraints:
-            raise ValueError("a rule needs a name and constraints")
+        how = self.invalidate
+        odd = how not in HOW and f"{how!r} is none of {', '.join(HOW)}; columns come in a tuple" if isinstance(how, str) else _names(how, "invalidated")
+        refuse(f"rule {self.name}", not self.name and "it has no name", not self.constraints and "it has no constraint", odd)
+
+    def columns(self) -> set[str]:
+        """All columns that it reads or blanks."""
+        own = {c for k in self.constraints for c in k.columns()}
+        return own if isinstance(self.invalidate, str) else own | set(self.invalidate)
 
     def masks(self) -> dict[str, Column]:
         """Which cells a row loses; all judged before any is written."""
@@ -100,7 +121,7 @@ class Rule:
 
 def consistency_check(p: Panel, rules: Sequence[Rule]) -> Panel:
     """Apply rules one after another, each to what the one before left."""
-    p.require(*[c for r in rules for k in r.constraints for c in k.columns()])
+    p.require(*[c for r in rules for c in r.columns()])
     df = p.df
     for r in rules:
         if r.invalidate == "raise":
@@ -112,6 +133,7 @@ def consistency_check(p: Panel, rules: Sequence[Rule]) -> Panel:
 
 def consistency_report(p: Panel, rules: Sequence[Rule]) -> DataFrame:
     """``rule, violating_rows, invalidated_cells`` in one pass over the panel."""
+    p.require(*[c for r in rules for c in r.columns()])
     df, sums = p.df, []
     for i, r in enumerate(rules):
         masks = {} if r.invalidate == "raise" else r.masks()

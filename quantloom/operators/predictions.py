@@ -48,6 +48,17 @@ def aligned_target(predictions: DataFrame, supervision: DataFrame, keys: Sequenc
     return predictions.join(s, list(keys), "left")
 
 
+def evaluated_sample(predictions: DataFrame, supervision: DataFrame, keys: Sequence[str], label: str, observed: str | None = None) -> DataFrame:
+    """Predictions whose label counts, with it: what an evaluation runs on. None at all is an error, and so is a key with two labels."""
+    s = supervision.where(valid_supervision(label, observed)).select(*keys, label)
+    if not s.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("a key has more than one label")
+    out = predictions.join(s, list(keys))
+    if out.isEmpty():
+        raise ValueError("no prediction has a label that counts")
+    return out
+
+
 def common_sample(candidates: Sequence[DataFrame], keys: Sequence[str], target: str) -> DataFrame:
     """Keys that every candidate predicts with a valid target; targets must agree wherever they meet."""
     first, *others = candidates

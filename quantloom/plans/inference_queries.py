@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import pearson
-from ..operators import compare, resample
+from ..operators import compare, factor_analysis, resample
 from ..operators import series_tests as st
+from ..panel import Panel
 from .registry import SUP, r, register, shown, sup, table
 
 #: Suppliers as models: a return, two factors of the date, and an instrument of the date before.
@@ -229,3 +230,14 @@ def significance_frame(spark, folder):
     ic = items.groupBy("model", "d").agg(pearson(F.col("score"), F.col("ret")).alias("rank_ic"), F.avg(F.signum("score") * F.col("ret")).alias("excess_return"))
     found = resample.significance_frame(ic.select("model", "d", "excess_return"), per_date.join(ic.select("model", "d", "rank_ic"), ["model", "d"]), "model", "d", times=200)
     return shown(found)
+
+
+@register("factor_table", f"""WITH {ALPHA}, t AS (SELECT model, b0 * 252 AS a, b1, b2, r_squared FROM ols JOIN fit USING (model))
+SELECT model, CAST(0 AS BIGINT) AS position, 'annualized_alpha' AS statistic, {r('a', 'value')} FROM t UNION ALL SELECT model, 1, 'x1', {r('b1', 'value')} FROM t UNION ALL SELECT model, 2, 'x2', {r('b2', 'value')} FROM t UNION ALL SELECT model, 3, 'r_squared', {r('r_squared', 'value')} FROM t""")
+def factor_table(spark, folder):
+    """The regressions of every model as the cells of a table."""
+    m = models(spark, folder)
+    design = factor_analysis.Design(("x1", "x2"), "x1")
+    series = factor_analysis.series_for(design, Panel(m.select("d", "x1", "x2").distinct(), entity=None))
+    found = factor_analysis.analyse(m.select("model", "d", "y"), "model", "y", design, series)
+    return shown(factor_analysis.section(found, "model")["alpha"].drop("p_value"))

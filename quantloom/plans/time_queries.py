@@ -150,6 +150,13 @@ def aligned_target(spark, folder):
     return shown(predictions.aligned_target(u.select("d", "e"), u, ["d", "e"], "v", "observed"))
 
 
+@register("prediction_evaluated_sample", f"WITH {USR} SELECT d, e, {r('v', 'v')} FROM usr WHERE k >= 2")
+def evaluated_sample(spark, folder):
+    """Unlike the aligned target, only rows whose label counts."""
+    u = usr(spark, folder).withColumn("observed", F.col("k") >= 2)
+    return shown(predictions.evaluated_sample(u.select("d", "e"), u, ["d", "e"], "v", "observed"))
+
+
 @register("prediction_errors", f"WITH {USR} SELECT CAST(count(*) - count(DISTINCT e) AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS bad_probabilities, CAST(0 AS BIGINT) AS bad_quantiles FROM usr")
 def prediction_errors(spark, folder):
     return predictions.prediction_errors(usr(spark, folder), ["e"], "regression", "v")

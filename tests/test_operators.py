@@ -205,6 +205,41 @@ def test_classifiers(spark):
         models.fit_classifier(df.withColumn("y", F.lit(3)), ["a"], "y")
 
 
+@pytest.mark.parametrize("how", ["lf", "", (), ("a", "a"), ("",), ("low", "low", "high")])
+def test_rules_that_would_do_nothing_or_too_much(how):
+    with pytest.raises(ValueError):
+        clean.Rule("x", (clean.Constraint(("low",), "le", "high"),), how)
+
+
+def test_rules_and_constraints_are_checked(spark):
+    p = Panel(spark.createDataFrame([(D[0], 1, 5.0, 4.0)], "d date, e long, low double, high double"))
+    good = clean.Constraint(("low",), "le", "high")
+    for bad in (lambda: clean.Rule("", (good,)), lambda: clean.Rule("x", ()), lambda: clean.Constraint((), "le", 1.0), lambda: clean.Constraint(("a", "a"), "le", 1.0), lambda: clean.Constraint("low", "le", 1.0), lambda: clean.Constraint(("",), "le", 1)):
+        with pytest.raises(ValueError):
+            bad()
+    for odd in (True, None, [1], ("high",)):
+        with pytest.raises(TypeError):
+            clean.Constraint(("low",), "le", odd)
+    with pytest.raises(KeyError):  # a column to blank has to be there before anything is blanked
+        clean.consistency_check(p, [clean.Rule("x", (good,), ("low", "gone"))])
+    with pytest.raises(KeyError):
+        clean.consistency_report(p, [clean.Rule("x", (good,), ("gone",))])
+    row = clean.consistency_check(p, [clean.Rule("x", (good,), ("high",))]).df.first()
+    assert row.low == 5.0 and row.high is None
+
+
+def test_evaluated_sample(spark):
+    from quantloom.operators import predictions
+
+    scores = spark.createDataFrame([(D[i], i, 0.5) for i in range(4)], "d date, e long, score double")
+    labels = spark.createDataFrame([(D[0], 0, 1.0, True), (D[1], 1, 2.0, False), (D[2], 2, math.nan, True), (D[9], 9, 3.0, True)], "d date, e long, y double, seen boolean")
+    assert [(r.e, r.y) for r in predictions.evaluated_sample(scores, labels, ["d", "e"], "y", "seen").collect()] == [(0, 1.0)]
+    with pytest.raises(ValueError, match="no prediction"):
+        predictions.evaluated_sample(scores, labels.where("e > 0"), ["d", "e"], "y", "seen")
+    with pytest.raises(ValueError, match="more than one"):
+        predictions.evaluated_sample(scores, labels.union(labels), ["d", "e"], "y", "seen")
+
+
 def test_selection_rule():
     table = {1: [1.0, 1.0, 1.0], 2: [0.9, 0.8, 0.9], 3: [0.2, 1.6, 0.8]}
     pick = lambda c: models.select({"k": 1}, c, lambda c: table[c["k"]])
