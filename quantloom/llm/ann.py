@@ -257,7 +257,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 300, m
 
     * unusable vectors take no part, nor do vectors of another length than the most frequent one (of equally frequent ones the
       shortest); queries with fewer than ``k`` candidates get them all
-    * components may be as large or small as a double can be: directions are quantised, norms stored as they are
+    * components may be as large or small as a double can be: directions are quantised, norms stored as they are. A score that overflows both
+      ways is NaN; such rows come after all others, ties to the smaller id
     * equal vectors compete by id alone, so each row of the index ranks ``k + 1`` of them at most; all others of a code are
       ranked exactly where they lie, so a family of vectors that the codes can't tell apart sends on no more than ``k`` a query and task
     * rows that repeat an id are one vector, the first by value
@@ -290,5 +291,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = 300, m
     near = found[0] if found else spark.createDataFrame([], schema)
     for more in found[1:]:
         near = near.unionByName(more)
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    nearest = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
