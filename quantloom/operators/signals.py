@@ -90,15 +90,29 @@ def shift_target(df: DataFrame, time: str, entity: str, target: str, k: int) ->
 
 
 def signal_decay(df: DataFrame, time: str, entity: str, score: str, target: str, leads: Sequence[int]) -> DataFrame:
-    """For each lead: how many pairs there are, mean coefficients by date, and the pooled correlation."""
-    out = None
-    for k in leads:
-        d = df.withColumn("_lead", shift_target(df, time, entity, target, k))
-        daily = date_diagnostics(d, time, score, "_lead").agg(F.avg("ic").alias("mean_ic"), F.avg("rank_ic").alias("mean_rank_ic"))
-        pooled = d.agg(F.count(F.when(F.col(score).isNotNull() & F.col("_lead").isNotNull(), 1)).alias("pairs"), pearson(F.col(score), F.col("_lead")).alias("pooled"))
-        one = pooled.withColumn("lead", F.lit(k)).join(daily.withColumn("lead", F.lit(k)), "lead")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """For each lead: how many pairs there are, mean coefficients by date, and the pooled correlation.
+
+    All leads come from one window, and all figures from one aggregate by lead and date, so more leads cost no further scan.
+    """
+    ahead = F.array(*[F.struct(F.lit(k).alias("lead"), shift_target(df, time, entity, target, k).alias("_t")) for k in leads])
+    rows = df.select(F.col(time).alias("_d"), F.col(score).cast("double").alias("_s"), ahead.alias("_x")).select("_d", "_s", F.inline("_x"))
+    rows = rows.withColumn("_t", F.col("_t").cast("double")).where("_s is not null and _t is not null")
+    by = ["lead", "_d"]
+    rows = rows.withColumns({"_rs": average_rank(F.col("_s"), by), "_rt": average_rank(F.col("_t"), by)})
+    s, t = F.col("_s"), F.col("_t")
+    daily = rows.groupBy(*by).agg(
+        pearson(s, t).alias("ic"), pearson(F.col("_rs"), F.col("_rt")).alias("rank_ic"), F.count("*").alias("n"), F.avg(s).alias("_ms"), F.avg(t).alias("_mt"),
+        F.var_pop(s).alias("_vs"), F.var_pop(t).alias("_vt"), F.covar_pop(s, t).alias("_c"),
+    )
+    # moments within dates and between them make those of all pairs
+    n, total = F.col("n").cast("double"), Window.partitionBy("lead")
+    share = n / F.sum(n).over(total)
+    ds, dt = (F.col(c) - F.sum(share * F.col(c)).over(total) for c in ("_ms", "_mt"))
+    parts = daily.select("lead", "ic", "rank_ic", "n", (share * (F.col("_vs") + ds * ds)).alias("_vs"), (share * (F.col("_vt") + dt * dt)).alias("_vt"), (share * (F.col("_c") + ds * dt)).alias("_c"))
+    spread = F.sqrt(F.sum("_vs")) * F.sqrt(F.sum("_vt"))
+    found = parts.groupBy("lead").agg(F.sum("n").alias("pairs"), F.when(spread > EPS * EPS, F.try_divide(F.sum("_c"), spread)).alias("pooled"), F.avg("ic").alias("mean_ic"), F.avg("rank_ic").alias("mean_rank_ic"))
+    every = df.sparkSession.createDataFrame([(int(k),) for k in dict.fromkeys(leads)], "lead int")
+    return every.join(found, "lead", "left").select("lead", F.coalesce("pairs", F.lit(0)).alias("pairs"), "pooled", "mean_ic", "mean_rank_ic")
 
 
 def signal_buckets(df: DataFrame, score: str, target: str, threshold: float = 0.0) -> DataFrame:
