@@ -91,15 +91,18 @@ def period_summary(daily: DataFrame, time: str) -> DataFrame:
 
 
 def contribution_concentration(assets: DataFrame, tops: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Share of absolute contribution in the largest assets, and its Herfindahl index, for return and risk."""
-    from pyspark.sql import Window
+    """Share of absolute contribution in the largest assets, and its Herfindahl index, for return and risk.
 
+    Sums run over all assets; only the largest ``max(tops)`` are ordered.
+    """
     out = None
     for kind, column in (("return", "total_contribution"), ("risk", "risk_share")):
-        a = F.abs(F.coalesce(F.col(column), F.lit(0.0)))
-        # one row an asset
-        d = assets.select("asset", a.alias("_a")).withColumn("_k", F.row_number().over(Window.orderBy(F.desc("_a"), "asset")))
-        one = d.agg(F.lit(kind).alias("kind"), guarded_ratio(F.sum(F.col("_a") * F.col("_a")), F.sum("_a") * F.sum("_a")).alias("hhi"), *[guarded_ratio(F.sum(F.when(F.col("_k") <= k, F.col("_a"))), F.sum("_a")).alias(f"top{k}_share") for k in tops])
+        d = assets.select(F.abs(F.coalesce(F.col(column), F.lit(0.0))).alias("_a"))
+        whole = d.agg(F.sum("_a").alias("_sum"), F.sum(F.col("_a") * F.col("_a")).alias("_squares"))
+        largest = d.orderBy(F.desc("_a")).limit(max(tops)).agg(F.sort_array(F.collect_list("_a"), asc=False).alias("_top"))
+        part = lambda k: F.aggregate(F.slice("_top", 1, k), F.lit(0.0), lambda x, y: x + y)
+        one = whole.crossJoin(largest)  # a row each
+        one = one.select(F.lit(kind).alias("kind"), guarded_ratio(F.col("_squares"), F.col("_sum") * F.col("_sum")).alias("hhi"), *[guarded_ratio(part(k), F.col("_sum")).alias(f"top{k}_share") for k in tops])
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -141,22 +141,34 @@ def _outcomes(df: DataFrame, decision: str, target: str, threshold: float) -> Da
     return d.groupBy(F.col(decision).alias("s")).agg(F.sum((F.col(target) > threshold).cast("long")).alias("p"), F.sum((F.col(target) <= threshold).cast("long")).alias("n"))
 
 
-def running(df: DataFrame, by: str, sums: Sequence[str], descending: bool = False, parts: int = 200) -> DataFrame:
+#: Ranges that a running sum is cut into at most, and rows of one, about.
+MOST_RANGES, ROWS_A_RANGE = 2_000, 200_000
+
+
+def running(df: DataFrame, by: str, sums: Sequence[str], descending: bool = False, parts: int | None = None) -> DataFrame:
     """``df`` with ``<column>_before`` for each of ``sums``: its total over all rows that come before in the order of ``by``, which is unique.
 
-    Ranges of ``by``, at most ``parts`` and cut at approximate quantiles, are summed first; a row adds the rows before it in its range, so no
-    task has to order all rows.
+    Ranges of ``by``, ``parts`` of them or else of about ``ROWS_A_RANGE`` rows and at most ``MOST_RANGES``, cut at approximate quantiles, are summed first; a row adds the rows
+    before it in its range, so no task has to order all rows.
     """
-    cuts = df.agg(F.percentile_approx(by, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10_000))).first()[0] or []
+    seen = df.agg(F.count("*").alias("n"), F.percentile_approx(by, F.array(*[F.lit(k / MOST_RANGES) for k in range(1, MOST_RANGES)]), F.lit(10 * MOST_RANGES)).alias("cuts")).first()
+    parts = parts or min(MOST_RANGES, max(8, seen.n // ROWS_A_RANGE))
+    cuts = [seen.cuts[k * MOST_RANGES // parts - 1] for k in range(1, parts)] if seen.cuts else []
     cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast(f"array<{df.schema[by].dataType.simpleString()}>")
     d = df.withColumn("_range", F.size(F.filter(cuts, lambda x: x <= F.col(by))))
-    order = lambda c: F.desc(c) if descending else F.asc(c)
-    ahead = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = d.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    ranges = ranges.select("_range", *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in sums])
+    order = F.desc if descending else F.asc
+    ranges = d.groupBy("_range").agg(*[F.sum(c).alias(c) for c in sums])
+    found = {r._range: r for r in ranges.collect()}  # at most ``MOST_RANGES`` rows
+    places = range(parts + 1)[::-1] if descending else range(parts + 1)
+    before = {}
+    for c in sums:
+        total, ahead = 0, [0] * (parts + 1)
+        for k in places:
+            ahead[k] = total
+            total += (found[k][c] or 0) if k in found else 0
+        before[c] = F.get(F.array(*map(F.lit, ahead)).cast(f"array<{ranges.schema[c].dataType.simpleString()}>"), F.col("_range"))
     own = Window.partitionBy("_range").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, -1)
-    joined = d.join(F.broadcast(ranges), "_range")  # at most ``parts`` rows
-    return joined.select(*df.columns, *[(F.col(f"_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"{c}_before") for c in sums])
+    return d.select(*df.columns, *[(before[c] + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"{c}_before") for c in sums])
 
 
 def auc(df: DataFrame, decision: str, target: str, threshold: float = 0.0) -> DataFrame:

@@ -138,11 +138,12 @@ def period_summary(spark, folder):
     return shown(compare.period_summary(daily(spark, folder), "d"))
 
 
-@register("portfolio_contribution_concentration", f"""WITH {WEIGHTS}, y AS (SELECT e AS asset, abs(sum(weight * x)) AS v FROM w GROUP BY e), k AS (SELECT v, row_number() OVER (ORDER BY v DESC, CAST(asset AS VARCHAR)) AS k FROM y)
-SELECT 'return' AS kind, {r('sum(v * v) / (sum(v) * sum(v))', 'hhi')}, {r('sum(v) FILTER (k <= 1) / sum(v)', 'top1_share')}, {r('sum(v) FILTER (k <= 5) / sum(v)', 'top5_share')}, {r('sum(v) FILTER (k <= 10) / sum(v)', 'top10_share')} FROM k""")
+@register("portfolio_contribution_concentration", f"""WITH {DAILY}, y AS (SELECT e, abs(sum(weight * x)) AS ret, coalesce(abs(covar_samp(weight * x, gross_return) / var_samp(gross_return)), 0) AS risk FROM w JOIN daily USING (d) GROUP BY e),
+k AS (SELECT 'return' AS kind, ret AS v, row_number() OVER (ORDER BY ret DESC) AS k FROM y UNION ALL SELECT 'risk', risk, row_number() OVER (ORDER BY risk DESC) FROM y)
+SELECT kind, {r('sum(v * v) / (sum(v) * sum(v))', 'hhi')}, {r('sum(v) FILTER (k <= 1) / sum(v)', 'top1_share')}, {r('sum(v) FILTER (k <= 5) / sum(v)', 'top5_share')}, {r('sum(v) FILTER (k <= 10) / sum(v)', 'top10_share')} FROM k GROUP BY kind""")
 def contribution_concentration(spark, folder):
     assets = pf.attribute_assets(weighted(spark, folder), daily(spark, folder), "d", "e").where("asset <> 'Cash'")
-    return shown(compare.contribution_concentration(assets).where("kind = 'return'"))
+    return shown(compare.contribution_concentration(assets))
 
 
 @register("portfolio_rolling_performance", f"""WITH {DAILY}, k AS (SELECT d, net_return AS x, net_return - rf AS y FROM daily), q AS (SELECT d, count(*) OVER w AS n, product(1 + x) OVER w - 1 AS ret, stddev_samp(x) OVER w * sqrt(252) AS vol, avg(y) OVER w / stddev_samp(y) OVER w * sqrt(252) AS sharpe, quantile_cont(-x, 0.9) OVER w AS var_90, list(-x) OVER w AS losses FROM k WINDOW w AS (ORDER BY d ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
