@@ -55,10 +55,10 @@ def fit_classifier(df: DataFrame, features: Sequence[str], label: str, kind: str
     empty = rows.agg(*[F.count(c).alias(c) for c in features]).first()
     known = [c for c in features if empty[c]]
     filled = [f"_{c}" for c in known]
-    stages = [Imputer(inputCols=known, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_raw", handleInvalid="keep")]
+    stages = [Imputer(inputCols=known, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__assembled", handleInvalid="keep")]
     if standardise:
-        stages.append(StandardScaler(inputCol="_raw", outputCol="_x", withMean=True))
-    column = "_x" if standardise else "_raw"
+        stages.append(StandardScaler(inputCol="__assembled", outputCol="__scaled", withMean=True))
+    column = "__scaled" if standardise else "__assembled"
     if kind == "logistic":
         n = sum(classes.values())
         stages.append(LogisticRegression(featuresCol=column, labelCol=label, elasticNetParam=options.get("l1_ratio", 0.0), regParam=1 / (options.get("c", 1.0) * n), maxIter=options.get("max_iter", 100), standardization=False))

@@ -8,6 +8,7 @@ import os
 import platform
 import sys
 import time
+import uuid
 from collections.abc import Mapping
 from importlib import metadata
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .store import Files, canonical
 
 LAYOUT = 1
+#: What the session of a write takes over.
+SETTINGS = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.shuffle.partitions")
 
 
 def code_digest() -> str:
@@ -57,10 +60,21 @@ def _measures(df: DataFrame) -> list:
 
 
 def write_table(df: DataFrame, path: str) -> dict:
-    """Write Parquet and return what was written: rows, digest, nulls by column, schema and plan. The rows are observed as they pass, never read again."""
-    seen = Observation()
-    df.observe(seen, *_measures(df)).write.parquet(path)
-    found = seen.get
+    """Write Parquet and return what was written: rows, digest, nulls by column, schema and plan. The rows are observed as they pass, never read again.
+
+    The write runs in a session of its own with the same settings: one that has observed anything can't be sent to tasks any more, as models of
+    Spark's own library do.
+    """
+    spark, name, seen = df.sparkSession, f"observed_{uuid.uuid4().hex}", Observation()
+    own = spark.newSession()
+    for key in SETTINGS:
+        own.conf.set(key, spark.conf.get(key))
+    df.createGlobalTempView(name)
+    try:
+        own.table(f"global_temp.{name}").observe(seen, *_measures(df)).write.parquet(path)
+        found = seen.get
+    finally:
+        spark.catalog.dropGlobalTempView(name)
     return {"rows": found["rows"], "sum_hash": found["sum_hash"], "nulls": {c: found[f"null_{i}"] for i, c in enumerate(df.columns)}, "schema": df.schema.simpleString(), "plan": plan_digest(df)}
 
 

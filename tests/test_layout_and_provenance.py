@@ -96,3 +96,13 @@ def test_changes_are_noticed(spark, panel, tmp_path):
 def test_plan_digests(panel):
     build = lambda k: panel.df.where(F.col("x") > k).groupBy("e").agg(F.sum("x").alias("s"))
     assert provenance.plan_digest(build(3)) == provenance.plan_digest(build(3)) != provenance.plan_digest(build(4))
+
+
+def test_models_still_score_after_an_observed_write(spark, panel, tmp_path):
+    """A session that has observed a write can't be sent to tasks; the write has its own."""
+    from quantloom.operators import models
+
+    provenance.write_table(panel.df, f"{tmp_path}/x")
+    df = panel.df.select("x", (F.col("e") % 3).cast("double").alias("y0"), (F.col("x") > 6).cast("int").alias("y"))
+    assert models.fit_classifier(df, ["x", "y0"], "y").score(df).count() == panel.df.count()
+    assert not spark.catalog.listTables("global_temp") or not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("observed_")]
