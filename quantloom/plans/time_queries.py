@@ -92,7 +92,7 @@ _CAND = ", ".join(f"({i}, CAST({s!r} AS DOUBLE), CAST({t!r} AS DOUBLE))" for i,
 @register("elastic_net_fold_scores", f"""WITH {FOLDS}, ca(candidate, strength, share) AS (VALUES {_CAND}), rw AS (SELECT fold, CASE WHEN d BETWEEN train_start AND train_end THEN 1 WHEN d BETWEEN val_start AND val_end THEN 0 END AS t, volume / 25 AS x, close / 40000 AS y FROM sup, folds WHERE d BETWEEN train_start AND val_end),
 tr AS (SELECT fold, count(*) AS n_train, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) AS c FROM rw WHERE t = 1 GROUP BY 1),
 be AS (SELECT *, sign(c) * greatest(abs(c / sx) - strength * share, 0) / (1 + strength * (1 - share)) / sx AS b FROM tr, ca)
-SELECT fold, candidate, n_train, count(*) AS n_val, {r('max(b)', 'slope')}, {r('max(my - b * mx)', 'intercept')}, {r('avg((y - my - b * (x - mx)) * (y - my - b * (x - mx)))', 'loss')} FROM be JOIN rw USING (fold) WHERE t = 0 GROUP BY 1, 2, 3""")
+SELECT fold, CAST(candidate AS BIGINT) AS candidate, n_train, count(*) AS n_val, {r('max(b)', 'slope')}, {r('max(my - b * mx)', 'intercept')}, {r('avg((y - my - b * (x - mx)) * (y - my - b * (x - mx)))', 'loss')} FROM be JOIN rw USING (fold) WHERE t = 0 GROUP BY 1, 2, 3""")
 def elastic_net_fold_scores(spark, folder):
     """91 penalties on every walk-forward fold, from one scan."""
     s = sup(spark, folder).select("d", (F.col("volume") / 25).alias("x"), (F.col("close") / 40000).alias("y"))
