@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -101,6 +101,27 @@ def series_for(design: Design, factors: Panel, benchmarks: Panel | None = None,
     return Series(t, own, bench, ins)
 
 
+class Tables(Mapping):
+    """Tables by name, each planned once and when it is first asked for: planning a regression reads the length of its longest series, that of differences joins all pairs of models."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]) -> None:
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass(frozen=True)
 class Analysis:
     """All tables of the factor section, by name; a table without its series is not there."""
@@ -119,24 +140,27 @@ def analyse(daily: DataFrame, model: str, excess: str, design: Design, series: S
     t, d = series.time, design
     rows = daily.select(model, t, excess)
     on_factors = rows.join(series.factors, t)
+
+    def differences() -> DataFrame:
+        found = st.alpha_difference(on_factors, model, t, excess, d.factors, d.lag)
+        return found if d.correction == "none" else signals.adjust(found, "p_value", d.correction, order=["a", "b"])
+
     out = {
-        "alpha": st.factor_alpha(on_factors, [model], t, excess, d.factors, d.periods, d.lag),
-        "rolling": st.rolling_betas(on_factors, [model], t, excess, d.factors, d.window),
-        "cumulative": st.cumulative_alpha(on_factors, [model], t, excess, d.factors),
-        "differences": st.alpha_difference(on_factors, model, t, excess, d.factors, d.lag),
-        "joint": st.joint_alpha_test(on_factors, [], model, t, excess, d.factors, d.lag),
+        "alpha": lambda: st.factor_alpha(on_factors, [model], t, excess, d.factors, d.periods, d.lag),
+        "rolling": lambda: st.rolling_betas(on_factors, [model], t, excess, d.factors, d.window),
+        "cumulative": lambda: st.cumulative_alpha(on_factors, [model], t, excess, d.factors),
+        "differences": differences,
+        "joint": lambda: st.joint_alpha_test(on_factors, [], model, t, excess, d.factors, d.lag),
     }
-    if d.correction != "none":
-        out["differences"] = signals.adjust(out["differences"], "p_value", d.correction, order=["a", "b"])
     if series.instruments is not None:
         others = [c for c in d.factors if c != d.market]
-        out["timing"] = st.timing_model(on_factors, [model], t, excess, d.market, others, series.instruments, d.periods, d.instrument_lag, d.square, d.conditional_alpha, d.lag)
+        out["timing"] = lambda: st.timing_model(on_factors, [model], t, excess, d.market, others, series.instruments, d.periods, d.instrument_lag, d.square, d.conditional_alpha, d.lag)
     if series.benchmarks is not None:
-        out["spanning"] = st.spanning_test(rows.join(series.benchmarks, t), [model], t, excess, d.benchmarks, d.lag)
+        out["spanning"] = lambda: st.spanning_test(rows.join(series.benchmarks, t), [model], t, excess, d.benchmarks, d.lag)
     names = tuple(c for c in latent.columns if c != t) if latent is not None else ()
     if names:
-        out["latent_alpha"] = st.factor_alpha(rows.join(latent, t), [model], t, excess, names, d.periods, d.lag)
-    return Analysis(d, names, out)
+        out["latent_alpha"] = lambda: st.factor_alpha(rows.join(latent, t), [model], t, excess, names, d.periods, d.lag)
+    return Analysis(d, names, Tables(out))
 
 
 def factor_table(found: DataFrame, model: str, factors: Sequence[str], betas: str = "betas", p_values: str = "beta_p_values", alpha_p: str = "p_value") -> DataFrame:
@@ -150,16 +174,20 @@ def factor_table(found: DataFrame, model: str, factors: Sequence[str], betas: st
     return found.select(model, F.inline(cells))
 
 
-def section(analysis: Analysis, model: str) -> dict[str, DataFrame]:
+def section(analysis: Analysis, model: str) -> Mapping[str, DataFrame]:
     """The factor tables of an analysis in long form, ready to be written: ``alpha``, ``latent_alpha``, ``timing`` and ``tests``."""
     d, t = analysis.design, analysis.tables
-    out = {"alpha": factor_table(t["alpha"], model, d.factors)}
+
+    def tests() -> DataFrame:
+        joint = t["joint"].where("portfolios > 1").select(F.lit("all").alias("of"), F.lit("joint_zero_alpha").alias("test"), "statistic", "p_value")
+        if "spanning" not in t:
+            return joint
+        return t["spanning"].select(F.col(model).cast("string").alias("of"), F.lit("spanning").alias("test"), "statistic", "p_value").unionByName(joint)
+
+    out = {"alpha": lambda: factor_table(t["alpha"], model, d.factors), "tests": tests}
     if "latent_alpha" in t:
-        out["latent_alpha"] = factor_table(t["latent_alpha"], model, analysis.latent)
+        out["latent_alpha"] = lambda: factor_table(t["latent_alpha"], model, analysis.latent)
     if "timing" in t:
         terms = [*(f"alpha_{c}" for c in d.instruments if d.conditional_alpha), d.market, *(f"{d.market}_x_{c}" for c in d.instruments), *(c for c in d.factors if c != d.market), *([f"{d.market}_squared"] if d.square else [])]
-        out["timing"] = factor_table(t["timing"], model, terms, "coefficients", "p_values", "alpha_p_value")
-    tests = [t["spanning"].select(F.col(model).cast("string").alias("of"), F.lit("spanning").alias("test"), "statistic", "p_value")] if "spanning" in t else []
-    tests.append(t["joint"].where("portfolios > 1").select(F.lit("all").alias("of"), F.lit("joint_zero_alpha").alias("test"), "statistic", "p_value"))
-    out["tests"] = tests[0] if len(tests) == 1 else tests[0].unionByName(tests[1])
-    return out
+        out["timing"] = lambda: factor_table(t["timing"], model, terms, "coefficients", "p_values", "alpha_p_value")
+    return Tables(out)

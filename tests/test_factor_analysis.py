@@ -133,3 +133,16 @@ def test_a_narrowed_plan_runs(spark, tmp_path):
     narrow = rq.narrowed(plan, rq.model_needs({"features": "prices", "context": ["macro"], "universe": [1, 3]}))
     got = run(spark, narrow).df
     assert {r.e for r in got.select("e").distinct().collect()} == {1, 3} and {"mom", "vol", "vlm", "vix"} <= set(got.columns) and got.count() == 54
+
+
+def test_a_table_is_planned_when_it_is_asked_for(data, monkeypatch):
+    """Pairs of models grow with the square of the models; who wants the alphas alone must not pay for them."""
+    _, _, _, daily, (factors, benchmarks, instruments), rf = data
+    asked = []
+    for name in ("alpha_difference", "joint_alpha_test", "spanning_test", "timing_model", "rolling_betas", "cumulative_alpha"):
+        monkeypatch.setattr(fa.st, name, lambda *a, _n=name, **k: asked.append(_n))
+    design = fa.design_of(SETTINGS)
+    found = fa.analyse(daily, "model", "x", design, fa.series_for(design, factors, benchmarks, instruments, rf))
+    tables = fa.section(found, "model")
+    assert "differences" in found.tables and "timing" in tables and set(tables) == {"alpha", "timing", "tests"}
+    assert tables["alpha"].count() == 8 and tables["alpha"] is tables["alpha"] and asked == []
