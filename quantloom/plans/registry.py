@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rounded
@@ -47,7 +47,12 @@ def sup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def usr(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").groupBy(F.to_date("ts").alias("d"), F.col("user_id").alias("e")).agg(F.avg("value").alias("v"), F.count("*").alias("k"))
+    """Means add values up in the order of events: a sum of doubles depends on its order, and ranks and distinct scores on its last bit."""
+    events = table(spark, folder, "events").select(F.to_date("ts").alias("d"), F.col("user_id").alias("e"), "event_id", "value")
+    own = Window.partitionBy("d", "e").orderBy("event_id", "value")
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = events.select("d", "e", F.avg("value").over(every).alias("v"), F.count("*").over(every).alias("k"), F.row_number().over(own).alias("_i"))
+    return days.where("_i = 1").drop("_i")
 
 
 def grid(spark: SparkSession, folder: str) -> DataFrame:
