@@ -1,6 +1,9 @@
 """What larger tables showed: results that hang on the order of rows, and work that outgrows its input."""
 
 import datetime as dt
+import random
+
+import duckdb
 
 from quantloom.plans import registry
 
@@ -16,3 +19,14 @@ def test_means_of_user_days_do_not_depend_on_the_order_of_rows(spark, tmp_path):
         want[ts.date(), user] = total + value, n + 1
     got = {(r.d, r.e): (r.v, r.k) for r in registry.usr(spark, str(tmp_path)).collect()}
     assert got == {k: (total / n, n) for k, (total, n) in want.items()}
+
+
+def test_roc_of_events_in_many_files_equals_its_sql_read_in_order(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, dt.datetime(2024, 1, 1 + rng.randrange(5)), rng.randrange(40), round(rng.expovariate(0.02), 2)) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").repartition(30, "value").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create table events as select * from '{tmp_path}/events.parquet/*.parquet' order by event_id")
+    want = con.execute(registry.ORACLE_SQL["signal_roc"]).fetchall()
+    assert sorted(want) == sorted(map(tuple, registry.QUERIES["signal_roc"](spark, str(tmp_path)).collect()))
