@@ -201,20 +201,46 @@ def monotonicity(buckets: DataFrame) -> DataFrame:
     return d.agg(pearson(F.col("bucket").cast("double"), F.col("_m")).alias("bucket_monotonicity"))
 
 
+#: Ranges for each doubling of a p-value, of which a correction makes as many as it meets.
+RANGES_A_DOUBLING = 1024
+
+
 def adjust(p_values: DataFrame, p: str = "p_value", how: str = "holm", family: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
-    """``adjusted``: Holm or Benjamini-Hochberg within ``family``; missing values stay and don't count."""
-    own = Window.partitionBy(*family, F.col(p).isNotNull())
-    up = own.orderBy(p, *order)
-    n, r = F.count(p).over(own), F.row_number().over(up)
-    if how == "holm":
-        d = p_values.withColumn("_x", F.col(p) * (n - r + 1))
-        adjusted = F.max("_x").over(up.rowsBetween(Window.unboundedPreceding, 0))
-    elif how == "bh":
-        d = p_values.withColumn("_x", F.col(p) * n / r)
-        adjusted = F.min("_x").over(up.rowsBetween(0, Window.unboundedFollowing))
-    else:
+    """``adjusted``: Holm or Benjamini-Hochberg within ``family``; missing values stay and don't count.
+
+    Equal p-values share what the first (Holm) or last of them gets, so ``order``, columns that tell rows of a family apart, only spreads
+    the missing ones. Ranks are counted within narrow ranges of p-values and added to the sizes of the ranges before, so no task orders a family.
+    """
+    if how not in ("holm", "bh"):
         raise ValueError(f"unknown correction {how}")
-    return d.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.least(adjusted, F.lit(1.0)))).drop("_x")
+    holm, there = how == "holm", F.col(p).isNotNull()
+    size = F.least(F.greatest(F.col(p).cast("double"), F.lit(1e-300)), F.lit(1e300))
+    place = F.when(there, F.floor(F.log2(size) * RANGES_A_DOUBLING)).otherwise(F.lit(2**40) + F.pmod(F.xxhash64(*order) if order else F.lit(0), F.lit(RANGES_A_DOUBLING)))
+    rows = p_values.withColumn("_range", place)
+    known, keys, line = rows.where(there), [*family, "_range"], Window.partitionBy(*family).orderBy("_range")
+
+    def beside(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+        names = {c: f"_key_{i}" for i, c in enumerate(family)} | {"_range": "_key"}
+        on = [F.col(c).eqNullSafe(F.col(n)) if c in family else F.col(c) == F.col(n) for c, n in names.items()]
+        return a.join(b.select(*[F.col(c).alias(n) for c, n in names.items()], *columns), on, "left").drop(*names.values())
+
+    up, down = Window.partitionBy(*keys).orderBy(p), Window.partitionBy(*keys).orderBy(F.desc(p))
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("_c"))
+    sizes = sizes.select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*family)).alias("_n"))
+    first, last = F.col("_before") + F.rank().over(up), F.col("_before") + F.count("*").over(up)  # of equal values
+    factor = F.col(p) * (F.col("_n") - first + 1) if holm else F.col(p) * F.col("_n") / last
+
+    def scaled(d: DataFrame) -> DataFrame:
+        return beside(d, sizes, "_before", "_n").withColumn("_x", factor)
+
+    ends = scaled(known).groupBy(*keys).agg((F.max if holm else F.min)("_x").alias("_end"))
+    others = before if holm else Window.partitionBy(*family).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, (F.max if holm else F.min)("_end").over(others).alias("_end"))
+    d = beside(scaled(rows), ends, "_end")
+    within = F.max("_x").over(up) if holm else F.min("_x").over(down)
+    adjusted = F.least(F.greatest(within, "_end") if holm else F.least(within, "_end"), F.lit(1.0))
+    return d.select(*p_values.columns, F.when(there, adjusted).alias("adjusted"))
 
 
 def stars(p: Column) -> Column:

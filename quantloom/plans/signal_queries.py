@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare
 from ..operators import signals as sg
-from .registry import GRID, grid, r, register, shown
+from .registry import GRID, grid, r, register, shown, usr
 
 NEXT = f"{GRID}, x AS (SELECT *, lead(ret) OVER (PARTITION BY e ORDER BY d) AS target FROM grid)"
 
@@ -95,7 +95,8 @@ P_VALUES = f"{GRID}, p AS (SELECT e, CASE WHEN e % 11 <> 0 THEN avg(v) / 200 END
 
 
 def p_values(spark, folder):
-    p = grid(spark, folder).where("v is not null").groupBy("e").agg(F.avg("v").alias("m")).where("m < 200")
+    # a dense grid has values for these rows alone
+    p = usr(spark, folder).where("v is not null and d is not null and e is not null").groupBy("e").agg(F.avg("v").alias("m")).where("m < 200")
     return p.select("e", F.when(F.col("e") % 11 != 0, F.col("m") / 200).alias("p_value"))
 
 
