@@ -135,29 +135,32 @@ def _coefficients(rows: DataFrame, by: Sequence[str], y: str, xs: Sequence[str])
     return sums.select(*by, "n", "_mean", _per_row(_solve, "array<double>")("_gram", "_moments").alias("_solved"))
 
 
-def regress(df: DataFrame, by: Sequence[str], time: str, y: str, xs: Sequence[str], lag: int | None = None) -> DataFrame:
+def regress(df: DataFrame, by: Sequence[str], time: str, y: str, xs: Sequence[str], lag: int | None = None, bound: DataFrame | None = None) -> DataFrame:
     """Least squares of ``y`` on ``xs`` and an intercept for each series, with Newey-West covariance.
 
     Returns ``by, n, coefficients, covariance, errors, t, p_values, r_squared``. Arrays have the intercept first, ``covariance`` is row by
     row; p-values are normal and two-sided, null where an error is zero. Rows with a missing or non-finite number don't count; series
-    without more rows than coefficients give null arrays. ``lag=None`` takes each series' own automatic bandwidth.
+    without more rows than coefficients give null arrays. ``lag=None`` takes each series' own automatic bandwidth. ``bound`` has as many rows
+    a series as ``df`` or more, and is cheaper to count; lags beyond a series' bandwidth weigh nothing.
+
+    Rows move once, by a key that is never null: sums, the join with what they solve to, and lags all find them where they are.
     """
-    rows = _complete(df, by, time, [y, *xs])
-    k, most = len(xs) + 1, _most_lags(rows, by, lag)
-    solved = _coefficients(rows, by, y, xs)
+    k, most = len(xs) + 1, _most_lags((df if bound is None else bound).select(*by), by, lag)
+    rows = _complete(df, by, time, [y, *xs]).select(F.struct(*by, F.lit(0).alias("_")).alias("_k"), time, y, *xs).repartition("_k")
+    solved = _coefficients(rows, ["_k"], y, xs)
     z = [F.lit(1.0), *map(F.col, xs)]
     fit = sum((F.get("_solved", F.lit(i)) * c for i, c in enumerate(z)), F.lit(0.0))
-    joined = _same(rows, solved, by).withColumn("_e", F.col(y) - fit)
-    joined = joined.select(*by, time, "n", "_solved", "_e", (F.col(y) - F.col("_mean")).alias("_d"), *[(c * F.col("_e")).alias(f"_u{i}") for i, c in enumerate(z)])
-    w = Window.partitionBy(*by).orderBy(time)
+    joined = rows.join(solved.withColumnRenamed("_k", "_key"), F.col("_k") == F.col("_key")).withColumn("_e", F.col(y) - fit)
+    joined = joined.select("_k", time, "n", "_solved", "_e", (F.col(y) - F.col("_mean")).alias("_d"), *[(c * F.col("_e")).alias(f"_u{i}") for i, c in enumerate(z)])
+    w = Window.partitionBy("_k").orderBy(time)
     weights = _weights(F.col("n"), lag, most)
     joined = joined.select("*", *[_lagged(F.col(f"_u{i}"), weights, w).alias(f"_s{i}") for i in range(k)])
     u, s = [F.col(f"_u{i}") for i in range(k)], [F.col(f"_s{i}") for i in range(k)]
     meat = F.array(*[F.sum(u[i] * u[j] + u[i] * s[j] + u[j] * s[i]) for i, j in combinations_with_replacement(range(k), 2)])
-    sums = joined.groupBy(*by).agg(F.first("n").alias("n"), F.first("_solved").alias("_solved"), meat.alias("_meat"), F.sum(F.col("_e") * F.col("_e")).alias("_sse"), F.sum(F.col("_d") * F.col("_d")).alias("_sst"))
+    sums = joined.groupBy("_k").agg(F.first("n").alias("n"), F.first("_solved").alias("_solved"), meat.alias("_meat"), F.sum(F.col("_e") * F.col("_e")).alias("_sse"), F.sum(F.col("_d") * F.col("_d")).alias("_sst"))
     enough = F.col("n") > k
     out = sums.select(
-        *by, "n", F.when(enough, F.slice("_solved", 1, k)).alias("coefficients"), F.when(enough, _per_row(lambda a, b: _sandwich(a, b, k), "array<double>")("_solved", "_meat")).alias("covariance"),
+        *[F.col("_k")[c].alias(c) for c in by], "n", F.when(enough, F.slice("_solved", 1, k)).alias("coefficients"), F.when(enough, _per_row(lambda a, b: _sandwich(a, b, k), "array<double>")("_solved", "_meat")).alias("covariance"),
         F.when(enough & (F.col("_sst") > EPS * EPS), 1 - F.col("_sse") / F.col("_sst")).alias("r_squared"),
     )
     errors = F.array(*[F.sqrt(F.greatest(F.lit(0.0), F.get("covariance", F.lit(i * (k + 1))))) for i in range(k)])
@@ -195,7 +198,7 @@ def timing_design(df: DataFrame, by: Sequence[str], time: str, excess: str, mark
         raise ValueError(f"instruments share names with the panel: {sorted(taken)}")
     dates = Window.orderBy(time)  # one row a date
     shifted = instruments.select(time, *[F.lag(c, lag).over(dates).alias(c) if lag else F.col(c) for c in z])
-    rows = _complete(df.select(*by, time, excess, market, *others).join(shifted, time), by, time, [excess, market, *others, *z])
+    rows = _complete(df.select(*by, time, excess, market, *others).join(F.broadcast(shifted), time), by, time, [excess, market, *others, *z])
     own = Window.partitionBy(*by)
     rows = rows.select(*by, time, excess, market, *others, *[(F.col(c) - F.avg(c).over(own)).alias(c) for c in z])
     made = {f"alpha_{c}": F.col(c) for c in z} if conditional_alpha else {}
@@ -213,7 +216,7 @@ def timing_model(df: DataFrame, by: Sequence[str], time: str, excess: str, marke
     if market not in df.columns:
         raise ValueError(f"no column {market}")
     rows, names = timing_design(df, by, time, excess, market, others, instruments, instrument_lag, square, conditional_alpha)
-    found = regress(rows, by, time, excess, names, lag).where(F.col("coefficients").isNotNull() & (F.col("n") > len(names) + 1))
+    found = regress(rows, by, time, excess, names, lag, bound=df).where(F.col("coefficients").isNotNull() & (F.col("n") > len(names) + 1))
 
     def of(array: str, name: str) -> Column:
         return F.get(array, F.lit(names.index(name) + 1)) if name in names else F.lit(None).cast("double")

@@ -38,9 +38,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def sup(spark: SparkSession, folder: str) -> DataFrame:
+def sup(spark: SparkSession, folder: str, together: bool = False) -> DataFrame:
+    """``together``: all days of a supplier lie in one partition, so windows over them move no row again."""
     price = F.col("l_extendedprice") * 1.00037291
-    return table(spark, folder, "lineitem").groupBy(F.to_date("l_shipdate").alias("d"), F.col("l_suppkey").alias("e")).agg(
+    items = table(spark, folder, "lineitem")
+    return (items.repartition("l_suppkey") if together else items).groupBy(F.to_date("l_shipdate").alias("d"), F.col("l_suppkey").alias("e")).agg(
         F.avg(price).alias("close"), F.avg(price * (1 + F.col("l_discount"))).alias("high"), F.avg(price * (1 - F.col("l_tax"))).alias("low"),
         F.avg("l_quantity").alias("volume"), F.avg(F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))).alias("sparse"),
     )

@@ -4,7 +4,10 @@ import datetime as dt
 import random
 
 import duckdb
+import numpy as np
 
+from quantloom.operators import inference
+from quantloom.operators import series_tests as st
 from quantloom.operators import signals as sg
 from quantloom.plans import registry
 
@@ -54,3 +57,17 @@ def test_corrections_of_any_number_of_hypotheses(spark):
             assert found.columns == ["i", "f", "p_value", "adjusted"] and {r.i: r.adjusted for r in found.collect()} == want
             plan = found._jdf.queryExecution().executedPlan().toString()
             assert "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_rows_of_a_regression_move_once(spark):
+    """One shuffle by the series' key serves the sums, the join with their solution (which moves, a row a series) and the lags; a null key is a series too."""
+    rng = random.Random(8)
+    rows = [(m, dt.date(2024, 1, 1) + dt.timedelta(i), rng.random(), rng.random()) for m in ("a", "b", None) for i in range(40)]
+    found = st.regress(spark.createDataFrame(rows, "m string, d date, y double, x double"), ["m"], "d", "y", ["x"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") <= 1
+    got = {r.m: r for r in found.collect()}
+    assert set(got) == {"a", "b", None}
+    for m, r in got.items():
+        y, x = (np.array([row[k] for row in rows if row[0] == m]) for k in (2, 3))
+        beta, cov, r2 = inference.hac_ols(y, x[:, None])
+        assert r.n == 40 and np.allclose(r.coefficients, beta) and np.allclose(r.covariance, cov.ravel()) and abs(r.r_squared - r2) < 1e-9
