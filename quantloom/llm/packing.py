@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import blocks, durable, framed, ragged, tidy
 
-#: Distinct chunks of text whose ids a worker keeps at hand; beyond, it starts afresh.
+#: Distinct words and other chunks of text whose ids a worker keeps at hand; beyond, it starts afresh.
 CACHE = 800_000
 #: Marks that may follow a word within a chunk.
 MARKS = frozenset(",.;:!?")
+#: Lower-case letters of Latin-1, and marks that may follow them; an apostrophe may begin a word's ending, so it is none of these.
+LETTERS, AFTER = "[a-zß-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]"
 
 
 def folded(text: str) -> str:
@@ -40,58 +42,94 @@ class ChunkEncoder:
     """Ids of whole texts from ids of their chunks between blanks.
 
     The vocabulary's splitter never joins what white space parts, so a text's ids are its chunks' ids in order.
-    Only chunks not seen before reach the tokenizer.
+    Only chunks not seen before reach the tokenizer. Nor does it join ``LETTERS`` and the marks ``AFTER`` them, so a
+    word is encoded once whatever marks follow it, and without the normalizer, which leaves such words as they are.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same vocabulary for words that are normalized and parted already
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _encode_new(self, new: set[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(chunks, their ids one after another, how many each has)."""
-        # a chunk of letters is one word, with one mark after it two; such chunks are encoded in one call
-        plain = [c for c in new if c.isalpha()]
-        marked = [c for c in new if c[-1:] in MARKS and c[:-1].isalpha()]
-        rest = list(new.difference(plain, marked))
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain + marked)], add_special_tokens=False)[0].ids, np.uint32)
+    def _keep(self, chunks: pa.Array, flat: np.ndarray, n: np.ndarray) -> None:
+        """Remember new ``chunks``: their ids one after another, and how many each has."""
+        self.known = pa.concat_arrays([self.known, chunks])
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(n) - n)
+        self.lengths, self.ids = np.append(self.lengths, n), np.append(self.ids, flat)
+
+    def _in_one_call(self, tokenizer, text: str, words: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the chunks of ``text``, which have so many ``words`` each, and how many ids each has; None if some letters became others."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends_word[ids]) + 1
-        words = np.repeat([1, 2], [len(plain), len(marked)])
-        if len(ends) != words.sum() or (len(ends) and ends[-1] != len(ids)):  # some letters became others: one by one
-            plain, marked, rest, ids, n = [], [], list(new), ids[:0], ids[:0]
-        else:
-            n = np.diff(np.append(0, ends[np.cumsum(words) - 1]))
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        return plain + marked + rest, np.concatenate([ids, *found]), np.append(n, list(map(len, found))).astype(np.int64)
+        if len(ends) != words.sum() or (len(ends) and ends[-1] != len(ids)):
+            return None
+        return ids, np.diff(np.append(0, ends[np.cumsum(words) - 1]))
+
+    def _keep_new(self, new: pa.Array) -> None:
+        """Encode and remember chunks not seen before."""
+        simple = pa.compute.match_substring_regex(new, f"^{LETTERS}$")
+        words = new.filter(simple)
+        found = self._in_one_call(self.words, pa.compute.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py(), np.ones(len(words), np.int64))
+        if found:
+            self._keep(words, *found)
+            new = new.filter(pa.compute.invert(simple))
+        rest = new.to_pylist()
+        # a chunk of letters is one word, with one mark after it two; such chunks are encoded in one call
+        plain = [c for c in rest if c.isalpha()]
+        marked = [c for c in rest if c[-1:] in MARKS and c[:-1].isalpha()]
+        found = self._in_one_call(self.tokenizer, " ".join(plain + marked), np.repeat([1, 2], [len(plain), len(marked)]))
+        if found:
+            self._keep(pa.array(plain + marked, pa.string()), *found)
+            rest = list(set(rest).difference(plain, marked))
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        self._keep(pa.array(rest, pa.string()), np.concatenate([np.zeros(0, np.uint32), *ids]), np.array(list(map(len, ids)), np.int64))
+
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        """Where each chunk lies among the known ones; new ones become known."""
+        found = chunks.dictionary_encode()
+        at = pa.compute.index_in(found.dictionary, value_set=self.known)
+        missing, before = at.is_null(), len(self.known)
+        at = np.array(pa.compute.fill_null(at, 0), np.int64)
+        new = found.dictionary.filter(missing)
+        if len(new):
+            self._keep_new(new)
+            at[np.asarray(missing)] = before + np.asarray(pa.compute.index_in(new, value_set=self.known[before:]))
+        return at[np.asarray(found.indices)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
-        if len(self.code) > CACHE:
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.known) > CACHE:
             self.clear()
         texts = [folded(t).replace("\n", " ") for t in texts]
         counts = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
-        # chunks become Python strings once each, however often they stand in these texts
-        found = pa.compute.split_pattern(pa.array([" ".join(texts)]), " ").flatten().dictionary_encode() if texts else pa.array([], pa.string()).dictionary_encode()
-        chunks, at = found.dictionary.to_pylist(), np.asarray(found.indices)
-        new = set(chunks).difference(self.code)
-        if new:
-            new, flat, n = self._encode_new(new)
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(n) - n)
-            self.lengths, self.ids = np.append(self.lengths, n), np.append(self.ids, flat)
-        codes = np.array([self.code[c] for c in chunks], np.int64)[at]
-        lengths = self.lengths[codes]
+        # chunks are looked up once each, however often they stand in these texts
+        found = pa.compute.split_pattern(pa.array([" ".join(texts)]), " ").flatten().dictionary_encode()
+        parted = pa.compute.extract_regex(found.dictionary, f"^(?P<word>{LETTERS})(?P<marks>{AFTER}*)$")
+        is_parted = parted.is_valid()
+        words = self._places(pa.compute.if_else(is_parted, parted.field("word"), found.dictionary))
+        marks = self._places(pa.compute.if_else(is_parted, parted.field("marks"), ""))
+        both = np.stack([words, marks], axis=1).ravel()
+        n = self.lengths[both]
+        flat, n = self.ids[ragged(self.starts[both], n)], n.reshape(-1, 2).sum(axis=1)
+        at = np.asarray(found.indices)
+        lengths = n[at]
         per_chunk = np.append(0, np.cumsum(lengths))
         ends = np.cumsum(counts)
-        return self.ids[ragged(self.starts[codes], lengths)], np.diff(np.append(0, per_chunk[ends]))
+        return flat[ragged((np.cumsum(n) - n)[at], lengths)], np.diff(np.append(0, per_chunk[ends]))
 
 
 _encoders: dict[str, ChunkEncoder] = {}

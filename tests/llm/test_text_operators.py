@@ -175,6 +175,53 @@ def test_packing(spark, sf):
     assert packing.pack_documents(edge(spark, []), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_encodes_a_word_once_whatever_marks_follow(monkeypatch):
+    import tokenizers
+
+    text, seen = "Thousand été thousand, été. thousand!! THOUSAND.$$$ été*** thousand) été;", []
+    want = reference_ids(text)[:-1]
+
+    class Recorded:
+        """A tokenizer that notes the words it is given."""
+
+        def __init__(self, own):
+            self.__dict__["own"] = own
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.own, name, value)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(re.findall("[a-zà-ÿ]+", " ".join(texts).lower()))
+            return self.own.encode_batch_fast(texts, **options)
+
+    real = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Tokenizer", (), {"from_file": staticmethod(lambda path: Recorded(real.from_file(path)))}))
+    encoder = packing.ChunkEncoder(queries.tokenizer_path())
+    for _ in range(2):
+        ids, n = encoder.encode([text, ""])
+        assert ids.tolist() == want and n.tolist() == [len(ids), 0]
+    assert Counter(seen) == {"thousand": 1, "été": 1}
+
+
+def test_packing_ids_of_odd_texts():
+    import random
+
+    r = random.Random(8)
+    parts = [*"abzABZ 019'.,;:!?$&*#-_<>|/\\\"()[]{}~`^@=+\n\t\x00\x7f éÉßÿþÀ÷×ªºµ", "'s", "'ll", "<|endoftext|>", "<|", "|>", "\u0301", "\u0338", "\u0130", "\u01c5", "中", "Дом", "ς", "Σ", "\u00a0", "\u200d", "  ", "word", "don't", "a.b", "$$$"]
+    latin = [p for p in parts if max(p) < "\u0100" and "|" not in p]
+    texts = ["".join(r.choice(kind) for _ in range(r.randrange(30))) for kind in (parts, latin) for _ in range(3000)]
+    encoder = packing.ChunkEncoder(queries.tokenizer_path())
+    ids, n = encoder.encode(texts)
+    assert encoder.encode([])[1].tolist() == []
+    at = 0
+    for text, k in zip(texts, n.tolist(), strict=True):
+        assert ids[at : at + k].tolist() == reference_ids(text)[:-1], text
+        at += k
+
+
 def test_packing_salted_ranks(spark):
     pieces = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 3 == 0, 700).otherwise(100 + F.col("id") % 900).alias("length"))
     rows = packing.pack(pieces, 1000, salts=7).collect()
