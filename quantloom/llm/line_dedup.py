@@ -48,8 +48,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = durable(common.select("h1", "h2", "first", "times"), "common")
     gone = keyed_join(hashed, common, ["h1", "h2"], "times").where("doc_id > first")
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
-    joined = rows.withColumn("th", F.xxhash64("text")).join(gone, ["doc_id", "th"], "left")
-    split = joined.select("doc_id", "row", F.split("text", "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    # a text crosses the join once, in its row; one that loses nothing is neither split nor put together
+    joined = rows.select("doc_id", F.xxhash64("text").alias("th"), "row").join(gone, ["doc_id", "th"], "left")
+    joined = joined.select("doc_id", "row", "gone", F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    whole = F.col("gone").isNull()
+    split = joined.withColumn("lines", F.when(~whole, F.split("text", "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    kept = F.when(F.size("gone") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
-    return split.select("doc_id", kept.alias("kept"), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), "row")
+    kept = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1
+    n_dropped = F.when(whole, 0).otherwise(F.size("gone"))
+    return split.select("doc_id", kept.alias("kept"), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), "row")

@@ -56,6 +56,17 @@ def test_line_dedup(spark, sf):
     assert not any(thrice.values())
 
 
+def test_line_dedup_moves_a_text_once(spark):
+    """The join that brings a document its lost lines has each text in ``row``, and not beside it again."""
+
+    def joins(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        return [below] * (plan.nodeName() == "Join") + [j for p in below for j in joins(p)]
+
+    rows, _ = joins(line_dedup.line_dedup(edge(spark), keep_null_ids=True)._jdf.queryExecution().optimizedPlan())[0]
+    assert sorted(rows.output().apply(i).name() for i in range(rows.output().size())) == ["doc_id", "row", "th"]
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
