@@ -85,14 +85,16 @@ def keyed_join(big: DataFrame, small: DataFrame, on: list[str], rows: str, how:
     """``big`` joined (``inner`` or ``left``) with ``small``, a durable table with one row for each key and, in ``rows``, how many rows of ``big`` have it.
 
     Keys that hold a thousandth or more of these rows, of which there can't be more than a thousand, are broadcast, so no
-    task gets a hot one; all others are shuffled.
+    task gets a hot one; all others are shuffled, whatever ``small`` takes on disk: the planner would broadcast it by the size of
+    its files, which can be a small part of what its rows take in the driver's memory.
     """
     total = small.agg(F.sum(rows)).first()[0] or 0
     hot = (F.col(rows) * HOT_KEYS >= total) & (sum((F.octet_length(c) for c in on if dict(small.dtypes)[c] == "string"), F.lit(0)) <= 4096)
     own = small.drop(rows)
     few = F.broadcast(small.where(hot).drop(rows))
     rest = big.join(F.broadcast(small.where(hot).select(*on)), on, "left_anti")
-    return big.join(few, on).unionByName(rest.join(own if how == "left" else small.where(~hot).drop(rows), on, how))
+    others = own if how == "left" else small.where(~hot).drop(rows)
+    return big.join(few, on).unionByName(rest.join(others.hint("merge"), on, how))
 
 
 def release() -> None:

@@ -13,6 +13,8 @@ from .common import ascii_lower, discard, durable, keyed_join
 
 #: Hex digits of the digest that the join compares.
 PREFIX = 8
+#: Bytes of rules in memory, about, up to which all tasks get them whole.
+RULES = 4 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -66,13 +68,16 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     Hosts and paths are cut at the numbers of labels and the depths that rules have, and nowhere else, so a host or path costs its length for each of these. URLs are
     judged once for each distinct (host, path), so a hot page costs one row. What was found for it meets the rows by a
-    broadcast if the page has a thousandth of all rows or more (at most a thousand such pages), else by a shuffle. The planner
-    broadcasts rules only where their known size is below the session's threshold.
+    broadcast if the page has a thousandth of all rows or more (at most a thousand such pages), else by a shuffle. Rules are
+    broadcast up to 4 MB (``RULES``), beyond that shuffled; pages, and what was found for them, are never broadcast.
     """
     seen = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
     urls = durable(seen.groupBy("host", "path").agg(F.count("*").alias("times")), "urls")
     own = rule_table(rules)
-    shapes = own.select("labels", "depth").distinct().collect()  # as many as rules have shapes
+    kept = F.octet_length("rule_host") + F.octet_length("rule_path") + 300
+    shapes = own.groupBy("labels", "depth").agg(F.sum(kept).alias("kept")).collect()  # as many as rules have shapes
+    # left to the planner, pages would be broadcast by the size of their files
+    own = F.broadcast(own) if sum(r.kept for r in shapes) <= RULES else own.hint("merge")
     counts, depths = sorted({r.labels for r in shapes}), sorted({r.depth for r in shapes})
     wide = urls.where("host <> ''").select("host", "path", F.explode(host_suffixes(F.col("host"), counts)).alias("suffix")).where("suffix <> ''")
     wide = wide.select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"), depths)).alias("folder"))

@@ -6,6 +6,9 @@ import random
 import duckdb
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from quantloom.llm import common, queries, url_filter
 from quantloom.operators import inference
 from quantloom.operators import series_tests as st
 from quantloom.operators import signals as sg
@@ -71,3 +74,24 @@ def test_rows_of_a_regression_move_once(spark):
         y, x = (np.array([row[k] for row in rows if row[0] == m]) for k in (2, 3))
         beta, cov, r2 = inference.hac_ols(y, x[:, None])
         assert r.n == 40 and np.allclose(r.coefficients, beta) and np.allclose(r.covariance, cov.ravel()) and abs(r.r_squared - r2) < 1e-9
+
+
+def test_verdicts_of_pages_are_never_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    """2.7 million verdicts lie in 11 MB of files and take hundreds in memory: only hot pages, of which there are a thousand at most, go through the driver."""
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.example.com/en/"), (F.col("id") % 700).cast("string")).alias("url"))
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    plans = []
+    monkeypatch.setattr(url_filter, "durable", lambda df, tag: (plans.append(df._jdf.queryExecution().executedPlan().toString()), common.durable(df, tag))[1])
+    for most, join in ((url_filter.RULES, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(url_filter, "RULES", most)
+        found = url_filter.url_filter(pages, rules)
+        hit = [x for x in plans.pop().splitlines() if "Join" in x and "rule_host" in x]
+        assert len(hit) == 1 and join in hit[0] and "BuildLeft" not in hit[0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]
+    assert {(r.rule, r.verdict) for r in found.collect()} == {("example.com/en/", "block")} and found.count() == 2000
+    big = spark.range(3000).select("id", (F.col("id") % 900).cast("string").alias("k"))
+    small = common.durable(big.groupBy("k").agg(F.count("*").alias("n")), "small")
+    for how in ("inner", "left"):
+        joined = common.keyed_join(big, small, ["k"], "n", how)
+        assert joined.count() == 3000 and "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
