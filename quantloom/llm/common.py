@@ -18,6 +18,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 #: Keys that a join broadcasts at most.
 HOT_KEYS = 1000
+#: How durable tables are written. Rows may be megabytes long: left alone, a writer holds a hundred of them before it looks at their size, and a reader all rows of a group.
+WRITER = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 512, "parquet.block.size": 16 << 20}
 
 
 def framed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_null_ids: bool = False) -> DataFrame:
@@ -53,21 +55,25 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
-def durable(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def durable(df: DataFrame, tag: str, codec: str = "zstd", group_rows: int | None = None, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     Lineage ends there, so a lost executor costs no recomputation of what lies before, and later stages
-    read only the columns they need. Shuffle files of the written query are no longer needed.
+    read only the columns they need. Shuffle files of the written query are no longer needed. A writer holds about 16 MB
+    of compressed rows. For rows of megabytes, ``group_rows`` bounds what a reader takes at once however well they compress, and
+    ``batch_bytes`` what goes to a Python worker at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantloom/{tag}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    new = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.options(compression=codec, **WRITER, **({"parquet.block.row.count.limit": group_rows} if group_rows else {})).parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, durable, framed, ragged, runs
+from .common import blocks, discard, durable, framed, ragged, runs, tidy
 
 #: Bytes of the grams that name a string.
 GRAM = 20
@@ -29,6 +29,10 @@ END = 0xFF
 PRUNE = 4
 #: Bytes of stretches in a shard, in a bucket, and of text in a block.
 SHARD, BUCKET, BLOCK = 1 << 18, 1 << 20, 4 << 20
+#: Blocks that a reader takes at once, and bytes that go to a worker at once.
+BLOCKS, BATCH = 4, 8 << 20
+#: Starts of strings that are judged at once.
+AT_ONCE = 1 << 18
 #: A name with more bytes of stretches than a bucket is replaced by longer grams' names; with so many times more, by whole strings' hashes.
 VERY_HOT = 64
 
@@ -362,7 +366,7 @@ def _judge(length: int) -> callable:
     return judge
 
 
-def _cut(length: int) -> callable:
+def _cut(length: int, at_once: int) -> callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             docs, ends, raw = _opened(row)
@@ -373,15 +377,17 @@ def _cut(length: int) -> callable:
                 base = np.cumsum([0, *map(len, least)])[:-1]
                 at, size, offset, bucket = (np.frombuffer(row["sent"][0][c], np.int64) for c in ("raw", "sizes", "docs", "names"))
                 offset = offset + base[np.searchsorted([x["bucket"] for x in found], bucket)]
-                place = ragged(at, size)
-                own = np.repeat(docs[_of_doc(ends, at)], size)
-                place = place[np.concatenate(least)[ragged(offset, size)] < own]
-                edge[:-1] += np.bincount(place, minlength=len(edge) - 1).astype(np.int32)
-                edge -= np.bincount(place + length, minlength=len(edge)).astype(np.int32)
-            gone = np.cumsum(edge)[: len(raw)] > 0
+                least, own, to = np.concatenate(least), docs[_of_doc(ends, at)], np.cumsum(size)
+                for low in range(0, int(size.sum()), at_once):  # piece by piece: starts are many, and each lies in one stretch
+                    part = slice(*np.searchsorted(to, (low, low + at_once), side="right"))
+                    place = ragged(at[part], size[part])
+                    place = place[least[ragged(offset[part], size[part])] < np.repeat(own[part], size[part])]
+                    edge[place] += 1
+                    edge[place + length] -= 1
+            gone = np.cumsum(edge, dtype=np.int32)[: len(raw)] > 0
             kept = raw[~gone].tobytes()
             starts = ends - np.diff(np.append(0, ends))
-            left = np.append(0, np.cumsum(~gone))
+            left = np.append(np.int32(0), np.cumsum(~gone, dtype=np.int32))
             step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
             begins = np.zeros(len(raw) + 1, bool)
             begins[: len(step)] = step == 1
@@ -419,18 +425,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by hashes of whole strings of ``length`` bytes, which spread over all buckets; equal strings still meet.
     """
     rows = framed(docs, id_col, text_col).select("doc_id", "text")
-    table = durable(rows.mapInArrow(_to_blocks, "block bigint, n bigint, docs binary, lengths binary, raw binary"), "blocks")
+    table = durable(rows.mapInArrow(tidy(_to_blocks), "block bigint, n bigint, docs binary, lengths binary, raw binary"), "blocks", group_rows=BLOCKS, batch_bytes=BATCH)
     total = table.agg(F.sum("n")).first()[0] or 0
     few, many = max(1, total // (8 << 20)), max(1, total // (2 * bucket))
-    named = table.mapInArrow(_name_rows(length, few), "bucket int, block bigint, names binary, low binary, high binary, held binary")
-    shared = durable(named.repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_names(bucket), "block bigint, names binary, hot binary"), "shared")
+    named = table.mapInArrow(tidy(_name_rows(length, few)), "bucket int, block bigint, names binary, low binary, high binary, held binary")
+    shared = durable(named.repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_shared_names(bucket)), "block bigint, names binary, hot binary"), "shared", batch_bytes=BATCH)
     by_block = shared.groupBy("block").agg(F.collect_list(F.struct("names", "hot")).alias("shared"))
     message = "bucket int, block bigint, raw binary, sizes binary, docs binary, names binary"
-    sent = durable(table.join(by_block.hint("shuffle_hash"), "block").mapInArrow(_send_stretches(length, many), message), "stretches")
+    sent = durable(table.join(by_block.hint("shuffle_hash"), "block").mapInArrow(tidy(_send_stretches(length, many)), message), "stretches", batch_bytes=BATCH)
     discard(shared)
     dealt = sent.where("bucket >= 0").repartition(many, "bucket").sortWithinPartitions("bucket")
-    judged = durable(dealt.mapInArrow(_judge(length), "bucket int, block bigint, times binary, least binary"), "judged")
+    judged = durable(dealt.mapInArrow(tidy(_judge(length)), "bucket int, block bigint, times binary, least binary"), "judged", batch_bytes=BATCH)
     found = judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "times", "least")).alias("found"))
-    where = sent.where("bucket < 0").groupBy("block").agg(F.collect_list(F.struct("raw", "sizes", "docs", "names")).alias("sent"))
+    where = sent.where("bucket < 0").select("block", F.array(F.struct("raw", "sizes", "docs", "names")).alias("sent"))  # a row for each block
     answers = found.join(where, "block")
-    return table.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, spans array<array<bigint>>, kept binary")
+    return table.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(tidy(_cut(length, AT_ONCE)), "doc_id bigint, n_bytes bigint, spans array<array<bigint>>, kept binary")

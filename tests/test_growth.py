@@ -1,14 +1,16 @@
 """What larger tables showed: results that hang on the order of rows, and work that outgrows its input."""
 
 import datetime as dt
+import glob
 import random
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 
 from pyspark.sql import functions as F
 
-from quantloom.llm import common, queries, url_filter
+from quantloom.llm import common, queries, suffix_dedup, url_filter
 from quantloom.operators import inference
 from quantloom.operators import series_tests as st
 from quantloom.operators import signals as sg
@@ -95,3 +97,34 @@ def test_verdicts_of_pages_are_never_broadcast_by_the_size_of_their_files(spark,
     for how in ("inner", "left"):
         joined = common.keyed_join(big, small, ["k"], "n", how)
         assert joined.count() == 3000 and "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_megabytes_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    """A hundred rows of megabytes were one page of a file, which a writer and a reader hold whole."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "".join(rng.choices("abcdefgh ", k=700_000))) for i in range(24)], "doc_id long, text string").coalesce(1)
+    tables = {}
+    monkeypatch.setattr(suffix_dedup, "durable", lambda df, tag, **how: tables.setdefault(tag, common.durable(df, tag, **how)))
+    found = suffix_dedup.suffix_dedup(docs)
+    files = glob.glob(f"{tables['blocks']._durable_path.removeprefix('file://')}/*.parquet")
+    groups = [g.row_group(i) for g in (pq.ParquetFile(f).metadata for f in files) for i in range(g.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == tables["blocks"].count() > suffix_dedup.BLOCKS and max(g.num_rows for g in groups) <= suffix_dedup.BLOCKS
+    assert found.where("octet_length(kept) = n_bytes and n_bytes = 700000").count() == 24
+    # whoever writes them: no limit of rows, but of bytes
+    rows = spark.range(40).coalesce(1).select(F.repeat(F.sha2(F.col("id").cast("string"), 512), 8192).alias("x"))
+    at = common.durable(rows.select(F.expr("concat(x, uuid())").alias("x")), "rows", codec="none")._durable_path
+    meta = [pq.ParquetFile(f).metadata for f in glob.glob(f"{at.removeprefix('file://')}/*.parquet")]
+    assert max(m.row_group(i).total_byte_size for m in meta for i in range(m.num_row_groups)) <= 20 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
+
+
+def test_starts_are_judged_in_pieces(spark, monkeypatch):
+    """Any size of the pieces gives the same spans."""
+    rng = random.Random(6)
+    parts = ["".join(rng.choices("abcd ", k=rng.randrange(60, 200))) for _ in range(12)]
+    docs = spark.createDataFrame([(i, "".join(rng.choices(parts, k=6))) for i in range(60)], "doc_id long, text string")
+    seen = set()
+    for size in (1, 7, 1000, 1 << 18):
+        monkeypatch.setattr(suffix_dedup, "AT_ONCE", size)
+        seen.add(str(sorted(map(str, suffix_dedup.suffix_dedup(docs).collect()))))
+    assert len(seen) == 1 and "spans=[[" in seen.pop()
