@@ -78,6 +78,29 @@ def test_rows_of_a_regression_move_once(spark):
         assert r.n == 40 and np.allclose(r.coefficients, beta) and np.allclose(r.covariance, cov.ravel()) and abs(r.r_squared - r2) < 1e-9
 
 
+def test_a_regression_starts_no_job_and_writes_its_rows_to_one_shuffle(spark):
+    """Each series has the lags of its own length's bandwidth, or those asked for, without a look at the longest; its sums and its lags read the same shuffle."""
+    rng = random.Random(9)
+    sizes = {"a": 2, "b": 5, "c": 60, "d": 450, None: 130}
+    rows = [(m, dt.date(2024, 1, 1) + dt.timedelta(i), rng.random(), rng.random()) for m, n in sizes.items() for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "m string, d date, y double, x double")
+    for lag in (None, 0, 3, 1000):
+        spark.sparkContext.setJobGroup(f"planned {lag}", "")
+        found = st.regress(df, ["m"], "d", "y", ["x"], lag)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"planned {lag}")
+        got = {r.m: r for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("ReusedExchange") == 1
+        assert {m: r.n for m, r in got.items()} == sizes and got["a"].coefficients is None
+        for m in ("b", "c", "d", None):
+            y, x = (np.array([row[k] for row in sorted(rows, key=lambda r: r[1]) if row[0] == m]) for k in (2, 3))
+            beta, cov, r2 = inference.hac_ols(y, x[:, None], lag)
+            assert np.allclose(got[m].coefficients, beta) and np.allclose(got[m].covariance, cov.ravel(), rtol=1e-9, atol=0) and abs(got[m].r_squared - r2) < 1e-9
+    spark.sparkContext._jsc.clearJobGroup()
+    assert st.regress(df.where("m = 'c'"), [], "d", "y", ["x"]).first().n == 60 and not st.regress(df.limit(0), [], "d", "y", ["x"]).collect()
+
+
 def test_verdicts_of_pages_are_never_broadcast_by_the_size_of_their_files(spark, monkeypatch):
     """2.7 million verdicts lie in 11 MB of files and take hundreds in memory: only hot pages, of which there are a thousand at most, go through the driver."""
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.example.com/en/"), (F.col("id") % 700).cast("string")).alias("url"))
