@@ -139,7 +139,7 @@ def analyse(daily: DataFrame, model: str, excess: str, design: Design, series: S
     """
     t, d = series.time, design
     rows = daily.select(model, t, excess)
-    on_factors = rows.join(series.factors, t)
+    on_factors = rows.join(F.broadcast(series.factors), t)  # a row a date, however many models
 
     def differences() -> DataFrame:
         found = st.alpha_difference(on_factors, model, t, excess, d.factors, d.lag)

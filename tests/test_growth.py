@@ -11,9 +11,10 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from quantloom.llm import common, queries, suffix_dedup, url_filter
-from quantloom.operators import inference
+from quantloom.operators import factor_analysis, inference
 from quantloom.operators import series_tests as st
 from quantloom.operators import signals as sg
+from quantloom.panel import Panel
 from quantloom.plans import registry
 
 
@@ -101,6 +102,28 @@ def test_a_regression_starts_no_job_and_writes_its_rows_to_one_shuffle(spark):
     assert st.regress(df.where("m = 'c'"), [], "d", "y", ["x"]).first().n == 60 and not st.regress(df.limit(0), [], "d", "y", ["x"]).collect()
 
 
+def test_models_meet_the_factors_of_a_date_where_they_lie(spark):
+    """Factors are a row a date, however many models: they are broadcast, and no model's rows are dealt by date. Dates without factors are left out, a date that is there twice counts twice."""
+    rng = random.Random(10)
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(i)
+    daily = [(m, day(i) if i else None, rng.random()) for m in ("a", "b", None) for i in range(50)]
+    factors = [(day(i), rng.random(), rng.random() if i != 7 else float("nan")) for i in [*range(1, 40), 20]]
+    series = factor_analysis.series_for(design := factor_analysis.Design(("f", "g"), "f"), Panel(spark.createDataFrame(factors, "d date, f double, g double"), entity=None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = factor_analysis.analyse(spark.createDataFrame(daily, "m string, d date, y double"), "m", "y", design, series).tables["alpha"]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(d" not in plan and "BroadcastHashJoin [d" in plan
+        got = {r.m: r for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(got) == {"a", "b", None} and {r.n for r in got.values()} == {39}
+    for m, r in got.items():
+        both = [(y, f, g) for k, d, y in daily for e, f, g in factors if k == m and d == e and g == g]
+        beta, _, r2 = inference.hac_ols(np.array([x[0] for x in both]), np.array([x[1:] for x in both]))
+        assert np.allclose([r.alpha, r.betas["f"], r.betas["g"], r.r_squared], [*beta, r2])
+
+
 def test_verdicts_of_pages_are_never_broadcast_by_the_size_of_their_files(spark, monkeypatch):
     """2.7 million verdicts lie in 11 MB of files and take hundreds in memory: only hot pages, of which there are a thousand at most, go through the driver."""
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.example.com/en/"), (F.col("id") % 700).cast("string")).alias("url"))
