@@ -14,6 +14,7 @@ from quantloom.llm import common, queries, suffix_dedup, url_filter
 from quantloom.operators import factor_analysis, inference
 from quantloom.operators import series_tests as st
 from quantloom.operators import signals as sg
+from quantloom.operators import temporal
 from quantloom.panel import Panel
 from quantloom.plans import registry
 
@@ -124,6 +125,35 @@ def test_models_meet_the_factors_of_a_date_where_they_lie(spark):
         assert np.allclose([r.alpha, r.betas["f"], r.betas["g"], r.r_squared], [*beta, r2])
 
 
+def test_a_standardised_panel_is_shuffled_once_with_its_priors(spark):
+    """Priors and scores read one shuffle in one order; an entity without values and rows without an entity start from the pooled prior, as with a train of its own."""
+    rng = random.Random(11)
+    rows = [(e, dt.date(2024, 1, 1) + dt.timedelta(i), None if e == 3 or rng.random() < 0.2 else rng.gauss(e or 9, 2)) for e in (1, 2, 3, None) for i in range(60)]
+    rows += [(4, dt.date(2024, 1, 1), 5.0), (4, dt.date(2024, 1, 2), 7.0), (4, dt.date(2024, 1, 2), 7.0), (4, None, 6.0)]
+    p = Panel(spark.createDataFrame(rows, "e int, d date, x double").repartition(7))
+    order = lambda r: (str(r[0]), str(r[1] or ""), r[2])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = temporal.ewma_standardise(p, p, "x", 5.0)
+        got = sorted(((r.e, r.d, r.z) for r in found.collect()), key=order)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("ReusedExchange") == 1 and "SortMergeJoin" not in plan and plan.count("Sort [") == 2  # of the rows, and for the pooled prior
+        other = sorted(((r.e, r.d, r.z) for r in temporal.ewma_standardise(p, Panel(p.df), "x", 5.0).collect()), key=order)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lam, want = temporal.decay(5.0), []
+    for e in (1, 2, 3, 4, None):
+        values = np.array([x for k, _, x in rows if x is not None and (k == e or e in (3, None))])
+        m, s = values.mean(), values.var()
+        for _, d, x in sorted((r for r in rows if r[0] == e), key=lambda r: str(r[1] or "")):
+            z = 0.0 if x is None else (x - m) / s**0.5
+            m, s = (m, s) if x is None else (m + (1 - lam) * (x - m), lam * (s + (1 - lam) * (x - m) ** 2))
+            want.append((e, d, z))
+    want.sort(key=order)
+    for have in (got, other):
+        assert [r[:2] for r in have] == [r[:2] for r in want] and np.allclose([r[2] for r in have], [r[2] for r in want])
+
+
 def test_verdicts_of_pages_are_never_broadcast_by_the_size_of_their_files(spark, monkeypatch):
     """2.7 million verdicts lie in 11 MB of files and take hundreds in memory: only hot pages, of which there are a thousand at most, go through the driver."""
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.example.com/en/"), (F.col("id") % 700).cast("string")).alias("url"))
